@@ -6,7 +6,11 @@ from importlib import import_module
 
 #: query name -> (module, name of its SQL or None)
 QUERIES = {
+    "op2_warc": ("warc", "OP2_SQL"),
+    "op3_packing": ("packing", None),
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
+    "op5_quality_rules": ("quality", None),
+    "op7_toxicity": ("toxicity", None),
     "op8_line_dedup": ("line_dedup", "OP8_SQL"),
 }
 
