@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> (module, name of its SQL or None)
 QUERIES = {
+    "op1_ngram_jaccard": ("jaccard", "OP1_SQL"),
     "op2_warc": ("warc", "OP2_SQL"),
     "op3_packing": ("packing", None),
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
