@@ -11,8 +11,10 @@ QUERIES = {
     "op3_packing": ("packing", None),
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
     "op5_quality_rules": ("quality", None),
+    "op6_bpe": ("bpe", None),
     "op7_toxicity": ("toxicity", None),
     "op8_line_dedup": ("line_dedup", "OP8_SQL"),
+    "op10_pii": ("pii", None),
 }
 
 
