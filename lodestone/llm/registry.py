@@ -14,6 +14,7 @@ QUERIES = {
     "op6_bpe": ("bpe", None),
     "op7_toxicity": ("toxicity", None),
     "op8_line_dedup": ("line_dedup", "OP8_SQL"),
+    "op9_secret_scan": ("secrets", None),
     "op10_pii": ("pii", None),
 }
 
