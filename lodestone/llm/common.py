@@ -62,6 +62,18 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number that is the same in every scan of the same stored table.
+
+    Splits of files depend on the cores that are up; they are pinned here, so that a lost
+    executor cannot change the numbers between two scans. ``docs`` must come straight from
+    files (or a checkpoint), not from a shuffle."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(max(1, docs.sparkSession.sparkContext.defaultParallelism)))
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, not_null_text, scratch, table
+from lodestone.llm.common import cut, not_null_text, number_rows, scratch, table
 
 #: Bits of the filter of hits: 2 MiB at most are broadcast, however large the input is.
 FILTER_BITS = 1 << 24
@@ -32,11 +32,7 @@ _PER_BUCKET = 1 << 15
 def flush_runs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Level 0: sorted digest runs, one per task. Columns: id, digest (32 bytes), row."""
     text = not_null_text(text_col)
-    runs = docs.select(
-        F.col(id_col).alias("id"),
-        F.unhex(F.sha2(text, 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
-    ).sortWithinPartitions("digest")
+    runs = number_rows(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")), "row").sortWithinPartitions("digest")
     (runs.write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true")
         .option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path))
     return docs.sparkSession.read.schema(runs.schema).parquet(path)
@@ -123,5 +119,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     with scratch(spark) as path:
         gone = cut(dedup_index(docs, path, id_col, text_col, keep).where("not kept").select(F.col("row").alias("__row")))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(gone, "__row", "left_anti").drop("__row")
+    return number_rows(docs, "__row").join(gone, "__row", "left_anti").drop("__row")

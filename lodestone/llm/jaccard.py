@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, maybe_in, mix, not_null_text, scratch, steps, stored, table, utf8, words
+from lodestone.llm.common import cut, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
 from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
@@ -322,9 +322,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, row, n_shingles, component_id, first (one row per component).
 
     Two documents link when den * intersection >= num * union of their n-gram sets.
-    ``row`` is the row's number in ``docs`` (as monotonically_increasing_id gives it)."""
+    ``docs`` is a stored table; ``row`` is the row's number in it (`number_rows`)."""
     spark = docs.sparkSession
-    docs = docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
     plan = make_plan(num, den, estimate_sizes(docs))
     with scratch(spark) as path:
         sets = stored(_describe(docs, width, plan), f"{path}/sets")
@@ -361,6 +361,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ((F.col("n") == 0) | (F.col("row") == F.col("first_row"))).alias("first")))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of similar texts, with all its columns: that with the smallest id."""
+    stay = similar_groups(docs, id_col, text_col, width, num, den).where("first").select(F.col("row").alias("__row"))
+    return number_rows(docs, "__row").join(stay, "__row", "left_semi").drop("__row")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 

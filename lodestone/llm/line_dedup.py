@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, cut, not_null_text, table
+from lodestone.llm.common import SPACES, cut, not_null_text, number_rows, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,15 +28,11 @@ def line_key(line):
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with three more columns: n_lines, n_dropped (long) and kept_text.
-
-    The row number that joins the parts follows the scan's order, which is the same each
-    time the same files are read."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """``docs`` (a stored table) with three more columns: n_lines, n_dropped (long) and kept_text."""
+    rows = number_rows(docs, "__row")
     lines = rows.select("__row", F.posexplode(F.split(not_null_text(text_col), "\n")).alias("pos", "line"))
     keyed = lines.select("__row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(
         "__row", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
-    # a row's lines lie in one partition, and neighbouring: the distinct needs no look elsewhere
     per_doc = keyed.groupBy("k1", "k2", "__row").agg(F.collect_list("pos").alias("at"))
     common = per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     hits = per_doc.join(common.select("k1", "k2"), ["k1", "k2"]).select("__row", "at")

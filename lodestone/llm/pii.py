@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, not_null_text, scratch, steps, stored, table
+from lodestone.llm.common import cut, not_null_text, number_rows, scratch, steps, stored, table
 
 #: Fixed values of the contract: kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -199,7 +199,7 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least
 
 def find(docs: DataFrame, work: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id and spans (s, k, x, d) of each document: base spans and revealing terms (k = 4, d its disclosure)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), not_null_text(text_col).alias("text"))
+    rows = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
     found = stored(detect(rows), work)
     revealing = disclosures(rows, found)
     hits = found.where(F.size("around") > 0).select("row", F.explode("around").alias("a")).select("row", "a.e", "a.t", "a.s", "a.x").join(revealing, ["e", "t"])
@@ -219,7 +219,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with identifiers replaced by their kind and revealing terms generalised or removed."""
     with scratch(docs.sparkSession) as work:
         spans = cut(find(docs, work, id_col, text_col).where(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans")))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(spans, "__row", "left")
+    rows = number_rows(docs, "__row").join(spans, "__row", "left")
 
     def redact(text, spans):
         if text is None or spans is None:
