@@ -1,21 +1,46 @@
-"""Corpus pipeline: toxicity filter, exact dedup, near-duplicate dedup, PII, packing."""
+"""Corpus pipeline: toxicity filter, exact dedup, near-duplicate dedup, PII, packing.
+
+Every stage takes the stored result of the one before it. A stage's decision takes
+effect: toxic documents go, one document of each set of equal texts stays (the largest
+doc_id), one of each group of near duplicates stays (the smallest doc_id; five words,
+similarity 0.8 or more), identifiers are redacted, and the last stage gives the packed
+pieces with their token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import exact_dedup, jaccard, packing, pii, toxicity
+from lodestone.llm.common import cut, scratch, stored
+
 
-from lodestone.llm.common import scratch, stored
-from lodestone.llm.exact_dedup import drop_duplicates
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_on_tables(spark, sf_dir, docs)
+    return toxicity.with_scores(docs, model, name="__score").where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, that with the largest doc_id."""
-    return drop_duplicates(docs)
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_first(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact), ("ngram_jaccard", near), ("pii", private), ("packing", pack)]
 
-#: Training and tokenizing cannot be expressed in SQL; the stages are tested one by one.
+#: A trained model and a tokenizer cannot be expressed in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
@@ -25,4 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as path:
         for n, (name, stage) in enumerate(STAGES):
             docs = stored(stage(spark, docs, sf_dir), f"{path}/{n}_{name}")
-        return docs.checkpoint()
+        return cut(docs)
