@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, scratch, table
+from lodestone.llm.common import cut, number_rows, scratch, table
 
 #: Fixed values of the WARC 1.1 standard.
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
@@ -93,8 +93,8 @@ def member(data: bytes, level: int = 1) -> bytes:
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """id, url, payload, digest and, for rows to be written as revisits, refers_to."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
-                        payload.alias("payload"), F.sha1(payload).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = number_rows(pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
+                                    payload.alias("payload"), F.sha1(payload).alias("digest")), "row")
     large = rows.where(F.octet_length("payload") >= min_bytes)
     first = large.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = cut(large.select("digest", "id", "row").join(first, "digest").where(F.col("row") != F.col("best.row"))
@@ -159,28 +159,32 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
     return head, data[start:end], end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+def inflate(data: bytes, at: int, slice_bytes: int = 1 << 14) -> tuple[bytes, int] | None:
     """The gzip member at ``at`` and its end, or None if it is cut short or its CRC fails."""
-    z = zlib.decompressobj(31)
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
-        out = z.decompress(memoryview(data)[at:])
+        while not z.eof and at < len(data):
+            out.append(z.decompress(view[at : at + slice_bytes]))
+            at += slice_bytes
     except zlib.error:
         return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else None
 
 
-def _payload(head: dict, block: bytes) -> tuple[bytes, int, bool]:
-    """(payload, its full length, whether its digest holds) of a record's block."""
+def _payload(head: dict, block: bytes) -> tuple[bytes, int, str | None]:
+    """(payload, its full length, its SHA-1 or None if a stated one fails) of a record's block."""
     http, _, body = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
     said = re.search(rb"(?i)^content-length:\s*([0-9]+)\s*$", http, re.M)
     full = int(said[1]) if said and head["warc-type"] == "revisit" else len(body)
-    digest = head.get("warc-payload-digest", "")
-    sound = head["warc-type"] == "revisit" or not digest.startswith("sha1:") or hashlib.sha1(body).hexdigest() == digest[5:].lower()
-    return body, full, sound
+    said_digest = head.get("warc-payload-digest", "").lower()
+    if head["warc-type"] == "revisit":
+        return body, full, said_digest.removeprefix("sha1:")
+    digest = hashlib.sha1(body).hexdigest()
+    return body, full, digest if not re.fullmatch("sha1:[0-9a-f]{40}", said_digest) or said_digest == f"sha1:{digest}" else None
 
 
 def salvage(data: bytes):
-    """Yields ("record", start, end, header, block) and ("gap", start, end, None, reason bytes)."""
+    """Yields ("record", start, end, header, (payload, length, digest)) and ("gap", start, end, None, None)."""
     at, bad_from, packed = 0, None, data[:2] == GZIP_MAGIC[:2] or GZIP_MAGIC in data and VERSION_LINE.search(data) is None
     while at < len(data):
         found = None
@@ -190,11 +194,12 @@ def salvage(data: bytes):
                 found = (rec[0], rec[1], got[1])
         elif rec := parse(data, at):
             found = rec
-        if found and _payload(found[0], found[1])[2]:
+        content = _payload(found[0], found[1]) if found else None
+        if content and content[2] is not None:
             if bad_from is not None:
-                yield "gap", bad_from, at, None, b""
+                yield "gap", bad_from, at, None, None
                 bad_from = None
-            yield "record", at, found[2], found[0], found[1]
+            yield "record", at, found[2], found[0], content
             at = found[2]
             continue
         bad_from = at if bad_from is None else bad_from
@@ -205,7 +210,7 @@ def salvage(data: bytes):
             at = m.start() if m else -1
         at = len(data) if at < 0 else at
     if bad_from is not None:
-        yield "gap", bad_from, len(data), None, b""
+        yield "gap", bad_from, len(data), None, None
 
 
 RECORDS = ("file string, kind string, start long, end long, record_type string, id long, refers_to long, url string, "
@@ -227,13 +232,11 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame | None = None
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for kind, start, end, head, block in salvage(content.as_py()):
+                for kind, start, end, head, found in salvage(content.as_py()):
                     if kind == "gap":
                         rows.append((file, kind, start, end, *[None] * 7))
                     else:
-                        body, full, _ = _payload(head, block)
-                        revisit = head["warc-type"] == "revisit"
-                        digest = head.get("warc-payload-digest", "").removeprefix("sha1:").lower() if revisit else hashlib.sha1(body).hexdigest()
+                        (body, full, digest), revisit = found, head["warc-type"] == "revisit"
                         rows.append((file, kind, start, end, head["warc-type"], row_id(head.get("warc-record-id")),
                                      row_id(head.get("warc-refers-to")) if revisit else None, head.get("warc-target-uri"), full, digest,
                                      body if payloads else None))
