@@ -293,6 +293,8 @@ def _across(live: DataFrame, plan: Plan) -> DataFrame:
                 if kind[s] == 0:
                     held.append(part)
                     continue
+                if not held:  # a block that got no member of the smaller side
+                    continue
                 mine = [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
                 held = [tuple(mine)]
                 for at in range(0, e - s, 256):
