@@ -53,6 +53,8 @@ def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
 
 def _repeats(keys: np.ndarray, first_too: bool) -> np.ndarray:
     """Indices of the keys that occurred before (or, with ``first_too``, that occur twice)."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64)
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
     later = np.append(False, same)
