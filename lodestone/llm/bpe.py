@@ -1,13 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. **Split.** Texts are cut into words (a run of white space with the run of other
-   characters behind it; no token crosses such a cut) and, block by block, every
-   occurrence becomes the number of its word in the block. A block's distinct words go to
-   buckets by their hash; occurrences stay as packed numbers.
+   characters behind it; no token crosses such a cut). A block (a bounded part of a task's
+   texts) numbers its distinct words by first occurrence; they go to buckets by their hash.
 2. **Table.** Each bucket sees the words of all blocks once and encodes each distinct
    word exactly once with the tokenizer.
-3. **Join back by position.** The ids of a block's words meet the block's documents; each
-   document's numbers are replaced by ids in order.
+3. **Join back by position.** A second pass sends each document as the packed numbers of
+   its words to its block's ids; numbers are replaced by ids in order.
 4. **Decode** through the id-to-piece table (one row per vocabulary entry).
 
 Words travel once per block, compressed, not once per occurrence; a word that is
@@ -32,13 +31,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, scratch, steps, table
+from lodestone.llm.common import number_rows, steps, table
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 32 << 20
 #: White space that is not ASCII, or that libraries see differently: such texts are not cut.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _WORD = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -124,35 +122,62 @@ def _unpack_pieces(lengths: bytes, data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _split(docs: DataFrame, buckets: int, id_type: str) -> DataFrame:
-    """Rows of both kinds: words of a block and bucket (kind 0), documents (kind 1)."""
-    names = ["kind", "block", "bucket", "id", "codes", "lengths", "data"]
+def _in_blocks(batches):
+    """(block, whether it is new, batch, texts) of the steps of a task, blocks of BLOCK_BYTES.
 
+    The same for every pass over the same splits; a block's number is its first row's."""
+    block, size = None, 0
+    for batch, texts, offs in steps(batches):
+        new = block is None or size + int(offs[-1]) > BLOCK_BYTES
+        if new:
+            block, size = batch.column(batch.schema.get_field_index("row"))[0].as_py(), 0
+        size += int(offs[-1])
+        yield block, new, batch, texts.to_pylist()
+
+
+def _distinct_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket and the distinct words (number in the block, length, bytes) of each block."""
+    names = ["block", "bucket", "codes", "lengths", "data"]
+
+    def rows(block, number):
+        by_bucket: dict[int, tuple[list, list]] = {}
+        for code, w in enumerate(number):
+            raw = w.encode()
+            codes, parts = by_bucket.setdefault(zlib.crc32(raw) % buckets, ([], []))
+            codes.append(code)
+            parts.append(raw)
+        packed = [_pack_pieces(*x) for x in by_bucket.values()]
+        cols = zip(*packed, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(packed), pa.int64()), pa.array(by_bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names)
+
+    def run(batches):
+        number: dict[str, None] = {}
+        last = None
+        for block, new, _, texts in _in_blocks(batches):
+            if new and number:
+                yield rows(last, number)
+                number = {}
+            for text in texts:
+                number.update(dict.fromkeys(split_words(text)))
+            last = block
+        if number:
+            yield rows(last, number)
+
+    return docs.mapInArrow(run, "block long, bucket int, codes binary, lengths binary, data binary")
+
+
+def _numbers(docs: DataFrame, id_type: str) -> DataFrame:
+    """block, id and the numbers of a document's words; numbers go by first occurrence in the block."""
     def run(batches):
-        base, count = TaskContext.get().partitionId() << 33, 0
-        for batch, texts, _ in steps(batches, limit=BLOCK_BYTES):
-            number: defaultdict = defaultdict()
-            number.default_factory = number.__len__
-            docs_ = [np.fromiter(map(number.__getitem__, split_words(t)), dtype=np.int64) for t in texts.to_pylist()]
-            by_bucket: dict[int, tuple[list, list]] = {}
-            for w, code in number.items():
-                raw = w.encode()
-                codes, parts = by_bucket.setdefault(zlib.crc32(raw) % buckets, ([], []))
-                codes.append(code)
-                parts.append(raw)
-            n, block = len(docs_), base + count
-            count += 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array([1] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), batch.column(0),
-                pa.array([_pack_numbers(c) for c in docs_], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-            if by_bucket:
-                packed = [_pack_pieces(*x) for x in by_bucket.values()]
-                n = len(packed)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([0] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(by_bucket, pa.int32()),
-                    pa.nulls(n, batch.column(0).type), *(pa.array(c, pa.binary()) for c in zip(*packed, strict=True))], names)
-
-    return docs.mapInArrow(run, f"kind int, block long, bucket int, id {id_type}, codes binary, lengths binary, data binary")
+        number: defaultdict = defaultdict()
+        for block, new, batch, texts in _in_blocks(batches):
+            if new:
+                number = defaultdict()
+                number.default_factory = number.__len__
+            codes = [_pack_numbers(np.fromiter(map(number.__getitem__, split_words(t)), dtype=np.int64)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(codes), pa.int64()), batch.column(0), pa.array(codes, pa.binary())], ["block", "id", "codes"])
+
+    return docs.mapInArrow(run, f"block long, id {id_type}, codes binary")
 
 
 def _encode(words: DataFrame, path: str) -> DataFrame:
@@ -177,40 +202,41 @@ def _encode(words: DataFrame, path: str) -> DataFrame:
     return words.select("block", "bucket", "codes", "lengths", "data").mapInArrow(run, "block long, bucket int, codes binary, lengths binary, data binary")
 
 
-def encode(docs: DataFrame, path: str, work: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 (and, if wanted, ids and decoded) of each document.
 
-    ``path``: the tokenizers file. ``work``: a folder in shared storage for the split texts."""
-    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    ``docs``: a stored table, read twice with the same splits. ``path``: the tokenizers file."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    docs = number_rows(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "row")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(16, min(1 << 16, size >> 22))
-    parts = _split(docs, buckets, id_type)
-    parts.write.mode("overwrite").option("compression", "uncompressed").partitionBy("kind").parquet(work)
-    parts = spark.read.schema(parts.schema).parquet(work)
-    words = parts.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket")
+    words = _distinct_words(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
     none = F.lit(None)
     ids = _encode(words, path).select("block", F.lit(0).alias("kind"), none.cast(id_type).alias("id"), "codes", "lengths", "data")
-    rows = ids.union(parts.where("kind = 1").select("block", F.lit(1).alias("kind"), "id", "codes", none.cast("binary"), none.cast("binary")))
+    rows = ids.union(_numbers(docs, id_type).select("block", F.lit(1).alias("kind"), "id", "codes", none.cast("binary"), none.cast("binary")))
     extra = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches):
         pieces = id_to_piece(path)
-        block, numbers = None, {}
+        block, numbers, decoded_of = None, {}, {}
         for batch in batches:
             cols = batch.to_pydict()
             out: list[tuple] = []
             for b, kind, ident, codes, lengths, data in zip(*(cols[c] for c in ("block", "kind", "id", "codes", "lengths", "data")), strict=True):
                 if b != block:
-                    block, numbers = b, {}
+                    block, numbers, decoded_of = b, {}, {}
                 if kind == 0:
                     ids_, ends = _unpack_numbers(data).tobytes(), (np.cumsum(_unpack_numbers(lengths), dtype=np.int64) * 4).tolist()
                     at = np.cumsum(_unpack_numbers(codes), dtype=np.int64).tolist()
-                    numbers.update(zip(at, (ids_[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                    piece = list(map(pieces.__getitem__, _unpack_numbers(data).tolist()))
+                    for code, x, y in zip(at, [0, *ends[:-1]], ends, strict=True):
+                        numbers[code] = ids_[x:y]
+                        decoded_of[code] = b"".join(piece[x >> 2 : y >> 2])
                     continue
-                raw = b"".join(map(numbers.__getitem__, _unpack_numbers(codes).tolist()))
+                order = _unpack_numbers(codes).tolist()
+                raw = b"".join(map(numbers.__getitem__, order))
                 found = np.frombuffer(raw, dtype="<u4")
-                decoded = b"".join(map(pieces.__getitem__, found.tolist())).decode("utf-8", "replace")
+                decoded = b"".join(map(decoded_of.__getitem__, order)).decode("utf-8", "replace")
                 row = (ident, len(found), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 out.append((*row, found.astype(np.int32), decoded) if with_ids else row)
             if out:
@@ -224,5 +250,4 @@ def encode(docs: DataFrame, path: str, work: str, id_col: str = "doc_id", text_c
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with scratch(spark) as work:
-        return cut(encode(table(spark, sf_dir, "documents"), tokenizer_path(), work, with_ids=False).withColumnRenamed("id", "doc_id"))
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).withColumnRenamed("id", "doc_id")
