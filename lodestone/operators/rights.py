@@ -29,7 +29,7 @@ def target_stats(rights: DataFrame, key: list[str], resolved: str, rls: str) ->
     """One row: targets, resolved, unresolved, rights, with_rls, long_rls."""
     per = rights.groupBy(*key).agg(F.max(F.col(resolved).isNotNull().cast("int")).alias("ok"), F.count(F.lit(1)).alias("n"),
                                    F.count_if(F.col(rls).isNotNull()).alias("r"), F.count_if(F.length(rls) > RLS_WIDTH).alias("long"))
-    return per.agg(F.count(F.lit(1)).alias("targets"), F.count_if("ok = 1").alias("resolved"), F.count_if("ok = 0").alias("unresolved"),
+    return per.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("ok") == 1).alias("resolved"), F.count_if(F.col("ok") == 0).alias("unresolved"),
                    F.coalesce(F.sum("n"), F.lit(0)).alias("rights"), F.coalesce(F.sum("r"), F.lit(0)).alias("with_rls"), F.coalesce(F.sum("long"), F.lit(0)).alias("long_rls"))
 
 
