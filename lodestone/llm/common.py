@@ -4,6 +4,7 @@ folders and vectorised views of Arrow text columns."""
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds the worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,10 +79,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(batches, column: str = "text", limit: int = STEP_BYTES):
+#: What a Python worker keeps from task to task, by the operator that may do so.
+WORKER_CACHES: dict[str, object] = {}
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def steps(batches, column: str = "text", limit: int = STEP_BYTES, cache: str | None = None):
     """Slices of the Arrow batches whose texts have at most ``limit`` bytes (or one row).
 
-    Yields (batch, large_string array without nulls, byte offsets)."""
+    Yields (batch, large_string array without nulls, byte offsets). A worker serves all
+    operators in turn, so the caches of others than ``cache`` go at the start, and freed
+    memory is given back at the end."""
+    for name in [n for n in WORKER_CACHES if n != cache]:
+        del WORKER_CACHES[name]
+    try:
+        yield from _steps(batches, column, limit)
+    finally:
+        _give_back()
+
+
+def _steps(batches, column: str, limit: int):
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.llm.common import steps, table
+from lodestone.llm.common import WORKER_CACHES, steps, table
 
 MAX_TOKENS, END_ID = 4096, 2
 _PLAIN = re.compile("[\t\n\r]")
@@ -97,14 +97,12 @@ class WordEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder; its cache serves all tasks that the worker runs."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    kept = WORKER_CACHES.get("packing")
+    if kept is None or kept[0] != path:
+        kept = WORKER_CACHES["packing"] = (path, WordEncoder(path))
+    return kept[1]
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -131,7 +129,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         encoder, base, count = encoder_of(path), TaskContext.get().partitionId() << 33, 0
-        for batch, texts, _ in steps(batches):
+        for batch, texts, _ in steps(batches, cache="packing"):
             source, cols, ids = [], [], []
             for row, found in enumerate(encoder.encode(texts.to_pylist())):
                 whole = found + end
