@@ -131,11 +131,13 @@ class Catalog:
         return reader.parquet(f"{base.path}/{name}")
 
     def table(self, name: str, db=None, group: str | None = None) -> DataFrame:
-        """A table over all sound bases of the scope, with the column ``base`` in front."""
+        """A table over all sound bases of the scope, with the column ``base`` in front (a
+        column of that name in the table itself becomes ``own_base``)."""
         parts, errors = [], []
         for alias in self.scope(db, group):
             try:
-                parts.append(self._read(self.check(alias), name).select(F.lit(alias).alias("base"), "*"))
+                own = self._read(self.check(alias), name).withColumnRenamed("base", "own_base")
+                parts.append(own.select(F.lit(alias).alias("base"), "*"))
             except Exception as e:  # noqa: BLE001 - reported by status()
                 errors.append(e)
         if not parts:

@@ -131,7 +131,7 @@ def test_streaming(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     for i in range(3):
-        (src / f"f{i}.bin").write_bytes(b"x" * (i % 2))
+        (src / f"f{i}.bin").write_bytes(b"x" * (i % 2 + 1))
     for n in (2, 3):
         ingest.ingest_new(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out")).select("sha256").count() == n
