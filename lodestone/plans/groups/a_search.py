@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import paging, search
-from lodestone.plans.tables import t
+from lodestone.operators import tree as T
+from lodestone.plans.tables import RIGHTS_SQL, TREE_SQL, rights, t, tree
 
 
 def _parts(spark, d):
@@ -103,11 +104,45 @@ def preset_attribute_links(spark, d):
     return left.join(t(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", F.coalesce(F.col("toxic").cast("string"), F.lit("(none)")).alias("target"))
 
 
+def preset_path_to_root(spark, d):
+    return T.ancestors(tree(spark, d), F.col("id") == 10042, most=4).orderBy("steps").select("steps", "node", "name")
+
+
+def preset_tree(spark, d):
+    return T.subtree(tree(spark, d), F.col("parent_id").isNull(), 1).orderBy("sort_key").limit(200).select("level", "name", "sort_key")
+
+
+def preset_role_rights(spark, d):
+    """Rights of one role with what they are on."""
+    r = rights(spark, d).where("role = 7")
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("right_no"), "s_name")
+    kind = F.when(F.col("sub_index").isNotNull(), "field").otherwise("object")
+    return r.join(s, "right_no", "left").select("target", kind.alias("kind"), F.coalesce("s_name", F.lit("-")).alias("owner"), "value", "event_id").orderBy("target", "kind", "event_id")
+
+
+def preset_object_rights(spark, d):
+    return rights(spark, d).where("target = 'click' and right_no = 4").select("role", "sub_index", "flags", "value", "event_id").orderBy("role", F.col("sub_index").asc_nulls_first(), "event_id")
+
+
+def preset_rights_state(spark, d):
+    per = rights(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n_rights"), F.count_distinct("target").alias("n_targets"), F.count("rls").alias("n_rls"))
+    return per.orderBy(F.col("n_rls").desc(), "n_targets", F.col("role").desc())
+
+
 QUERIES = {f.__name__: f for f in (
+    preset_path_to_root, preset_tree, preset_role_rights, preset_object_rights, preset_rights_state,
     find_objects, find_objects_typed, find_field, search_total, resolve_path, page_note, object_card, preset_composition, preset_objects_by_name, preset_modules,
     preset_children, preset_module_text, preset_methods, preset_method_body, preset_report_queries, preset_attributes, preset_attribute_links)}
 
 SQL = {
+    "preset_path_to_root": f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT 0 AS steps, id AS node, name, parent_id FROM tree WHERE id = 10042
+        UNION ALL SELECT up.steps + 1, t.id, t.name, t.parent_id FROM up JOIN tree t ON t.id = up.parent_id) SELECT steps, node, name FROM up""",
+    "preset_tree": f"""WITH {TREE_SQL}, k AS (SELECT *, lpad(coalesce(ord, 99999999)::VARCHAR, 8, '0') || lpad(id::VARCHAR, 12, '0') AS piece FROM tree)
+        SELECT * FROM (SELECT 0 AS level, name, piece AS sort_key FROM k WHERE parent_id IS NULL UNION ALL SELECT 1, c.name, p.piece || c.piece FROM k c JOIN k p ON c.parent_id = p.id WHERE p.parent_id IS NULL) ORDER BY sort_key LIMIT 200""",
+    "preset_role_rights": f"""WITH {RIGHTS_SQL} SELECT target, CASE WHEN sub_index IS NULL THEN 'object' ELSE 'field' END AS kind, coalesce(s_name, '-') AS owner, value, event_id
+        FROM rights LEFT JOIN supplier ON s_suppkey = right_no WHERE role = 7""",
+    "preset_object_rights": f"WITH {RIGHTS_SQL} SELECT role, sub_index, flags, value, event_id FROM rights WHERE target = 'click' AND right_no = 4",
+    "preset_rights_state": f"WITH {RIGHTS_SQL} SELECT role, count(*) AS n_rights, count(DISTINCT target) AS n_targets, count(rls) AS n_rls FROM rights GROUP BY role",
     "find_objects": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'ring') ORDER BY length(p_name), p_name, p_partkey LIMIT 20",
     "find_objects_typed": "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE (contains(lower(replace(p_name, ' ', '')), 'brand#1') OR contains(lower(replace(p_brand, ' ', '')), 'brand#1')) AND lower(p_type) = 'economy' ORDER BY length(p_name), p_name, p_partkey LIMIT 50 OFFSET 10",
     "find_field": "SELECT n_name, c_name, c_custkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name), '#00000001') ORDER BY n_name, c_name, c_custkey LIMIT 100 OFFSET 5",
