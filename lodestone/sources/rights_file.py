@@ -76,7 +76,8 @@ def _target(record: list) -> Target:
         collection = nested[1].lower() if len(nested) > 1 and isinstance(nested[1], str) else None
     else:
         flags, sub, collection = (item(2), nested), None, None
-    return Target(str(item(1) or "").lower(), "/".join("" if f is None else str(f) for f in flags), sub, collection)
+    shown = None if flags == (None, None) else "/".join(":".join(map(str, f)) if isinstance(f, list) else str(f) for f in flags)
+    return Target(str(item(1) or "").lower(), shown, sub, collection)
 
 
 def parse(text: str) -> RoleRights:

@@ -99,3 +99,36 @@ def test_dump_and_base(spark, tmp_path):
     assert spark.read.parquet(f"{base}/meta_object").columns == [c.split()[0] for c in TABLES["meta_object"].split(", ")]
     sha = dump.fingerprint_state(spark, str(root / "Catalog/Товар/Catalog.obj.bsl"), None).first()
     assert sha.state == "new" and dump.fingerprint_state(spark, str(root / "Catalog/Товар/Catalog.obj.bsl"), sha.sha256).first().state == "skip"
+
+
+def _brace(x):
+    return "{" + ",".join(map(_brace, x)) + "}" if isinstance(x, list) else str(x)
+
+
+def _rows(rows):
+    return ["1", len(rows), *rows]
+
+
+def test_predefined(spark):
+    from lodestone.sources import predefined
+
+    ref = lambda u: ['"#"', U[9], ["1", u]]
+    text = lambda s: ['"S"', f'"{s}"']
+    flag = lambda b: ['"B"', b]
+    column = lambda n, kind, name='""': [n, name, ['"Pattern"', *kind], '""', "0"]
+    row = lambda n, values, children=(): ["2", n, len(values), *values, *([_rows(children)] if children else [])]
+    table = lambda cols, rows: [[len(cols), *cols], ["2", len(cols), *[x for i, c in enumerate(cols) for x in (i, c[0])], _rows(rows), "-1"]]
+    inner = [column(0, [['"#"', U[9]]]), column(1, [['"B"']], U[1]), column(2, [['"B"']], U[2]), column(3, [['"B"']])]
+    kinds = lambda *k: ['"#"', U[8], ["9", *table(inner, [row(i, [ref(u), flag(a), flag(b), flag(1)]) for i, (u, a, b) in enumerate(k)])]]
+    cols = [column(1, [['"#"', U[9]]]), column(2, [['"S"']]), column(3, [['"S"', "8"]]), column(4, [['"S"', "9"]]), column(5, [])]
+    tree = row(0, [ref(U[0]), text("Счета"), text(""), text(""), ['"U"']], [
+        row(1, [ref(U[3]), text("Средства"), text("01"), text("Основные"), kinds((U[5], 1, 0))], [row(2, [ref(U[4]), text("Орг"), text("01.01"), text('В ""орг""'), kinds((U[5], 1, 1), (U[6], 0, 0))])])])
+    content = _brace(["2", ["1", *table(cols, [tree])]])
+    header = [["3", ["1", "0", U[1]], '"Суммовой"'], ["3", ["1", "0", U[2]], '"Валютный"']]
+    got = predefined.items(content, header)
+    assert [(i.ord, i.parent, i.name, i.code, i.display) for i in got] == [(0, None, "Счета", "", ""), (1, 0, "Средства", "01", "Основные"), (2, 1, "Орг", "01.01", 'В "орг"')]
+    assert got[1].kinds == ((U[5], "Суммовой"),) and got[2].kinds == ((U[5], "Суммовой;Валютный"), (U[6], None)) and got[1].uuid == U[3]
+    two = [column(0, [['"#"', U[9]]]), column(3, [['"S"']]), column(5, [['"S"']])]
+    assert [(i.name, i.code, i.display) for i in predefined.items(_brace(["0", ["1", *table(two, [row(0, [ref(U[0]), text("а"), text("б")])])]]))] == [("а", "", "б")]
+    df = spark.createDataFrame([(1, content), (2, "{1}"), (3, None)], "id long, text string")
+    assert [r.name for r in predefined.read_items(df, ["id"], "text").collect()] == ["Счета", "Средства", "Орг"]
