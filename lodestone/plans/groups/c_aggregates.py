@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import rights as R
+from lodestone.operators import sampling
 from lodestone.operators import tree as T
 from lodestone.operators.search import ranked_first
 from lodestone.plans.tables import RIGHTS_SQL, rights, t
@@ -61,13 +61,7 @@ def declared_vs_actual(spark, d):
 
 
 def systematic_sample(spark, d):
-    """Every n/size-th row, and the first of each type that the sample lacks."""
-    size = 100
-    p = t(spark, d, "part").select("p_partkey", "p_type").withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1)
-    n = p.agg(F.count(F.lit(1)).alias("n"))
-    picked = p.join(n).where(F.floor(F.col("i") * size / F.col("n")) != F.floor((F.col("i") - 1) * size / F.col("n"))).select("p_partkey", "p_type")
-    first = ranked_first(p, ["p_type"], ["p_partkey"]).join(picked.select("p_type").distinct(), "p_type", "left_anti").select("p_partkey", "p_type")
-    return picked.unionByName(first)
+    return sampling.systematic_sample(t(spark, d, "part"), "p_partkey", "p_type", 100)
 
 
 def dedup_first(spark, d):

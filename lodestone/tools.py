@@ -16,6 +16,7 @@ from lodestone.catalog import Catalog
 from lodestone.errors import BadArguments
 from lodestone.functions import code as C
 from lodestone.functions.paths import russian_path, slash_path
+from lodestone.functions.right_names import with_right_names
 from lodestone.operators import code as K
 from lodestone.operators import diff as D
 from lodestone.operators import graph as G
@@ -165,12 +166,12 @@ class Tools:
     def effective_rights(self, roles: list[str], path: str | None = None, limit=None, offset=0, db=None, group=None) -> DataFrame:
         rows = self._role_rows(db, group, roles)
         rows = rows if path is None else self._of(rows, self._objects(db, group, path), "target_object_id")
-        found = R.effective(rows, ["base", *TARGET_NO_FLAGS, "right_uuid", "value"])
+        found = with_right_names(R.effective(rows, ["base", *TARGET_NO_FLAGS, "right_uuid", "value"]))
         return paging.page(found, ["base", "target_uuid", F.col("sub_index").asc_nulls_first(), "right_uuid", "value", F.col("target_attr_id").asc_nulls_first(), F.col("target_tabular_id").asc_nulls_first()], limit, offset)
 
     def role_diff(self, roles_a: list[str], roles_b: list[str], db=None, group=None) -> DataFrame:
         key = ["base", *TARGET_NO_FLAGS, "right_uuid", "value"]
-        return R.role_diff(self._role_rows(db, group, roles_a), self._role_rows(db, group, roles_b), key)
+        return with_right_names(R.role_diff(self._role_rows(db, group, roles_a), self._role_rows(db, group, roles_b), key))
 
     def role_impact(self, roles_before: list[str], roles_after: list[str], mode: str = "intent", db=None, group=None) -> DataFrame:
         """Lost targets and what names them: kind (method or query), where and how often.
@@ -240,6 +241,21 @@ class Tools:
         bad = K.query_violations(m, ["base", "path", "caller"], "body", context).select("base", F.lit("query").alias("kind"), (F.col("line") + 1).alias("line"), F.col("message").alias("target"), F.lit("error").alias("state"))
         return modules.unionByName(meta).unionByName(bad)
 
+    def context_warnings(self, path: str, name: str, code_name=None, db=None, group=None) -> DataFrame:
+        """Calls from client code to common modules that run on the server only: line and target."""
+        m = self.get_method(path, name, code_name, db, group)
+        where = self._t("module", db, group).select("base", F.col("id").alias("module_id"), F.col("context").alias("own"))
+        side = lambda words: F.exists(F.split(F.lower(F.coalesce("directives", F.lit(""))), r",\s*"), lambda x: x.isin(*words))
+        own = F.lower(F.coalesce("own", F.lit("")))
+        has = lambda column, word: F.contains(column, F.lit(word))
+        client = (side(C.CLIENT) & ~side(C.SERVER)) | ((side(C.CLIENT) == side(C.SERVER)) & has(own, "клиент") & ~has(own, "сервер"))
+        callers = m.join(where, ["base", "module_id"], "left").where(client).select("base", F.col("name").alias("caller"), "body")
+        calls = K.call_facts(callers, ["base", "caller"], "body").where("form = 'dotted'")
+        modules = self._of(self._t("module", db, group).select("base", "object_id", F.lower("context").alias("context")), self._objects(db, group).where("type = 'CommonModule'").withColumnRenamed("name", "module"), "object_id", "module")
+        modules = modules.select("base", F.lower("module").alias("low"), "context")
+        both = calls.withColumn("low", F.lower("left")).join(modules, ["base", "low"])
+        return both.where(has(F.col("context"), "сервер") & ~has(F.col("context"), "клиент")).select("base", "caller", "line", F.concat_ws(".", "left", "name").alias("target"), "context")
+
     def call_graph(self, path: str, name: str, depth: int = 2, callers: bool = False, db: str | None = None) -> DataFrame:
         """Methods within ``depth`` calls (or callers), as module.name keys in lower case."""
         alias = self.catalog.scope(db)[0]

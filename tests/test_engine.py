@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from lodestone.catalog import Catalog
 from lodestone.errors import BadArguments, BadRequest, SchemaMismatch, category
 from lodestone.functions import paths
-from lodestone.operators import graph, paging, rights, search, tree
+from lodestone.operators import graph, paging, rights, sampling, search, tree
 from lodestone.plans import registry
 from lodestone.schema import TABLES
 from lodestone.sql_access import rewrite_paths, run_sql
@@ -91,6 +91,14 @@ def test_trees_and_graphs(spark):
     assert {r.node: r.depth for r in graph.bfs(e, start, 3).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
+def test_sampling(spark):
+    df = spark.range(0, 10_000).selectExpr("id * 3 AS k", "CASE WHEN id < 9999 THEN 'a' ELSE 'b' END AS kind").repartition(7)
+    assert [(r.k, r.i) for r in sampling.row_index(df, "k").orderBy("k").collect()] == [(3 * i, i) for i in range(10_000)]
+    got = sorted(r.k // 3 for r in sampling.systematic_sample(df, "k", "kind", 1000).collect())
+    assert len(got) == 1001 and max(b - a for a, b in zip(got, got[1:])) <= 22 and 9999 in got
+    assert sampling.systematic_sample(df.limit(5), "k", "kind", 10).count() == 5
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog(spark)
     part = spark.range(3)

@@ -18,7 +18,7 @@ def tables(changed=False):
     attrs = [(1, cat, 0, "СсылкаАтрибут", "Ссылка: Catalog/Справочник1", None, "a1"), (2, cat, 1, "Код2", "Число" if changed else "Строка(5)", None, "a2"), (3, doc, 0, "НомерЗаказа", "Строка(11)", None, "a3"),
              (4, doc, 1, "Номенклатура", "Ссылка: Catalog/Справочник1", "Товары", "a4"), (5, doc, 2, "Количество", "Число", "Товары", "a5")] + ([(6, cat, 2, "Новый", "Дата", None, "a6")] if changed else [])
     body2 = BODY.replace("Экспортная(1)", "Экспортная(2)") if changed else BODY
-    methods = [(1, 1, 0, "процедура", "Тест", "", False, "&Вместо(\"Закрытая\")" if changed else "", "", 3, 10, body2), (2, 2, 0, "функция", "Экспортная", "А", True, "", "", 1, 3, "Функция Экспортная(А) Экспорт\n\tВозврат 1;\nКонецФункции"),
+    methods = [(1, 1, 0, "процедура", "Тест", "", False, "&НаКлиенте, &Вместо(\"Закрытая\")" if changed else "", "", 3, 10, body2), (2, 2, 0, "функция", "Экспортная", "А", True, "", "", 1, 3, "Функция Экспортная(А) Экспорт\n\tВозврат 1;\nКонецФункции"),
                (3, 2, 1, "процедура", "Закрытая", "", False, "", "", 5, 7, "Процедура Закрытая()\n\tЭкспортная(2);\nКонецПроцедуры")]
     rights = [(1, ID["Role/Роль1"], "u2", cat, None, None, None, None, None, "0/0", "R", "1", None), (2, ID["Role/Роль1"], "u2", cat, None, None, None, None, None, "0/0", "W", "-1", None), (3, ID["Role/Роль1"], "t", None, None, None, None, -2, "c", "1/1", "R", "1", "ГДЕ"),
               (4, ID["Role/Роль1"], "u2", cat, None, None, None, None, None, "1/1", "W", "-1", None), (5, ID["Role/Роль2"], "u7", doc, None, None, None, None, None, "0/0", "R", "1", None)]
@@ -26,7 +26,7 @@ def tables(changed=False):
         "source": [(1, "x.cf", "2024", "Configuration", "Конф", "u1", 10, "sha", "1")], "meta_object": meta, "meta_attribute": attrs, "meta_tabular": [(1, doc, 0, "Товары", "t1"), (2, doc, 1, "Оплата", "t2")],
         "attribute_ref": [(1, 1, 0, "u2", cat), (2, 4, 0, "u2", cat), (3, 5, 0, "zz", None)], "enum_value": [(1, ID["Enum/ТестПеречисление"], 0, "Значение1"), (2, ID["Enum/ТестПеречисление"], 1, "Значение2")],
         "predefined": [(1, cat, 0, None, None, "Элементы", None, None), (2, cat, 1, 0, "p", "ПредЗначение", "001", None)], "common_target": [(1, ID["CommonAttribute/ОбщийТест"], cat)],
-        "module": [(1, cat, "obj", "Сервер", "Перем А;"), (2, mod, "obj", None, "")] + ([(3, doc, "mgr", None, "")] if changed else []), "method": methods,
+        "module": [(1, cat, "obj", "Сервер", "Перем А;"), (2, mod, "obj", "Сервер", "")] + ([(3, doc, "mgr", None, "")] if changed else []), "method": methods,
         "skd_query": [(1, cat, 1, "ВЫБРАТЬ 2 ИЗ Справочник.Справочник1"), (2, cat, 0, "ВЫБРАТЬ 1")],
         "xdto_type": [(1, ID["XDTOPackage/ПакетТест"], 0, "Товар", "objectType", "b", None, None, None), (2, ID["XDTOPackage/ПакетТест"], 0, None, "typeDef", None, None, None, None)],
         "xdto_property": [(1, 1, ID["XDTOPackage/ПакетТест"], 0, "Имя", "xs:string", None, 1, None, 0, None, None, None), (2, 1, ID["XDTOPackage/ПакетТест"], 1, "Позиции", None, None, 0, -1, 0, None, None, 2), (3, 2, ID["XDTOPackage/ПакетТест"], 0, "Номер", "x", None, 0, None, 0, None, None, None)],
@@ -89,6 +89,12 @@ def test_code_tools(tools):
     assert tools.check_query("ВЫБРАТЬ Т.СсылкаАтрибут.ПредЗначение ИЗ Справочник.Справочник1 КАК Т").errors == []
 
 
+def test_context_and_names(tools):
+    assert tools.context_warnings("Catalog/Справочник1", "Тест").count() == 0
+    assert {r.target for r in tools.context_warnings("Catalog/Справочник1", "Тест", db="b").collect()} == {"ОбщийМодуль1.Экспортная", "ОбщийМодуль1.Закрытая", "ОбщийМодуль1.Нету"}
+    assert {r.right_label for r in tools.effective_rights(["Роль1"]).collect()} == {"R", "W"}
+
+
 def test_comparison_tools(tools):
     found = [(r.id, r.kind) for r in tools.compare_object("Catalog/Справочник1", "a", "b").collect()]
     assert found == [("attrs:Новый", "only_right"), ("attrs:Код2", "changed"), ("methods:obj.тест", "changed")]
