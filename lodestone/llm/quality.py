@@ -127,4 +127,28 @@ def with_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_quality(docs).drop("text")
+    return with_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+c AS (SELECT r, sum(length(word)) AS chars FROM p GROUP BY r),
+g AS (SELECT r, n, i, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM w, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n), unnest(range(1, len(ws) - n + 2)) AS u(i) WHERE len(ws) >= n),
+s AS (SELECT r, n, i FROM (SELECT r, n, i, row_number() OVER (PARTITION BY r, n, gram ORDER BY i) AS k, count(*) OVER (PARTITION BY r, n, gram) AS m FROM g) WHERE k > 1 OR (n = 3 AND m > 1)),
+v AS (SELECT DISTINCT r, n, i + o AS i FROM s, unnest(range(0, n)) AS u(o)),
+h AS (SELECT v.r, n, count(*) AS words, sum(length(word)) AS chars FROM v JOIN p ON p.r = v.r AND p.i = v.i GROUP BY v.r, n),
+f AS (SELECT h.r, max(CASE WHEN n = 3 THEN words END) AS again,
+             bool_or(n > 3 AND h.chars / c.chars > CASE n WHEN 5 THEN 0.20 WHEN 6 THEN 0.19 WHEN 7 THEN 0.18 WHEN 8 THEN 0.17 WHEN 9 THEN 0.16 ELSE 0.15 END) AS bad FROM h JOIN c ON c.r = h.r GROUP BY h.r),
+x AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+y AS (SELECT r, count(*) AS lines, count(DISTINCT line) AS kinds, sum(length(line)) AS chars FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+z AS (SELECT r, sum(length(line)) AS chars FROM (SELECT DISTINCT r, line FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) GROUP BY r),
+b AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(c.chars, 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(lines - kinds, 0) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words, coalesce(bad, false) AS bad,
+             coalesce((lines - kinds) / lines > 0.40, false) OR coalesce((y.chars - z.chars) / y.chars > 0.25, false) AS bad_lines
+      FROM w LEFT JOIN c ON c.r = w.r LEFT JOIN f ON f.r = w.r LEFT JOIN y ON y.r = w.r LEFT JOIN z ON z.r = w.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad AND NOT bad_lines AS kept
+FROM b
+"""

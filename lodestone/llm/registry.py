@@ -10,7 +10,7 @@ QUERIES = {
     "op2_warc": ("warc", "OP2_SQL"),
     "op3_packing": ("packing", None),
     "op4_exact_dedup": ("exact_dedup", "OP4_SQL"),
-    "op5_quality_rules": ("quality", None),
+    "op5_quality_rules": ("quality", "OP5_SQL"),
     "op6_bpe": ("bpe", None),
     "op7_toxicity": ("toxicity", None),
     "op8_line_dedup": ("line_dedup", "OP8_SQL"),
