@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from lodestone.llm.common import WORKER_CACHES, steps, table
 
 MAX_TOKENS, END_ID = 4096, 2
-_PLAIN = re.compile("[\t\n\r]")
 #: Letters whose lower case may depend on their neighbours or on the library: left to the tokenizer.
 _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Marks at a word's end, behind a letter: a pre-token of their own in any case.
-_TAIL = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?]+)(?= |$)")
+#: Marks that behind a word of letters are a pre-token of their own.
+_MARKS = ".,;:!?"
+
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,8 +50,8 @@ class WordEncoder:
     """ids of texts through a bounded cache of words; ``path``: a tokenizers file whose words
     white space separates and whose normaliser lowers letters one by one.
 
-    Marks at a word's end are a pre-token of their own, so they are cut off first and the
-    cache holds words; many words of letters are encoded in one call. Ids are kept as bytes (unsigned
+    Marks behind a word of letters are a pre-token of their own, so only its letters need
+    the tokenizer; many words of letters are encoded in one call. Ids are kept as bytes (unsigned
     32-bit, little-endian), which join fast."""
 
     def __init__(self, path: str, most: int = 900_000, longest: int = 64):
@@ -76,20 +76,32 @@ class WordEncoder:
             return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return self._each(found)
 
+    def _make_room(self) -> None:
+        """Words with end marks are cheap to make again, so they go first."""
+        if len(self.known) > self.most:
+            self.known = {w: ids for w, ids in self.known.items() if w.isalpha()}
+            if len(self.known) > self.most * 3 // 4:
+                self.known = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        parts = [_PLAIN.sub(" ", t).split(" ") if _FOREIGN.search(t) else _TAIL.sub(r" \1", _PLAIN.sub(" ", t.lower())).split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
+        plain = (t if _FOREIGN.search(t) else t.lower() for t in texts)
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
+        self._make_room()
         known = self.known
         known[""] = b""
         fresh = set(itertools.chain.from_iterable(parts)).difference(known)
-        letters = [w for w in fresh if len(w) <= self.longest and w.isalpha()]
+        cores = {w: w.rstrip(_MARKS) for w in fresh}
+        cores = {w: c for w, c in cores.items() if c.isalpha() and len(w) <= self.longest}
+        letters = list(set(cores.values()).difference(known))
         for at in range(0, len(letters), 4000):
             some = letters[at : at + 4000]
             known.update(zip(some, self._letters(some), strict=True))
+        marks = list({w[len(c) :] for w, c in cores.items()}.difference(known))
+        known.update(zip(marks, self._each(marks), strict=True))
+        known.update((w, known[c] + known[w[len(c) :]]) for w, c in cores.items() if len(c) < len(w))
         own: dict[str, bytes] = {}
-        rest = [w for w in fresh if w not in known]
+        rest = list(fresh.difference(cores))
         for at in range(0, len(rest), 4000):
             for w, ids in zip(rest[at : at + 4000], self._each(rest[at : at + 4000]), strict=True):
                 (known if len(w) <= self.longest else own)[w] = ids
