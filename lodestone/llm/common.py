@@ -191,17 +191,17 @@ def not_null_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-#: Bits of a membership filter: 2 MiB at most are broadcast, however many keys there are.
-FILTER_BITS, _PER_BUCKET = 1 << 24, 1 << 15
+#: Bits of a membership filter: at most 2**18 words of 64 bits are broadcast, however many keys there are.
+FILTER_BITS = 1 << 24
 
 
 def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be among those of ``keys`` (same column name).
 
-    A bitmap of a fixed size is broadcast; it lets some others pass, so a join follows."""
+    A filter of a fixed size is broadcast as 64-bit words; it lets some other rows pass,
+    so an exact join follows."""
     at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    bits = (keys.select(at.alias("at")).groupBy((F.col("at") / _PER_BUCKET).cast("long").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.col("at") % _PER_BUCKET).alias("__bits")))
-    rows = df.withColumn("__at", at).withColumn("__bucket", (F.col("__at") / _PER_BUCKET).cast("long"))
-    byte = f"cast(conv(hex(substring(__bits, cast((__at % {_PER_BUCKET}) / 8 as int) + 1, 1)), 16, 10) as int)"
-    return rows.join(F.broadcast(bits), "__bucket").where(F.expr(f"shiftright({byte}, cast(__at % 8 as int)) & 1") == 1).drop("__bucket", "__at", "__bits")
+    word, bit = F.shiftright(at, 6).alias("__word"), at.bitwiseAND(F.lit(63)).cast("int").alias("__bit")
+    mask = keys.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
+    rows = df.select("*", word, bit).join(F.broadcast(mask), "__word")
+    return rows.where(F.expr("shiftrightunsigned(__mask, __bit) & 1L") == 1).drop("__word", "__bit", "__mask")

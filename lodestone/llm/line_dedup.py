@@ -3,9 +3,10 @@
 Lines are exploded and normalised (white space stripped at both ends, A-Z lowered), and
 hashed to 128 bits. A document counts once per key (its keys are made distinct before
 the explode), so one count with map-side combining gives the number of documents per
-key, however common a line is. Keys over the threshold join back to the lines' positions
-on the hash (a skewed join that adaptive execution splits: one side has one row a key);
-a document then gets its dropped positions and is put together again by position.
+key, however common a line is. In a second pass a bitmap of the keys over the threshold
+(of a fixed size, so its broadcast is bounded) lets the other lines go; what is left
+joins those keys exactly (a skewed join that adaptive execution splits: one side has one
+row a key). A document then gets its dropped positions and is put together by position.
 
 Edge cases: null and empty texts are one empty line, which has no code points and stays;
 a text that loses all lines becomes empty; repeated rows each count as a document; an
@@ -17,28 +18,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, cut, not_null_text, number_rows, table
+from lodestone.llm.common import SPACES, cut, maybe_in, not_null_text, number_rows, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line):
-    """The key of a line: stripped of `[\\x20\\x09-\\x0D]`, A-Z in lower case."""
-    return F.translate(F.trim(line, F.lit(SPACES)), UPPER, LOWER)
+    """The key of a line: stripped of `[\\x20\\x09-\\x0D]`, A-Z in lower case.
+
+    For lines of ASCII only, that is the (much faster) general lower case."""
+    bare = F.trim(line, F.lit(SPACES))
+    return F.when(F.octet_length(line) == F.length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` (a stored table) with three more columns: n_lines, n_dropped (long) and kept_text."""
     rows = number_rows(docs, "__row")
-    lines = rows.select("__row", F.posexplode(F.split(not_null_text(text_col), "\n")).alias("pos", "line"))
-    keyed = lines.select("__row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars).select(
-        "__row", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
-    per_doc = keyed.groupBy("k1", "k2", "__row").agg(F.collect_list("pos").alias("at"))
-    common = per_doc.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    hits = per_doc.join(common.select("k1", "k2"), ["k1", "k2"]).select("__row", "at")
-    dropped = cut(hits.groupBy("__row").agg(F.flatten(F.collect_list("at")).alias("__drop")))
-    out = rows.join(dropped, "__row", "left")
     parts = F.split(not_null_text(text_col), "\n")
+    hashes = lambda key: (F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2"))
+    once = rows.select(F.explode(F.array_distinct(F.transform(parts, line_key))).alias("key")).where(F.length("key") >= min_chars)
+    common = cut(once.select(*hashes("key")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("k1", "k2"))
+    lines = rows.select("__row", F.posexplode(F.transform(parts, line_key)).alias("pos", "key"))  # a key is made once
+    keyed = lines.where(F.length("key") >= min_chars).select("__row", "pos", *hashes("key"))
+    hits = maybe_in(keyed, "k1", common.select("k1")).join(common, ["k1", "k2"])
+    dropped = cut(hits.groupBy("__row").agg(F.collect_list("pos").alias("__drop")))
+    out = rows.join(dropped, "__row", "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
     kept = F.when(F.col("__drop").isNull(), not_null_text(text_col)).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
