@@ -67,7 +67,8 @@ THRESHOLD = 0.5
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """row, id, path, at (0-based code point), rule, candidate, before, behind of each candidate."""
     text = not_null_text(text_col)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), path.alias("path"), text.alias("text"))
     found = rows.where(F.col("text").rlike(PATTERN)).select(
         "row", "id", "path", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits"), F.split("text", PATTERN, -1).alias("gaps"))
     each = found.select("row", "id", "path", F.posexplode(F.transform("hits", lambda h, i: F.struct(
