@@ -68,3 +68,18 @@ def test_derive(spark):
     assert {(r.part, r.name, r.tabular) for r in rows} == {("attribute", "Номер", None), ("attribute", "Измерение", None), ("attribute", "Номер", "Товары"), ("attribute", "Кол", "Товары"), ("section", "Товары", None),
                                                            ("section", "Пусто", None), ("value", "Значение1", None), ("value", "Значение2", None)}
     assert {r.object_id for r in rows} == {1} and [r.type_str for r in rows if r.name == "Номер"] == ["Строка(11)", "Число"]
+
+
+def test_links(spark):
+    from lodestone.sources import links
+
+    u = lambda n: f"{n:08x}-0000-0000-0000-00000000000a"
+    rows = [(1, None, "Configuration", u(1), f'[["{u(3)}", "{u(2).upper()}"]]'), (2, 1, "Catalog", u(2), "[]"), (3, 1, "CommonAttribute", u(3), f'["{u(3)}", "{u(2)}", "{u(2)}", "{u(99)}"]'),
+            (4, 1, "Subsystem", u(4), f'["{u(3)}", "{u(1)}", "{u(2)}", "{u(3)}", "{u(4)}"]'), (5, 2, "Document", None, None)]
+    o = spark.createDataFrame(rows, "id long, parent_id long, type string, uuid string, header_json string")
+    assert [tuple(r) for r in links.common_targets(o).collect()] == [(3, 2)]
+    assert [tuple(r) for r in links.subsystem_content(o).orderBy("ord").collect()] == [(4, 3, 0), (4, 2, 1)]
+    assert {r.id: r.ord for r in links.sibling_order(o).collect()} == {1: None, 2: 1, 3: 0, 4: None, 5: None}
+    s = spark.createDataFrame([(1, u(7).upper()), (2, u(8)), (3, None)], "id long, uuid string")
+    p = spark.createDataFrame([(70, u(7)), (71, u(7)), (72, None)], "id long, uuid string")
+    assert {r.id: r.kind_id for r in links.resolve_kinds(s, p).collect()} == {1: 70, 2: None, 3: None}
