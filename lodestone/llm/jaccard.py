@@ -39,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
@@ -47,7 +47,7 @@ from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
 BAND = 1.5  # largest size / smallest size in a band
-BLOCK = 4096  # members of the smaller side that one task compares with all
+BLOCK, CHUNK = 4096, 65536  # members of the smaller side, and of all, that one cell compares
 _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
 
@@ -266,16 +266,20 @@ def _across(live: DataFrame, plan: Plan) -> DataFrame:
     """Pairs across components in groups that span several: (a, b), a < b.
 
     ``live``: sig, node, n, sk, component. In each group the largest component stays
-    whole; the others' members are dealt to blocks, and each block meets all members,
-    which stream past it. Pairs that sizes or sketches rule out are not emitted."""
+    whole; the others' members are dealt to blocks, all members to chunks, and each block
+    meets each chunk in a task of its own, the chunk streaming past the block. Pairs that
+    sizes or sketches rule out are not emitted."""
     counts = live.groupBy("sig", "component").count()
     groups = counts.groupBy("sig").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("total"),
                                        F.max("count").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = live.join(groups.select("sig", "main", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("blocks")), "sig")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    few = rows.where("component != main").select("sig", own.alias("block"), F.lit(0).alias("kind"), "node", "n", "sk", "component")
-    every = rows.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "n", "sk", "component")
-    dealt = few.union(every).repartition("sig", "block").sortWithinPartitions("sig", "block", "kind")
+    size = groups.select("sig", "main", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
+    rows = live.join(size, "sig")
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("cell")
+    few = rows.where("component != main").withColumn("block", own("blocks", 1)).withColumn("chunk", each("chunks")).select("sig", cell, F.lit(0).alias("kind"), "node", "n", "sk", "component")
+    every = rows.withColumn("chunk", own("chunks", 2)).withColumn("block", each("blocks")).select("sig", cell, F.lit(1).alias("kind"), "node", "n", "sk", "component")
+    dealt = few.union(every).repartition("sig", "cell").sortWithinPartitions("sig", "cell", "kind")
     num, den = plan.num, plan.den
 
     def run(batches):
@@ -333,9 +337,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         nodes = cut(sets.where("n > 0").groupBy("d1", "d2").agg(
             F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"),
             F.first("n").alias("n"), F.first("sk").alias("sk")))
-        group = Window.partitionBy("sig")
         emitted = sets.where("sigs is not null").select("d1", F.explode("sigs").alias("sig"))
-        met = cut(emitted.withColumn("low", F.min("d1").over(group)).withColumn("high", F.max("d1").over(group)).where("low != high"))
+        shared = cut(emitted.groupBy("sig").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high"))
+        met = cut(maybe_in(emitted, "sig", shared.select("sig")).join(shared, "sig"))
         who = nodes.select("d1", "node", "n", "sk")
         star = met.select("d1", F.explode(F.array("low", "high")).alias("p1")).where("d1 != p1").distinct()
         pivot = who.select(F.col("d1").alias("p1"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sk").alias("bsk"))
@@ -358,6 +362,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ends = ends.join(top, "component", "left").withColumn("component", F.coalesce("final", "component")).drop("final")
         least = ends.groupBy("component").agg(F.min("best").alias("least"))
         named = ends.join(least, "component").select("d1", "d2", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row"))
+        named = cut(named)  # read from storage, so that the join below is free to split a hot digest
         return cut(sets.select("id", "row", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select(
             "id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
             ((F.col("n") == 0) | (F.col("row") == F.col("first_row"))).alias("first")))

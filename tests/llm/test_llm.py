@@ -89,8 +89,9 @@ def test_jaccard_matches_brute_force(docs, width, num):
 
 
 def test_jaccard_large_group_across_components(spark, tmp_path, monkeypatch):
-    """A group whose members straddle the threshold, with blocks of two members."""
+    """A group whose members straddle the threshold, with small blocks and chunks."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
     rng = np.random.default_rng(3)
     base = [f"t{i}" for i in range(150)]
     rows = []
@@ -243,6 +244,7 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "p"))
     pages = spark.read.parquet(str(tmp_path / "p"))
     files = warc.write_archives(pages, f"file://{tmp_path}/w")
+    (tmp_path / "w/archives/stray.warc.gz").write_bytes(warc.member(warc.response(99, "http://x/", b"left by a failed attempt", "0", None, False)))
     got = warc.read_archives(spark, f"file://{tmp_path}/w/archives", files).collect()
     assert sum(r.kind == "gap" for r in got) == 0 and len(got) == len(rows)
     kinds = Counter((r.id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
