@@ -217,6 +217,67 @@ def configuration_properties(header: dict) -> dict[str, str]:
     return {k: v for k, v in found.items() if v}
 
 
+#: Where an event subscription has its parts, and where sources are named by.
+SOURCES_AT, EVENT_AT, HANDLER_AT, METHOD_AT, SELF_AT = 2, 3, 4, 5, (1, 4)
+
+
+def _uuid_or_none(x) -> str | None:
+    return x if isinstance(x, str) and UUID.fullmatch(x) else None
+
+
+def self_uuid(header: dict) -> str | None:
+    """The uuid by which event subscriptions name an object as their source."""
+    return next(filter(None, (_uuid_or_none(_at(header, "header", 0, 1, i)) for i in SELF_AT)), None)
+
+
+def event_subscription(header: dict) -> dict | None:
+    """event, handler (a module's uuid), method and sources of a subscription; None for what is none."""
+    record = _at(header, "header", 0, 1)
+    sources, event = _at(record, SOURCES_AT), unquote(_at(record, EVENT_AT))
+    if not (isinstance(sources, list) and sources and unquote(sources[0]) == "Pattern" and event and _at(record, METHOD_AT) is not None):
+        return None
+    own = [x for x in (_uuid_or_none(_at(s, 1)) for s in sources[1:]) if x]
+    return {"event": event.partition("_")[2] or event, "handler": _uuid_or_none(_at(record, HANDLER_AT)), "method": unquote(_at(record, METHOD_AT)) or None, "sources": own}
+
+
+def exchange_content(header: dict) -> list[str]:
+    """uuids of an exchange plan's content: pairs (uuid, flag) behind two leading values."""
+    info = header.get("info") if isinstance(header, dict) else None
+    while isinstance(info, list) and len(info) == 1 and isinstance(info[0], list):
+        info = info[0]
+    pairs = info[2:] if isinstance(info, list) else []
+    return [u for u in map(_uuid_or_none, pairs[: len(pairs) // 2 * 2 : 2]) if u]
+
+
+def event_index(objects: DataFrame) -> DataFrame:
+    """subscription, event, method, handler and source (paths, null where unknown) of all
+    subscriptions; objects: path, type, uuid, header_json."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.code import expand
+
+    def subscription(text):
+        found = event_subscription(_json(text))
+        return [(found["event"], found["method"], found["handler"], u) for u in found["sources"] or [None]] if found else []
+
+    def own(text):
+        u = self_uuid(_json(text))
+        return [(u,)] if u else []
+
+    subs = expand(objects.where("type = 'EventSubscription'"), ["path"], "header_json", "event string, method string, handler_uuid string, source_uuid string", subscription)
+    sources = expand(objects.where("type <> 'EventSubscription'"), ["path"], "header_json", "source_uuid string", own).groupBy("source_uuid").agg(F.min("path").alias("source"))
+    modules = objects.select(F.col("uuid").alias("handler_uuid"), F.col("path").alias("handler")).where("handler_uuid is not null")
+    return subs.join(sources, "source_uuid", "left").join(modules, "handler_uuid", "left").select(F.col("path").alias("subscription"), "event", "method", "handler", "source", "source_uuid")
+
+
+def _json(text) -> dict:
+    try:
+        found = json.loads(text)
+    except (TypeError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def derive(objects: DataFrame, names: Names) -> DataFrame:
     """object_id, part (attribute, section or value), ord, name, tabular, uuid, type_str, links
     and count, from objects (id, header_json); headers that are no JSON give nothing."""

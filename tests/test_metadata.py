@@ -83,3 +83,14 @@ def test_links(spark):
     s = spark.createDataFrame([(1, u(7).upper()), (2, u(8)), (3, None)], "id long, uuid string")
     p = spark.createDataFrame([(70, u(7)), (71, u(7)), (72, None)], "id long, uuid string")
     assert {r.id: r.kind_id for r in links.resolve_kinds(s, p).collect()} == {1: 70, 2: None, 3: None}
+
+
+def test_subscriptions_and_plans(spark):
+    header = lambda *record: {"header": [["1", [*record], "0"]]}
+    sub = header("1", core("П"), ['"Pattern"', ['"#"', REF], ['"#"', GENERIC]], '"BeforeWrite_ПередЗаписью"', CAT, '"Экспортная"')
+    assert M.event_subscription(sub) == {"event": "ПередЗаписью", "handler": CAT, "method": "Экспортная", "sources": [REF, GENERIC]}
+    assert M.event_subscription(header("1", "2")) is None and M.event_subscription({}) is None
+    assert M.exchange_content({"info": [["2", "2", CAT, "0", REF, "1"]]}) == [CAT, REF] and M.exchange_content({}) == []
+    rows = [("EventSubscription/П", "EventSubscription", None, json.dumps(sub)), ("CommonModule/М", "CommonModule", CAT, "{}"), ("DefinedType/Т", "DefinedType", DEFINED, json.dumps(header("0", REF))), ("Catalog/Х", "Catalog", None, None)]
+    got = M.event_index(spark.createDataFrame(rows, "path string, type string, uuid string, header_json string")).collect()
+    assert {(r.event, r.method, r.handler, r.source) for r in got} == {("ПередЗаписью", "Экспортная", "CommonModule/М", "DefinedType/Т"), ("ПередЗаписью", "Экспортная", "CommonModule/М", None)}
