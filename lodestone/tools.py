@@ -28,6 +28,7 @@ from lodestone.sql_access import rewrite_paths, run_sql
 TARGET = ["target_uuid", "target_object_id", "target_attr_id", "target_tabular_id", "target_subobject_id", "sub_index", "target_flags"]
 TARGET_NO_FLAGS = TARGET[:-1]
 TEXT_LIMIT = 20_000
+MOST_NESTING = 6  # levels of types inside types that are listed
 
 
 class Tools:
@@ -301,13 +302,11 @@ class Tools:
         key = lambda prefix, n: F.concat(prefix, F.lpad(n.cast("string"), 8, "0"))
         at = level.select("base", "type_no", F.lit(0).alias("level"), key(F.lit(""), F.col("ord")).alias("sort_key"), F.concat_ws(" ", "kind", "name", "base_ns", "facets", "enum_values").alias("text"))
         out = at
-        for depth in range(1, 9):
+        for depth in range(1, MOST_NESTING + 1):
             props = at.select("base", F.col("type_no").alias("type_id"), "sort_key").join(p.select("base", "type_id", "ord", "name", "type", "lower_bound", "upper_bound", "nested_type_id"), ["base", "type_id"])
             out = out.unionByName(props.select("base", F.col("type_id").alias("type_no"), F.lit(depth).alias("level"), key(F.col("sort_key"), F.col("ord")).alias("sort_key"),
                                                F.concat_ws(" ", "name", "type", F.concat(F.lit("["), F.coalesce(F.col("lower_bound").cast("string"), F.lit("")), F.lit(".."), F.coalesce(F.col("upper_bound").cast("string"), F.lit("")), F.lit("]"))).alias("text")))
             at = props.where("nested_type_id is not null").select("base", F.col("nested_type_id").alias("type_no"), F.lit(depth).alias("level"), key(F.col("sort_key"), F.col("ord")).alias("sort_key"), F.lit("").alias("text"))
-            if depth == 4:  # nesting of packages is shallow; deeper levels repeat these
-                break
         return out.select("base", "level", "sort_key", "text")
 
     def find_xdto(self, mask: str, limit=None, offset=0, db=None, group=None) -> DataFrame:
