@@ -6,10 +6,10 @@
 * **Compaction** merges the runs: one row per digest with the identifier that stays
   (the largest or the smallest) and the group's size. The aggregate combines in the map
   tasks, so a digest that holds a third of all rows sends one row per task.
-* **Byte verification.** Only digests with two rows or more are hits. A bitmap of the
+* **Byte verification.** Only digests with two rows or more are hits. A filter of the
   hits' digests (of a fixed size, so its broadcast is bounded) lets the other texts go
   before any shuffle; the texts of the hits are then grouped by digest *and* by the text
-  itself, whose grouping compares bytes. Digests with more than one text are split.
+  itself, whose grouping compares bytes. Two texts with one digest are an error.
 
 Edge cases: a null text counts as the empty one; null identifiers rank below all others;
 of repeated rows (same identifier, same text) exactly one stays; an empty table gives an
@@ -22,11 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, not_null_text, number_rows, scratch, table
-
-#: Bits of the filter of hits: 2 MiB at most are broadcast, however large the input is.
-FILTER_BITS = 1 << 24
-_PER_BUCKET = 1 << 15
+from lodestone.llm.common import cut, maybe_in, not_null_text, number_rows, scratch, table
 
 
 def flush_runs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,31 +42,15 @@ def compact(runs: DataFrame, keep: str = "max") -> DataFrame:
     ).select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
 
 
-def _filter_position(digest, bits: int):
-    """The bit of a digest: its first 8 hex digits, folded to the filter's size."""
-    return F.conv(F.substring(F.hex(digest), 1, 8), 16, 10).cast("long") % F.lit(bits)
-
-
-def hit_filter(index: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The bitmap of all digests with several rows: at most bits / 2**15 rows of 4 KiB."""
-    at = _filter_position(F.col("digest"), bits)
-    return (index.where("group_size > 1").select(at.alias("at"))
-        .groupBy((F.col("at") / _PER_BUCKET).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("at") % _PER_BUCKET).alias("bits")))
-
-
 def verify(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The hits' groups as their bytes say: digest, text, keep_id, group_size.
 
-    Texts whose digest is surely no hit are dropped by the broadcast bitmap, before the
+    Texts whose digest is surely no hit are dropped by a broadcast filter, before the
     shuffle; the aggregate on (digest, text) combines in the map tasks."""
     pick = F.max if keep == "max" else F.min
     text = not_null_text(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    rows = rows.withColumn("at", _filter_position(F.col("digest"), FILTER_BITS))
-    rows = rows.withColumn("bucket", (F.col("at") / _PER_BUCKET).cast("long"))
-    maybe = rows.join(F.broadcast(hit_filter(index)), "bucket").where(
-        F.expr(f"shiftright(cast(conv(hex(substring(bits, cast((at % {_PER_BUCKET}) / 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1") == 1)
+    maybe = maybe_in(rows, "digest", index.where("group_size > 1").select("digest"))
     return maybe.groupBy("digest", "text").agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -90,6 +70,7 @@ def dedup_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         "digest", "keep_id", "keep_row",
         F.when((F.col("texts") == 1) & (F.col("seen") == F.col("group_size")), F.col("group_size"))
         .otherwise(F.raise_error(F.lit("byte verification failed: equal digests of different texts"))).cast("long").alias("group_size"))
+    hits = cut(hits)  # read from storage, so that the join below is free to split a hot digest
     found = runs.join(hits, "digest", "left")
     return found.select(
         "id", "digest", "row",
