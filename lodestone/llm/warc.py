@@ -45,6 +45,7 @@ DATE = "2024-01-01T00:00:00Z"
 
 MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
+MOST_STRAYS = 10_000  # files of failed attempts that may be broadcast; more are joined by a shuffle
 _NULL_ID = 1 << 64
 
 
@@ -222,9 +223,13 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame | None = None
 
     payload_bytes and payload_digest (lower-case hex SHA-1) are of the full payload, for
     revisits as their headers state them; rows of kind `gap` have only file, start, end."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if files is not None:
-        raw = raw.join(files.select("file"), "file", "left_semi")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    raw = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    if files is not None:  # what failed attempts left behind is rare: those are left out, by name, so that contents stay in place
+        strays = cut(raw.select("file").join(files.select("file"), "file", "left_anti"))
+        n = strays.count()
+        if n:
+            raw = raw.join(F.broadcast(strays) if n <= MOST_STRAYS else strays, "file", "left_anti")
 
     def run(batches):
         names = [f.split()[0] for f in RECORDS.split(", ")]
