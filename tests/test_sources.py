@@ -61,7 +61,7 @@ def test_rights(spark):
 
 
 def test_xdto():
-    text = b"""<package xmlns="http://v8.1c.ru/8.1/xdto" xmlns:d2p1="urn:base" targetNamespace="urn:t"><import namespace="urn:base"/>
+    text = b"""<package xmlns="urn:schema-packages" xmlns:d2p1="urn:base" targetNamespace="urn:t"><import namespace="urn:base"/>
       <objectType name="Item" base="d2p1:Base"><property name="Code" type="d2p1:S" lowerBound="1" form="Attribute"/><property name="Rows" lowerBound="0" upperBound="-1">
       <typeDef type="ObjectType"><property name="No" type="x"/></typeDef></property></objectType>
       <valueType name="Kind" base="xs:string" maxLength="20"><pattern>a+</pattern><enumeration>In</enumeration><enumeration>Out</enumeration></valueType><property name="Root" localName="root"/></package>"""
