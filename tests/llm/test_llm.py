@@ -334,6 +334,16 @@ def test_pii_revealing_terms(spark, tmp_path):
     assert "x@corp.com" not in clean[0] and "[EMAIL]" in clean[0] and "kingpin" not in clean[0] and clean[101] == dict(rows)[101] and clean[200] is None
 
 
+def test_pii_rare_entities(spark, tmp_path):
+    """Values seen once or twice, or in copies of one passage, are judged like all others."""
+    rows = [(1, "plain call about quokkas to one@once.org plain"), (2, "plain zebrine note two@twice.org plain"), (3, "plain more zebrine for two@twice.org plain")]
+    rows += [(10 + i, "plain narwhal copy of copies@site.org plain") for i in range(40)] + [(100 + i, "plain call about more copy note text") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = {r.id: r.spans for r in pii.find(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "w")).collect()}
+    terms = {i: {t[p.s : p.x] for p in got[i] if p.k == 4} for i, t in rows}
+    assert terms[1] == {"quokkas"} and terms[2] == terms[3] == {"zebrine"} and terms[10] == {"narwhal"} and not terms[100]
+
+
 def test_secrets(spark, tmp_path):
     model = secrets.train(secrets.labelled_findings(spark).where("i % 4 != 0"))
     found = secrets.with_features(secrets.labelled_findings(spark).where("i % 4 = 0"))
