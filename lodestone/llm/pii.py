@@ -4,21 +4,25 @@
 found in every whole text, leftmost and without overlap per kind.
 
 **Method.** Every found value is a protected entity e. From the whole corpus we count, in
-documents, how often e occurs, how often a term t occurs, and how often t stands near e.
+documents, how often e occurs, how often a term t occurs, and how often both occur in one,
+at whatever distance.
 With IC(e) = log(N / n(e)) and PMI(e; t) = log(p(e|t) / p(e)), the disclosure PMI / IC is
 the share of e's information that seeing t reveals. Every entity is judged, however rare:
 p(e|t) is smoothed to (n(e,t) + a p(e)) / (n(t) + a), as if t had been seen in a =
 ``PRIOR`` more documents at e's own rate, so few sightings weigh less, and the rarer e and
 t are in the corpus, the fewer suffice (a term seen once, beside a value seen once, reveals
 it from about 1,500 documents on). Terms whose disclosure reaches ``GENERALISE`` are
-generalised to ``[TERM]``, from ``REMOVE`` on they are removed, in the windows around that
-entity.
-
-Data flow: one pass over the texts gives each document's base spans and the terms around
-them; only those narrow rows are shuffled. A second pass counts the documents of candidate
-terms over the whole corpus; a bitmap of a fixed size keeps other words out of the
-shuffle. Counts combine in the map tasks, so a value that a third of all rows contain is
-no hot key.
+generalised to ``[TERM]``, from ``REMOVE`` on they are removed, wherever they occur in any
+text: with the entity or without it, by the entity that they reveal most of. Terms inside
+base spans go with these.
+
+Data flow: one pass over the texts gives each document's base spans and, where there are
+any, its terms; only those narrow rows are shuffled. Pairs that the documents with
+identifiers alone bring under the limit go at once, as more documents of the term only
+lower its disclosure. A second pass counts the documents of the others over the whole
+corpus, and a third finds all places of the revealing terms; bitmaps of a fixed size keep
+other words out of the shuffle. Counts combine in the map tasks, so a value that a third
+of all rows contain is no hot key.
 
 Edge cases: a null or empty text has no spans; overlapping spans of different kinds are
 all reported, and redacted as one stretch; repeated rows each count as a document; null
@@ -46,7 +50,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a run of digits
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-WINDOW = 8  # words at either side of an entity
 PRIOR = 2.0  # documents of no evidence added to each term's own
 GENERALISE, REMOVE = 0.85, 0.98
 TERM = re.compile(r"[^\W\d_]{4,}")
@@ -108,69 +111,69 @@ def entity(kind: int, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind == 0 else value if kind == 1 else _NON_DIGIT.sub('', value)}")
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The terms around each span: e (entity), t, s, x (term and its place)."""
-    out, stretch = [], 40 * WINDOW
-    for start, kind, end in spans:
-        near = []
-        left = [m for m in TERM.finditer(text, max(0, start - stretch), start)][-WINDOW:]
-        right = []
-        for m in TERM.finditer(text, end, min(len(text), end + stretch)):
-            right.append(m)
-            if len(right) == WINDOW:
-                break
-        for m in left + right:
-            if not any(s < m.end() and m.start() < x for s, _, x in spans):
-                near.append((m[0].lower(), m.start(), m.end()))
-        e = entity(kind, text[start:end])
-        out += [{"e": e, "t": t, "s": s, "x": x} for t, s, x in near]
-    return out
+def document_terms(text: str) -> set[str]:
+    return {t.lower() for t in set(TERM.findall(text))}
 
 
-def document_terms(text: str) -> set[str]:
-    return set(TERM.findall(text.lower()))
+def terms_outside(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The terms of a text that stand outside the spans at least once."""
+    out, reach, i = set(), 0, 0
+    for m in TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach, i = max(reach, spans[i][2]), i + 1
+        if m.start() >= reach:
+            out.add(m[0].lower())
+    return sorted(out)
 
 
 _SPAN = "struct<s:int,k:int,x:int>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """docs (row, id, text) -> row, id, spans, entities, around."""
-    schema = f"row long, id {docs.schema['id'].dataType.simpleString()}, spans array<{_SPAN}>, entities array<bigint>, around array<struct<e:bigint,t:string,s:int,x:int>>"
+    """docs (row, id, text) -> row, id, spans, entities, terms (none where there is no entity)."""
+    schema = f"row long, id {docs.schema['id'].dataType.simpleString()}, spans array<{_SPAN}>, entities array<bigint>, terms array<string>"
     span_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("x", pa.int32())]))
-    around_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("s", pa.int32()), ("x", pa.int32())]))
 
     def run(batches):
         for batch, texts, _ in steps(batches):
-            spans, entities, around = [], [], []
+            spans, entities, terms = [], [], []
             for text in texts.to_pylist():
                 found = base_spans(text)
                 spans.append([{"s": s, "k": k, "x": x} for s, k, x in found])
                 entities.append(sorted({entity(k, text[s:x]) for s, k, x in found}))
-                around.append(context_terms(text, found) if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64())), pa.array(around, around_type)],
-                                             ["row", "id", "spans", "entities", "around"])
+                terms.append(terms_outside(text, found) if found else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span_type), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))],
+                                             ["row", "id", "spans", "entities", "terms"])
 
     return docs.select("row", "id", "text").mapInArrow(run, schema)
 
 
-def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(t, nt): in how many documents each candidate term occurs, over all documents."""
+def _sent_mask(candidates: DataFrame):
+    """A broadcast bitmap in which the places of all candidate terms are set."""
     at = F.crc32(F.encode("t", "UTF-8")).bitwiseAND(F.lit(_MASK))
     bits = candidates.select("t").distinct().select(at.alias("at")).groupBy((F.col("at") / 32768).cast("int").alias("b")).agg(
         F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     mask = np.zeros((_MASK + 1) // 8, dtype=np.uint8)
     for r in bits.collect():  # at most 512 rows of 4 KiB
         mask[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(mask.tobytes())
+    return candidates.sparkSession.sparkContext.broadcast(mask.tobytes())
+
+
+def _in_mask(flags: bytes, term: str) -> int:
+    h = zlib.crc32(term.encode("utf-8", "replace")) & _MASK
+    return flags[h >> 3] >> (h & 7) & 1
+
+
+def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(t, nt): in how many documents each candidate term occurs, over all documents."""
+    sent = _sent_mask(candidates)
 
     def run(batches):
         flags, count = sent.value, Counter()
         for _, texts, _ in steps(batches):
             for text in texts.to_pylist():
                 for t in document_terms(text):
-                    h = zlib.crc32(t.encode("utf-8", "replace")) & _MASK
-                    if flags[h >> 3] >> (h & 7) & 1:
+                    if _in_mask(flags, t):
                         count[t] += 1
             if len(count) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["t", "n"])
@@ -181,33 +184,54 @@ def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("nt"))
 
 
+def _places(docs: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(row, t, s, x): all places of the revealing terms (and of few others) in all documents."""
+    sent = _sent_mask(revealing)
+    schema = pa.schema([("row", pa.int64()), ("t", pa.string()), ("s", pa.int32()), ("x", pa.int32())])
+
+    def run(batches):
+        flags = sent.value
+        for batch, texts, _ in steps(batches):
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), texts.to_pylist()):
+                if here := {t for t in document_terms(text) if _in_mask(flags, t)}:
+                    out += [(row, t, m.start(), m.end()) for m in TERM.finditer(text) if (t := m[0].lower()) in here]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+
+    return docs.select("row", "text").mapInArrow(run, "row long, t string, s int, x int")
+
+
+def _disclosure(net, nt, ne, total: int, prior: float):
+    rate = ne / F.lit(float(total))
+    seen = (F.least(net, nt, ne) + prior * rate) / (nt + prior)
+    ic = -F.log(rate)
+    return F.when(ic > 0, F.log(seen / rate) / ic).otherwise(0.0)
+
+
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
     """(e, t, disclosure) of all terms that reveal a protected entity at least that much."""
     total = found.count()
-    near = found.select("row", F.explode("around").alias("a")).select("row", "a.e", "a.t")
-    pairs = cut(near.groupBy("e", "t").agg(F.count_distinct("row").alias("net")))
-    none = docs.sparkSession.createDataFrame([], "e long, t string, disclosure double")
-    if not total or pairs.isEmpty():
-        return none
+    terms = found.where(F.size("entities") > 0).select("entities", F.explode("terms").alias("t"))
+    here = terms.groupBy("t").agg(F.count(F.lit(1)).alias("nd"))
     n_entity = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
-    known = pairs.join(n_entity, "e").join(_term_counts(docs, pairs), "t")
-    rate = F.col("ne") / F.lit(float(total))
-    seen = (F.least("net", "nt", "ne") + prior * rate) / (F.col("nt") + prior)
-    ic = -F.log(rate)
-    return cut(known.withColumn("disclosure", F.when(ic > 0, F.log(seen / rate) / ic).otherwise(0.0)).where(F.col("disclosure") >= least).select("e", "t", "disclosure"))
+    pairs = terms.select(F.explode("entities").alias("e"), "t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("net")).join(n_entity, "e").join(here, "t")
+    score = lambda nt: _disclosure(F.col("net"), F.col(nt), F.col("ne"), total, prior)
+    pairs = cut(pairs.where(score("nd") >= least).select("e", "t", "net", "ne"))
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "e long, t string, disclosure double")
+    return cut(pairs.join(_term_counts(docs, pairs), "t").withColumn("disclosure", score("nt")).where(F.col("disclosure") >= least).select("e", "t", "disclosure"))
 
 
 def find(docs: DataFrame, work: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id and spans (s, k, x, d) of each document: base spans and revealing terms (k = 4, d its disclosure)."""
     rows = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
     found = stored(detect(rows), work)
-    revealing = disclosures(rows, found)
-    hits = found.where(F.size("around") > 0).select("row", F.explode("around").alias("a")).select("row", "a.e", "a.t", "a.s", "a.x").join(revealing, ["e", "t"])
-    more = hits.groupBy("row", "s", "x").agg(F.max("disclosure").alias("d")).groupBy("row").agg(
-        F.collect_list(F.struct("s", F.lit(4).alias("k"), "x", "d")).alias("more"))
+    revealing = cut(disclosures(rows, found).groupBy("t").agg(F.max("disclosure").alias("d")))
+    more = _places(rows, revealing).join(revealing, "t").groupBy("row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "x", "d")).alias("more"))
     base = F.transform("spans", lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["x"].alias("x"), F.lit(None).cast("double").alias("d")))
+    outside = F.filter("more", lambda m: ~F.exists("spans", lambda p: (p["s"] < m["x"]) & (m["s"] < p["x"])))
     return found.select("row", "id", "spans").join(more, "row", "left").select(
-        "row", "id", F.array_sort(F.concat(base, F.coalesce("more", F.expr("cast(array() as array<struct<s:int,k:int,x:int,d:double>>)")))).alias("spans"))
+        "row", "id", F.array_sort(F.concat(base, F.coalesce(outside, F.expr("cast(array() as array<struct<s:int,k:int,x:int,d:double>>)")))).alias("spans"))
 
 
 def _joined(spans):

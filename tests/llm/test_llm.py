@@ -344,6 +344,20 @@ def test_pii_rare_entities(spark, tmp_path):
     assert terms[1] == {"quokkas"} and terms[2] == terms[3] == {"zebrine"} and terms[10] == {"narwhal"} and not terms[100]
 
 
+def test_pii_terms_at_any_distance(spark, tmp_path):
+    """Co-occurrence and redaction reach over whole documents, and texts without the identifier."""
+    far = "plain words " * 400
+    rows = [(i, f"Narwhal {far}mail copies@site.org{' ' * 317}quokkas {far}narwhal copies@site.narwhal.org") for i in range(40)] + [(50, "plain Narwhal mail"), (51, "the NARWHAL, narwhals")]
+    rows += [(100 + i, "plain words mail and more") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.id: r.spans for r in pii.find(docs, str(tmp_path / "w")).collect()}
+    terms = {i: [t[p.s : p.x] for p in got[i] if p.k == 4] for i, t in rows}
+    assert all(terms[i] == ["Narwhal", "quokkas", "narwhal"] for i in range(40)) and terms[50] == ["Narwhal"] and terms[51] == ["NARWHAL"] and not terms[100]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[50] == "plain [TERM] mail" and clean[51] == "the [TERM], narwhals" and "arwhal" not in clean[0] and clean[100] == dict(rows)[100]
+
+
 def test_secrets(spark, tmp_path):
     model = secrets.train(secrets.labelled_findings(spark).where("i % 4 != 0"))
     found = secrets.with_features(secrets.labelled_findings(spark).where("i % 4 = 0"))
