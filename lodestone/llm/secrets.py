@@ -2,7 +2,8 @@
 false positives; DataFrame and SQL functions only.
 
 Candidates are what one regular expression finds in a whole text (key formats, values
-assigned to names such as `password`, long tokens of mixed characters). Each becomes a
+assigned to names that contain a word such as `password`, whatever stands before or behind
+it in the name, long tokens of mixed characters). Each becomes a
 row of features: length, shares of character classes, transitions between classes and
 common letter pairs, how much of it dictionary words cover, shapes (hex, UUID), the words
 in front and behind, and the path. The forest (Spark ML, seeded) is trained from labelled
@@ -40,9 +41,11 @@ FORMATS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
-ASSIGN = NAMES + r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
+RUN = r"[A-Za-z0-9_.+/-]"  # a whole name, with its qualifiers: taken at once, so that time is linear in its length
+TO_VALUE, VALUE = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?", r"[^\s\"'<>,;]{8,}"
+ASSIGN = f"(?:(?<!{RUN})(?={RUN}*?{NAMES}){RUN}++|{NAMES}){TO_VALUE}"
 TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}"
-PATTERN = "(?<![A-Za-z0-9_])(?:" + "|".join([*FORMATS.values(), ASSIGN + r"[^\s\"'<>,;]{8,}", TOKEN]) + ")"
+PATTERN = "(?<![A-Za-z0-9_])(?:" + "|".join([*FORMATS.values(), ASSIGN + VALUE, TOKEN]) + ")"
 
 #: Words whose letters count as covered by the dictionary, and word groups.
 DICTIONARY = """able about access account action admin after again application apple before board build button
@@ -75,7 +78,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         h.alias("hit"), F.length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(48)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(24)).alias("behind")))).alias("pos", "h"))
     so_far = Window.partitionBy("row").orderBy("pos")
     placed = each.withColumn("end", F.sum(F.col("h.gap") + F.length("h.hit")).over(so_far))
-    value = F.regexp_replace("h.hit", "^" + ASSIGN, "")
+    value = F.regexp_replace("h.hit", f"^{ASSIGN}(?={VALUE})", "")
     rule = F.lit("token")
     rule = F.when(value != F.col("h.hit"), F.lit("assignment")).otherwise(rule)
     for name, pattern in FORMATS.items():
