@@ -4,13 +4,14 @@ A document's token ids, with the end id, are cut into the pieces that its length
 form names: as many pieces of ``max_tokens`` as fit, then one piece for each set bit of
 the rest, the largest first. Every piece is a sequence of its own, so no sequence crosses
 documents and none has padding; pieces of the same length form a bucket. A sequence's id
-tells its bucket: sequences of a bucket are those with equal ``length``.
+tells its bucket: ``sequence_id >> BUCKET_SHIFT`` is the exponent of its length, so each bucket
+is one range of ids.
 
 Token ids come from a `tokenizers` file. White space separates that tokenizer's words, so
 each task keeps a bounded cache from word to ids; words are joined by position in numpy.
 
-One pass without a shuffle. Sequence ids are the task's number (high bits) and a counter:
-unique, and the same each time for the same input splits.
+One pass without a shuffle, so rows come in document order. Sequence ids are the bucket (high
+bits), the task's number and a counter: unique, and the same each time for the same input splits.
 
 Edge cases: a null or empty text is the end id alone (one piece of length 1); repeated
 rows and null ids get sequences of their own; a text of any length is one row's worth of
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import WORKER_CACHES, steps, table
 
 MAX_TOKENS, END_ID = 4096, 2
+BUCKET_SHIFT, TASK_SHIFT = 57, 33  # of a sequence id: exponent of the length, task's number, counter
 #: Letters whose lower case may depend on their neighbours or on the library: left to the tokenizer.
 _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Marks that behind a word of letters are a pre-token of their own.
@@ -140,7 +142,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, base, count = encoder_of(path), TaskContext.get().partitionId() << 33, 0
+        encoder, base, count = encoder_of(path), TaskContext.get().partitionId() << TASK_SHIFT, 0
         for batch, texts, _ in steps(batches, cache="packing"):
             source, cols, ids = [], [], []
             for row, found in enumerate(encoder.encode(texts.to_pylist())):
@@ -149,7 +151,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 for start, length in pieces(total, max_tokens):
                     piece = whole[4 * start : 4 * (start + length)]
                     source.append(row)
-                    cols.append((start, length, zlib.crc32(piece), total, base + count, 0))
+                    cols.append((start, length, zlib.crc32(piece), total, (length.bit_length() - 1 << BUCKET_SHIFT) + base + count, 0))
                     if with_ids:
                         ids.append(np.frombuffer(piece, dtype="<i4"))
                     count += 1

@@ -221,6 +221,14 @@ def test_packing(docs):
     assert sum(r.length for r in rows) == sum(len(w) // 4 + 1 for w in want[len(odd) :])
 
 
+def test_packing_buckets(spark):
+    """A sequence's id tells its bucket: those of equal length are one range of ids."""
+    rows = packing.pack(spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string").repartition(3), packing.tokenizer_path()).collect()
+    assert all(1 << (r.sequence_id >> 57) == r.length for r in rows) and len({r.sequence_id for r in rows}) == len(rows)
+    ordered = [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 3
+
+
 def test_bpe_round_trip(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 
