@@ -19,11 +19,15 @@ can lie in, so any two similar sets share the scheme of the smaller one.
 **Candidates without all pairs.** Equal sets are one node. In a group of sets that meet in
 a hash, all are checked against two pivots first (linear); the links' components are
 computed; then, only where a group still spans several components, pairs across
-components are checked, the smaller side in blocks against all members, with a parity
+components are compared, the smaller side in blocks against all members, with a parity
 sketch as an exact upper bound of the similarity. Pairs inside a component cannot change
-it. Large groups are split over tasks by blocks.
+it. Every cell gives no pairs but a forest that connects its undecided ones, so its output
+has fewer rows than its input. The forests' trees are the groups of the last step, where
+each set travels once (not once a hash): again the smaller side in blocks against all
+members, now on the whole token sets, and again each cell gives a forest, of true links.
+Large groups are split over tasks by blocks.
 
-**Verification** is exact, on the whole token sets.
+**Verification** is exact, on the whole token sets (of 64-bit hashes).
 
 Edge cases: a text without words (null, empty) has an empty set and no link; with fewer
 words than n its whole sequence is its one token; repeated rows are one node; null ids
@@ -47,7 +51,9 @@ from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
 BAND = 1.5  # largest size / smallest size in a band
-BLOCK, CHUNK = 4096, 65536  # members of the smaller side, and of all, that one cell compares
+BLOCK, CHUNK = 4096, 65536  # members of the smaller side, and of all, that one cell compares by sketches
+BLOCK_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 23  # tokens of the smaller side, and of all, that one cell compares exactly
+SLICE = 256  # rows compared at a time
 _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
 
@@ -262,56 +268,141 @@ def _near(a: str, b: str, plan: Plan):
     return fits & (bits * (plan.den + plan.num) <= total * (plan.den - plan.num))
 
 
-def _across(live: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs across components in groups that span several: (a, b), a < b.
+def _deal(rows: DataFrame, group: str, blocks, chunks, few, columns: list[str]) -> DataFrame:
+    """``rows`` dealt to cells of a group, sorted by cell: kind 0 are the ``few``, each in one block
+    and all chunks, kind 1 are all rows, each in one chunk and all blocks."""
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cell = (F.col("__block").cast("long") * chunks + F.col("__chunk")).alias("cell")
+    one = rows.where(few).withColumn("__block", own(blocks, 1)).withColumn("__chunk", each(chunks)).select(group, cell, F.lit(0).alias("kind"), *columns)
+    every = rows.withColumn("__chunk", own(chunks, 2)).withColumn("__block", each(blocks)).select(group, cell, F.lit(1).alias("kind"), *columns)
+    return one.union(every).repartition(group, "cell").sortWithinPartitions(group, "cell", "kind")
 
-    ``live``: sig, node, n, sk, component. In each group the largest component stays
-    whole; the others' members are dealt to blocks, all members to chunks, and each block
-    meets each chunk in a task of its own, the chunk streaming past the block. Pairs that
-    sizes or sketches rule out are not emitted."""
+
+def _cells(batches):
+    """(held, part) of the Arrow batches of dealt rows: the rows of kind 0 of a cell, as a list of
+    record batches that is the same object for the whole cell, and a slice of its rows of kind 1."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group, cell, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        edges = np.flatnonzero((group[1:] != group[:-1]) | (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for s, e in zip([0, *edges], [*edges, len(group)], strict=True):
+            if (group[s], cell[s]) != key:
+                key, held = (group[s], cell[s]), []
+            part = batch.slice(s, e - s)
+            if kind[s] == 0:
+                held.append(part)
+            elif held:  # a block may have got no member of the smaller side
+                for at in range(0, e - s, SLICE):
+                    yield held, part.slice(at, SLICE)
+
+
+def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _suspects(live: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): a forest for each cell whose trees hold all pairs across components that sizes and
+    sketches cannot rule out; a cell gives fewer links than it has rows.
+
+    ``live``: sig, node, n, sk, component. In each group that spans several components the
+    largest one stays whole; the others' members are dealt to blocks, all members to chunks,
+    and each block meets each chunk in a task of its own, the chunk streaming past the block."""
     counts = live.groupBy("sig", "component").count()
     groups = counts.groupBy("sig").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("total"),
                                        F.max("count").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
     size = groups.select("sig", "main", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
-    rows = live.join(size, "sig")
-    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cell = (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("cell")
-    few = rows.where("component != main").withColumn("block", own("blocks", 1)).withColumn("chunk", each("chunks")).select("sig", cell, F.lit(0).alias("kind"), "node", "n", "sk", "component")
-    every = rows.withColumn("chunk", own("chunks", 2)).withColumn("block", each("blocks")).select("sig", cell, F.lit(1).alias("kind"), "node", "n", "sk", "component")
-    dealt = few.union(every).repartition("sig", "cell").sortWithinPartitions("sig", "cell", "kind")
+    dealt = _deal(live.join(size, "sig"), "sig", F.col("blocks"), F.col("chunks"), F.col("component") != F.col("main"), ["node", "n", "sk", "component"])
     num, den = plan.num, plan.den
 
+    def columns(parts):
+        node, n, comp = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 6))
+        return node, n, comp, np.concatenate([np.asarray(p.column(5).flatten()) for p in parts]).astype(np.int64).view(np.uint64).reshape(-1, SKETCH)
+
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            sig, block, kind, node, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 6))
-            sk = np.asarray(batch.column(5).flatten()).astype(np.int64).view(np.uint64).reshape(-1, SKETCH)
-            if not len(sig):
-                continue
-            edges = np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for s, e in zip([0, *edges], [*edges, len(sig)], strict=True):
-                if (sig[s], block[s]) != key:
-                    key, held = (sig[s], block[s]), []
-                part = tuple(x[s:e] for x in (node, n, comp, sk))
-                if kind[s] == 0:
-                    held.append(part)
-                    continue
-                if not held:  # a block that got no member of the smaller side
+        last = None
+        for held, part in _cells(batches):
+            if held is not last:
+                last, mine = held, columns(held)
+                tree = np.arange(len(mine[0]))
+            node, n, comp, sk = columns([part])
+            total = mine[1][None, :] + n[:, None]
+            ok = (mine[2][None, :] != comp[:, None]) & (den * np.minimum(mine[1][None, :], n[:, None]) >= num * np.maximum(mine[1][None, :], n[:, None]))
+            bits = np.zeros(total.shape, dtype=np.int64)
+            for k in range(SKETCH):
+                bits += np.bitwise_count(mine[3][None, :, k] ^ sk[:, None, k])
+            ok &= bits * (den + num) <= total * (den - num)
+            links = []
+            for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                trees, at = np.unique(tree[ok[i]], return_index=True)
+                links += [(int(node[i]), int(mine[0][j])) for j in np.flatnonzero(ok[i])[at]]
+                if len(trees) > 1:
+                    tree[np.isin(tree, trees)] = trees[0]
+            if links:
+                yield _links_batch(links)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) across components, verified on the whole sets: all pairs of a tree of
+    ``suspects`` are compared, and each cell gives a forest of its links.
+
+    ``nodes``: node, component, n. A group is a tree; its largest component stays whole, and
+    blocks and chunks are bounded in tokens. Sets are compared through an index from the
+    block's tokens to its sets, which counts the shared tokens of a set with all of them."""
+    groups = components(suspects).select("node", F.col("component").alias("tree"))
+    members = cut(groups.join(nodes, "node"))
+    counts = members.groupBy("tree", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("tokens"))
+    size = counts.groupBy("tree").agg(F.max_by("component", "count").alias("main"), F.max_by("tokens", "count").alias("most"),
+                                      F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    size = size.select("tree", "main", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most")) / BLOCK_TOKENS)).cast("int").alias("blocks"),
+                       F.greatest(F.lit(1), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
+    rows = members.select("tree", "node", "component").join(size, "tree").join(whole, "node")
+    dealt = _deal(rows, "tree", F.col("blocks"), F.col("chunks"), F.col("component") != F.col("main"), ["node", "component", "tokens"])
+    num, den = plan.num, plan.den
+
+    def sets(parts):
+        node, comp = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4))
+        n = np.concatenate([p.column(5).value_lengths().to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
+        return node, comp, n, np.concatenate([p.column(5).flatten().to_numpy(zero_copy_only=False) for p in parts])
+
+    def run(batches):
+        last = None
+        for held, part in _cells(batches):
+            if held is not last:
+                last, (mine, mine_comp, mine_n, tokens) = held, sets(held)
+                order = np.argsort(tokens, kind="stable")
+                index, of = tokens[order], np.repeat(np.arange(len(mine)), mine_n)[order]
+                joined: dict[int, int] = {}
+                mine_comp = mine_comp.copy()
+            node, comp, n, tokens = sets([part])
+            low, high = np.searchsorted(index, tokens, "left"), np.searchsorted(index, tokens, "right")
+            links, at = [], 0
+            for i in range(len(node)):
+                lo, hi = low[at : at + n[i]], high[at : at + n[i]]
+                at += n[i]
+                own = int(comp[i])
+                while own in joined:
+                    own = joined[own]
+                width = hi - lo
+                reach = np.cumsum(width)
+                if not len(reach) or not reach[-1]:
                     continue
-                mine = [np.concatenate(x) for x in zip(*held, strict=True)] if len(held) > 1 else held[0]
-                held = [tuple(mine)]
-                for at in range(0, e - s, 256):
-                    other = [x[at : at + 256] for x in part]
-                    total = mine[1][:, None] + other[1][None, :]
-                    ok = (mine[2][:, None] != other[2][None, :]) & (den * np.minimum(mine[1][:, None], other[1][None, :]) >= num * np.maximum(mine[1][:, None], other[1][None, :]))
-                    bits = np.zeros(total.shape, dtype=np.int64)
-                    for k in range(SKETCH):
-                        bits += np.bitwise_count(mine[3][:, None, k] ^ other[3][None, :, k])
-                    i, j = np.nonzero(ok & (bits * (den + num) <= total * (den - num)))
-                    if len(i):
-                        x, y = mine[0][i], other[0][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                found = of[np.repeat(lo - reach + width, width) + np.arange(reach[-1])]
+                both = np.bincount(found, minlength=len(mine))
+                ok = (mine_comp != own) & (den * both >= num * (mine_n + n[i] - both))
+                if ok.any():
+                    here = np.flatnonzero(ok)
+                    others, first = np.unique(mine_comp[here], return_index=True)
+                    links += [(int(node[i]), int(mine[j])) for j in here[first]]
+                    joined.update((c, own) for c in others.tolist())
+                    mine_comp[np.isin(mine_comp, others)] = own
+            if links:
+                yield _links_batch(links)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -352,7 +443,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = cut(components(links))
         live = met.select("sig", "d1").distinct().join(who, "d1").join(first, "node", "left").select(
             "sig", "node", "n", "sk", F.coalesce("component", "node").alias("component"))
-        more = cut(_verify(_across(live, plan), whole, plan))
+        suspects = cut(_suspects(live, plan))
+        more = who.select("node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = cut(_across(suspects, more, whole, plan))
         label = lambda end: more.join(first.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         more = label("a")
         more = label("b")

@@ -92,6 +92,8 @@ def test_jaccard_large_group_across_components(spark, tmp_path, monkeypatch):
     """A group whose members straddle the threshold, with small blocks and chunks."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
     monkeypatch.setattr(jaccard, "CHUNK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 900)
     rng = np.random.default_rng(3)
     base = [f"t{i}" for i in range(150)]
     rows = []
