@@ -8,7 +8,8 @@ tells its bucket: ``sequence_id >> BUCKET_SHIFT`` is the exponent of its length,
 is one range of ids.
 
 Token ids come from a `tokenizers` file. White space separates that tokenizer's words, so
-each task keeps a bounded cache from word to ids; words are joined by position in numpy.
+each task keeps a bounded cache from word to ids; texts are cut into numbered distinct words
+in Arrow, where the words' ids are also joined by position.
 
 One pass without a shuffle, so rows come in document order. Sequence ids are the bucket (high
 bits), the task's number and a counter: unique, and the same each time for the same input splits.
@@ -20,26 +21,26 @@ memory; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestone.llm.common import WORKER_CACHES, steps, table
+from lodestone.llm.common import WORKER_CACHES, offsets, steps, table
 
 MAX_TOKENS, END_ID = 4096, 2
+ENCODE_BYTES = 6 << 20  # of texts whose distinct words are looked up together
 BUCKET_SHIFT, TASK_SHIFT = 57, 33  # of a sequence id: exponent of the length, task's number, counter
 #: Letters whose lower case may depend on their neighbours or on the library: left to the tokenizer.
 _FOREIGN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: Marks that behind a word of letters are a pre-token of their own.
-_MARKS = ".,;:!?"
-
+#: Marks that behind a word of letters are, together, a pre-token of their own.
+_MARKS = ".,;:!?#$%&()*+-/=@[]^_`{}~\""
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -85,16 +86,15 @@ class WordEncoder:
             if len(self.known) > self.most * 3 // 4:
                 self.known = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        plain = (t if _FOREIGN.search(t) else t.lower() for t in texts)
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in plain]
+    def _of_words(self, found: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         self._make_room()
-        known = self.known
-        known[""] = b""
-        fresh = set(itertools.chain.from_iterable(parts)).difference(known)
-        cores = {w: w.rstrip(_MARKS) for w in fresh}
-        cores = {w: c for w, c in cores.items() if c.isalpha() and len(w) <= self.longest}
+        known, own = self.known, {}
+        had = list(map(known.get, found))
+        fresh = [w for w, x in zip(found, had, strict=True) if x is None]
+        if not fresh:
+            return had
+        cores = {w: c for w in fresh if len(w) <= self.longest and (c := w.rstrip(_MARKS)).isalpha()}
         letters = list(set(cores.values()).difference(known))
         for at in range(0, len(letters), 4000):
             some = letters[at : at + 4000]
@@ -102,13 +102,21 @@ class WordEncoder:
         marks = list({w[len(c) :] for w, c in cores.items()}.difference(known))
         known.update(zip(marks, self._each(marks), strict=True))
         known.update((w, known[c] + known[w[len(c) :]]) for w, c in cores.items() if len(c) < len(w))
-        own: dict[str, bytes] = {}
-        rest = list(fresh.difference(cores))
+        rest = [w for w in fresh if w not in cores]
         for at in range(0, len(rest), 4000):
             for w, ids in zip(rest[at : at + 4000], self._each(rest[at : at + 4000]), strict=True):
                 (known if len(w) <= self.longest else own)[w] = ids
-        get = known.__getitem__ if not own else lambda w: own[w] if w in own else known[w]
-        return [b"".join(map(get, p)) for p in parts]
+        return [(own[w] if w in own else known[w]) if x is None else x for w, x in zip(found, had, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = (t if _FOREIGN.search(t) else t.lower() for t in texts)
+        cut = pc.split_pattern(pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in plain], pa.large_string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        ids = pa.array(self._of_words(numbered.dictionary.to_pylist()), pa.large_binary()).take(numbered.indices)
+        data, bounds = ids.buffers()[2], offsets(ids)[cut.offsets.to_numpy()].tolist()
+        data = b"" if data is None else memoryview(data)
+        return [bytes(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encoder_of(path: str) -> WordEncoder:
@@ -143,7 +151,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         encoder, base, count = encoder_of(path), TaskContext.get().partitionId() << TASK_SHIFT, 0
-        for batch, texts, _ in steps(batches, cache="packing"):
+        for batch, texts, _ in steps(batches, limit=ENCODE_BYTES, cache="packing"):
             source, cols, ids = [], [], []
             for row, found in enumerate(encoder.encode(texts.to_pylist())):
                 whole = found + end
