@@ -1,15 +1,19 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations only.
 
-* **Memtables.** Every task sorts the digests of its own rows and flushes them as one
-  run (a Parquet file sorted by digest, with a Bloom filter and min/max statistics on
-  the digest). No shuffle is needed for that; the runs are the index's level 0.
-* **Compaction** merges the runs: one row per digest with the identifier that stays
-  (the largest or the smallest) and the group's size. The aggregate combines in the map
-  tasks, so a digest that holds a third of all rows sends one row per task.
+* **Memtables.** Every task sorts the digests of its own rows and flushes them as runs of
+  at most ``MEMTABLE`` rows (Parquet files sorted by digest, with min/max statistics). No
+  shuffle is needed for that; the runs are the index's level 0. Each flush stores a
+  membership filter of its digests beside them.
+* **Compaction** merges the runs that are not merged yet, one row per digest with the
+  identifier that stays (the largest or the smallest) and the group's size. The aggregate
+  combines in the map tasks, so a digest that holds a third of all rows sends one row per
+  task. Rows of level 1 take part only where the new runs' filters let them pass; the
+  result is sorted by ranges of digests and stored as level 1's newest run, which wins over
+  older ones. When level 1 has ``FANOUT`` runs, these are merged into one.
 * **Byte verification.** Only digests with two rows or more are hits. A filter of the
-  hits' digests (of a fixed size, so its broadcast is bounded) lets the other texts go
-  before any shuffle; the texts of the hits are then grouped by digest *and* by the text
-  itself, whose grouping compares bytes. Two texts with one digest are an error.
+  hits' digests lets the other texts go before any shuffle; the texts of the hits are then
+  grouped by digest *and* by the text itself, whose grouping compares bytes. Two texts with
+  one digest are an error.
 
 Edge cases: a null text counts as the empty one; null identifiers rank below all others;
 of repeated rows (same identifier, same text) exactly one stays; an empty table gives an
@@ -19,27 +23,96 @@ empty result; other columns, whatever their names, are ignored (`dedup_index`) o
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, maybe_in, not_null_text, number_rows, scratch, table
-
-
-def flush_runs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Level 0: sorted digest runs, one per task. Columns: id, digest (32 bytes), row."""
-    text = not_null_text(text_col)
-    runs = number_rows(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")), "row").sortWithinPartitions("digest")
-    (runs.write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path))
-    return docs.sparkSession.read.schema(runs.schema).parquet(path)
-
-
-def compact(runs: DataFrame, keep: str = "max") -> DataFrame:
-    """Level 1: one row per digest: keep_id, keep_row (which of repeated rows), group_size."""
-    pick = F.max if keep == "max" else F.min
-    return runs.groupBy("digest").agg(
-        pick(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
-    ).select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+from lodestone.llm.common import cut, delete_path, filter_of, filter_size, maybe_in, not_null_text, number_rows, passing, scratch, table
+
+
+MEMTABLE = 4_000_000  # rows of a run
+FANOUT = 4  # runs of level 1
+
+
+class MergeIndex:
+    """The index in a folder. One writer at a time; a step that fails leaves what was there.
+
+    ``id_type``: the identifiers' SQL type; ``keep``: "max" or "min" of them stays."""
+
+    def __init__(self, spark: SparkSession, path: str, id_type: str, keep: str = "max"):
+        self.spark, self.path, self.pick = spark, path.rstrip("/"), F.max if keep == "max" else F.min
+        self.schema0 = f"id {id_type}, digest binary, row long"
+        self.schema1 = f"digest binary, keep_id {id_type}, keep_run int, keep_row long, group_size long"
+
+    def _stored(self, kind: str) -> list[int]:
+        """The numbers of the whole runs of a kind, from the folder."""
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return []
+        whole = lambda p: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(s.getPath().getName().split("-")[-1]) for s in fs.listStatus(fs_path) if whole(s.getPath()))
+
+    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
+        """The rows of ``docs`` (a stored table) as sorted runs with their filter; gives the flush's number."""
+        run = max(self._stored("filters"), default=-1) + 1
+        digest = F.unhex(F.sha2(not_null_text(text_col), 256)).alias("digest")
+        rows = number_rows(docs.select(F.col(id_col).alias("id"), digest), "row").sortWithinPartitions("digest")
+        rows.write.mode("overwrite").option("maxRecordsPerFile", MEMTABLE).parquet(f"{self.path}/level0/run-{run}")
+        size = filter_size(self.run(run).count())
+        filter_of(self.run(run), "digest", size).withColumn("__size", F.lit(size)).write.mode("overwrite").parquet(f"{self.path}/filters/run-{run}")
+        return run
+
+    def run(self, run: int) -> DataFrame:
+        """id, digest, row of a flush."""
+        return self.spark.read.schema(self.schema0).parquet(f"{self.path}/level0/run-{run}")
+
+    def _passing(self, rows: DataFrame, run: int) -> DataFrame:
+        words = self.spark.read.parquet(f"{self.path}/filters/run-{run}")
+        first = words.select("__size").first()
+        return passing(rows, "digest", words.drop("__size"), first[0]) if first else rows.limit(0)
+
+    def _merge(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("digest").agg(self.pick(F.struct("keep_id", "keep_run", "keep_row")).alias("best"), F.sum("group_size").alias("group_size")).select(
+            "digest", "best.*", "group_size")
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        rows.repartitionByRange("digest").sortWithinPartitions("digest").write.mode("overwrite").parquet(f"{self.path}/level1/run-{number}")
+
+    def _level1(self, runs: list[int]) -> DataFrame:
+        """The entries of level 1; of a digest's, the newest run's."""
+        read = lambda n: self.spark.read.schema(self.schema1).parquet(f"{self.path}/level1/run-{n}")
+        if len(runs) < 2:
+            return read(runs[0]) if runs else self.spark.createDataFrame([], self.schema1)
+        every = functools.reduce(DataFrame.union, (read(n).withColumn("__n", F.lit(n)) for n in runs))
+        return every.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_run", "keep_row", "group_size"), "__n").alias("e")).select("digest", "e.*")
+
+    def compact(self) -> None:
+        """Merges the flushes that level 1 does not hold yet."""
+        merged, level1 = set(self._stored("merged")), self._stored("level1")
+        fresh = [n for n in self._stored("filters") if n not in merged]
+        if fresh:
+            entry = lambda n: self.run(n).select("digest", F.col("id").alias("keep_id"), F.lit(n).alias("keep_run"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+            rows = self._merge(functools.reduce(DataFrame.union, map(entry, fresh)))
+            if level1:  # older entries that no filter lets pass cannot change, and stay where they are
+                old = self._level1(level1)
+                touched = functools.reduce(DataFrame.union, (self._passing(old, n) for n in fresh)).dropDuplicates(["digest"])
+                known = touched.join(rows.select("digest"), "digest", "left_semi")
+                rows = self._merge(rows.unionByName(known))
+            number = max(level1, default=-1) + 1
+            self._write(rows, number)
+            for n in fresh:
+                self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/merged/run-{n}")
+            level1 = [*level1, number]
+        if len(level1) >= FANOUT:
+            self._write(self._level1(level1), level1[-1] + 1)
+            for n in level1:
+                delete_path(self.spark, f"{self.path}/level1/run-{n}")
+
+    def entries(self) -> DataFrame:
+        """digest, keep_id, keep_run, keep_row, group_size of each digest of the merged flushes."""
+        return self._level1(self._stored("level1"))
 
 
 def verify(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
@@ -55,15 +128,14 @@ def verify(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def dedup_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row per input row: id, digest, keep_id, group_size, kept.
+    """One row per input row: id, digest, row, keep_id, group_size, kept.
 
-    ``path``: folder for the runs. A digest whose hits turn out to be of different texts
+    ``path``: a new folder for the index. A digest whose hits turn out to be of different texts
     (a collision) raises instead of merging them, as no such pair is known."""
-    spark = docs.sparkSession
-    runs = flush_runs(docs, f"{path}/level0", id_col, text_col)
-    compact(runs, keep).sortWithinPartitions("digest").write.mode("overwrite").option(
-        "parquet.bloom.filter.enabled#digest", "true").parquet(f"{path}/level1")
-    index = spark.read.schema("digest binary, keep_id " + dict(runs.dtypes)["id"] + ", keep_row long, group_size long").parquet(f"{path}/level1")
+    store = MergeIndex(docs.sparkSession, path, dict(docs.dtypes)[id_col], keep)
+    runs = store.run(store.flush(docs, id_col, text_col))
+    store.compact()
+    index = store.entries()
     checked = verify(docs, index, id_col, text_col, keep).groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.sum("group_size").alias("seen"))
     hits = index.where("group_size > 1").join(checked, "digest", "left").select(
