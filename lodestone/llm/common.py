@@ -6,6 +6,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         if jsc.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(set_)
         return set_
-    if jsc.getCheckpointDir().isEmpty():  # tests and single machines only
+    if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return jsc.getCheckpointDir().get()
 
@@ -37,7 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: lost executors cost nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    free_shuffles(df.sparkSession)
+    return out
+
+
+_FREED = [0.0]
+
+
+def free_shuffles(spark: SparkSession, pause: float = 2.0) -> None:
+    """Asks the driver to collect garbage (every ``pause`` seconds at most): Spark deletes the shuffle
+    files of steps that nothing refers to only then, and they would fill the executors' disks."""
+    if time.monotonic() - _FREED[0] >= pause:
+        spark.sparkContext._jvm.System.gc()
+        _FREED[0] = time.monotonic()
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a `cut` that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete_path(df.sparkSession, file.get())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -60,6 +83,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a Parquet table at ``path``, read with its own schema."""
     df.write.mode("overwrite").parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,7 +107,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORKER_CACHES: dict[str, object] = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -101,7 +125,7 @@ def steps(batches, column: str = "text", limit: int = STEP_BYTES, cache: str | N
     try:
         yield from _steps(batches, column, limit)
     finally:
-        _give_back()
+        give_back()
 
 
 def _steps(batches, column: str, limit: int):
@@ -191,17 +215,35 @@ def not_null_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-#: Bits of a membership filter: at most 2**18 words of 64 bits are broadcast, however many keys there are.
-FILTER_BITS = 1 << 24
+#: Bits of a membership filter: 8 to 16 a key, within these bounds. At most 2**19 words of 64 bits are broadcast.
+FILTER_BITS = 1 << 16, 1 << 25
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among those of ``keys`` (same column name).
-
-    A filter of a fixed size is broadcast as 64-bit words; it lets some other rows pass,
-    so an exact join follows."""
-    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(at, 6).alias("__word"), at.bitwiseAND(F.lit(63)).cast("int").alias("__bit")
-    mask = keys.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
-    rows = df.select("*", word, bit).join(F.broadcast(mask), "__word")
+def filter_size(keys: int) -> int:
+    least, most = FILTER_BITS
+    return min(max(least, 1 << (8 * keys).bit_length()), most)
+
+
+def _place(key: str, size: int):
+    at = F.pmod(F.xxhash64(key), F.lit(size))
+    return F.shiftright(at, 6).alias("__word"), at.bitwiseAND(F.lit(63)).cast("int").alias("__bit")
+
+
+def filter_of(keys: DataFrame, key: str, size: int) -> DataFrame:
+    """A membership filter of ``keys``: 64-bit words of ``size`` bits, as (__word, __mask)."""
+    return keys.select(*_place(key, size)).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__mask"))
+
+
+def passing(df: DataFrame, key: str, filter_: DataFrame, size: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` the filter (broadcast, at most its largest size) lets pass."""
+    rows = df.select("*", *_place(key, size)).join(F.broadcast(filter_), "__word")
     return rows.where(F.expr("shiftrightunsigned(__mask, __bit) & 1L") == 1).drop("__word", "__bit", "__mask")
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among those of ``keys`` (same column name, stored).
+
+    A filter sized by the number of keys, up to a fixed size, is broadcast. It lets some other
+    rows pass (all of them, far beyond its largest size), so an exact join follows."""
+    size = filter_size(keys.count())
+    return passing(df, key, filter_of(keys, key, size), size)

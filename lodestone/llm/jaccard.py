@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
+from lodestone.llm.common import cut, give_back, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
 from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
@@ -276,12 +276,20 @@ def _deal(rows: DataFrame, group: str, blocks, chunks, few, columns: list[str])
     cell = (F.col("__block").cast("long") * chunks + F.col("__chunk")).alias("cell")
     one = rows.where(few).withColumn("__block", own(blocks, 1)).withColumn("__chunk", each(chunks)).select(group, cell, F.lit(0).alias("kind"), *columns)
     every = rows.withColumn("__chunk", own(chunks, 2)).withColumn("__block", each(blocks)).select(group, cell, F.lit(1).alias("kind"), *columns)
-    return one.union(every).repartition(group, "cell").sortWithinPartitions(group, "cell", "kind")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows cost much work, so tasks are not to be coalesced
+    return one.union(every).repartition(tasks, group, "cell").sortWithinPartitions(group, "cell", "kind")
 
 
 def _cells(batches):
     """(held, part) of the Arrow batches of dealt rows: the rows of kind 0 of a cell, as a list of
     record batches that is the same object for the whole cell, and a slice of its rows of kind 1."""
+    try:
+        yield from _cell_slices(batches)
+    finally:
+        give_back()
+
+
+def _cell_slices(batches):
     key, held = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -331,10 +339,10 @@ def _suspects(live: DataFrame, plan: Plan) -> DataFrame:
             node, n, comp, sk = columns([part])
             total = mine[1][None, :] + n[:, None]
             ok = (mine[2][None, :] != comp[:, None]) & (den * np.minimum(mine[1][None, :], n[:, None]) >= num * np.maximum(mine[1][None, :], n[:, None]))
-            bits = np.zeros(total.shape, dtype=np.int64)
+            bits = np.zeros(total.shape, dtype=np.int16)
             for k in range(SKETCH):
                 bits += np.bitwise_count(mine[3][None, :, k] ^ sk[:, None, k])
-            ok &= bits * (den + num) <= total * (den - num)
+            ok &= bits <= total * (den - num) // (den + num)
             links = []
             for i in np.flatnonzero(ok.any(axis=1)).tolist():
                 trees, at = np.unique(tree[ok[i]], return_index=True)
@@ -408,10 +416,8 @@ def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan)
 
 
 def estimate_sizes(docs: DataFrame) -> dict[int, float]:
-    """Sets by floor(log2(words)), counted from the blanks: a cheap estimate for the cost."""
-    t = F.translate(F.col("text"), "\n\t", "  ")
-    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
-    found = docs.select(F.floor(F.log2(F.greatest(blanks, F.lit(1)))).cast("int").alias("k")).groupBy("k").count().collect()
+    """Sets by floor(log2(words)), taken as a sixth of the bytes: an estimate that steers the cost only."""
+    found = docs.select(F.floor(F.log2(F.greatest(F.octet_length("text") / 6, F.lit(1)))).cast("int").alias("k")).groupBy("k").count().collect()
     return {r["k"]: float(r["count"]) for r in found}
 
 
