@@ -7,11 +7,14 @@ found in every whole text, leftmost and without overlap per kind.
 documents, how often e occurs, how often a term t occurs, and how often both occur in one,
 at whatever distance.
 With IC(e) = log(N / n(e)) and PMI(e; t) = log(p(e|t) / p(e)), the disclosure PMI / IC is
-the share of e's information that seeing t reveals. Every entity is judged, however rare:
-p(e|t) is smoothed to (n(e,t) + a p(e)) / (n(t) + a), as if t had been seen in a =
-``PRIOR`` more documents at e's own rate, so few sightings weigh less, and the rarer e and
-t are in the corpus, the fewer suffice (a term seen once, beside a value seen once, reveals
-it from about 1,500 documents on). Terms whose disclosure reaches ``GENERALISE`` are
+the share of e's information that seeing t reveals, and -log p(e|t) what is still unknown
+of e then. A term is revealing if the disclosure reaches ``GENERALISE`` and less than ``LEFT``
+bits stay unknown; the second condition does not loosen as the corpus grows, so a word that
+half of its documents use without e is left alone at every size. Every entity is judged,
+however rare: for the disclosure p(e|t) is smoothed to (n(e,t) + a p(e)) / (n(t) + a), as if
+t had been seen in a = ``PRIOR`` more documents at e's own rate, so few sightings weigh less
+(a term seen once, beside a value seen once, reveals it from about 1,500 documents on).
+Terms whose disclosure reaches ``GENERALISE`` are
 generalised to ``[TERM]``, from ``REMOVE`` on they are removed, wherever they occur in any
 text: with the entity or without it, by the entity that they reveal most of. Terms inside
 base spans go with these.
@@ -51,7 +54,8 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 PRIOR = 2.0  # documents of no evidence added to each term's own
-GENERALISE, REMOVE = 0.85, 0.98
+GENERALISE, REMOVE = 0.85, 0.98  # share of an entity's information
+LEFT = 1.0  # a revealing term leaves less of an entity's information unknown, in bits
 TERM = re.compile(r"[^\W\d_]{4,}")
 _MASK = (1 << 24) - 1
 _NON_DIGIT = re.compile("[^0-9]")
@@ -202,10 +206,11 @@ def _places(docs: DataFrame, revealing: DataFrame) -> DataFrame:
 
 
 def _disclosure(net, nt, ne, total: int, prior: float):
-    rate = ne / F.lit(float(total))
-    seen = (F.least(net, nt, ne) + prior * rate) / (nt + prior)
+    """PMI / IC; 0 where LEFT bits or more stay unknown. Falls as nt grows."""
+    rate, both = ne / F.lit(float(total)), F.least(net, nt, ne)
+    seen = (both + prior * rate) / (nt + prior)
     ic = -F.log(rate)
-    return F.when(ic > 0, F.log(seen / rate) / ic).otherwise(0.0)
+    return F.when((ic > 0) & (-F.log2(both / nt) < LEFT), F.log(seen / rate) / ic).otherwise(0.0)
 
 
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
