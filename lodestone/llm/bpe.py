@@ -7,15 +7,16 @@
    word exactly once with the tokenizer.
 3. **Join back by position.** A second pass sends each document as the packed numbers of
    its words to its block's ids; numbers are replaced by ids in order.
-4. **Decode** through the id-to-piece table (one row per vocabulary entry).
+4. **Decode** by a join of the ids of a block's distinct words to the id-to-piece table (one
+   row per vocabulary entry, so of a bounded size); decoded words go back by position as ids do.
 
 Words travel once per block, compressed, not once per occurrence; a word that is
 everywhere costs one entry per block, spread over the input's blocks. Buckets grow with
 the input (from the plan's size), so a task's part of the table stays bounded.
 
 Edge cases: a null or empty text has no tokens; special tokens' strings in a text are
-special tokens, as in the library's default; texts with white space beyond ASCII are one
-word each; repeated rows and null ids are kept as they are; an empty table gives an empty
+special tokens, as in the library's default; a stretch around white space beyond ASCII, whose
+cuts depend on the library, stays one word; long words are cut behind ideographic marks; repeated rows and null ids are kept as they are; an empty table gives an empty
 result.
 """
 
@@ -34,12 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import number_rows, steps, table
+from lodestone.llm.common import number_rows, offsets, steps, table
 
 BLOCK_BYTES = 32 << 20
-#: White space that is not ASCII, or that libraries see differently: such texts are not cut.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_WORD = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: White space that is not ASCII, or that libraries see differently: such texts are cut with care.
+_OTHER = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+_OTHER_SPACE = re.compile(f"[{_OTHER}]")
+_BLANKS = " \t\n\r\x0b\x0c"
+_WORD = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
+#: Blanks behind other white space belong to one run with it, so no cut is made there.
+_CAREFUL_WORD = re.compile(f"[{_BLANKS}]*(?:[^{_BLANKS}{_OTHER}]|[{_OTHER}]+[{_BLANKS}]*)+|[{_BLANKS}]+")
+#: In scripts without blanks: between one of these marks and a letter or number every token ends.
+_MARKS = re.compile("(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\u300c\u300d\u2026])(?=[^\\W_])")
+LONG = 64  # characters of a word that is cut at marks
 _SIMPLE = re.compile(" [^\\s\x1c-\x1f\x85<]+")
 
 
@@ -61,24 +69,34 @@ def tokenizer(path: str):
 
 
 @functools.lru_cache(4)
-def id_to_piece(path: str) -> list[bytes]:
-    """The bytes of each id: the byte-level alphabet maps 256 printable characters to bytes."""
+def id_to_piece(path: str) -> pa.Table:
+    """id and piece (bytes) of each vocabulary entry: the byte-level alphabet maps 256 printable characters to bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
     with open(path, encoding="utf-8") as f:
         added = {t["id"]: t["content"].encode() for t in json.load(f).get("added_tokens", [])}
-    pieces = [b""] * (max(vocabulary.values(), default=-1) + 1)
-    for piece, i in vocabulary.items():
-        pieces[i] = added[i] if i in added else bytes(chars[c] for c in piece)
-    return pieces
+    pieces = [added[i] if i in added else bytes(chars[c] for c in piece) for piece, i in vocabulary.items()]
+    return pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(pieces, pa.binary())})
+
+
+def decode_ids(ids: np.ndarray, path: str) -> tuple[bytes, np.ndarray]:
+    """The bytes of the ids' pieces, one after the other, and where each begins (and the last ends):
+    a join with the id-to-piece table, put in order by position."""
+    at = pa.table({"id": pa.array(ids.astype(np.int32)), "at": pa.array(np.arange(len(ids)))})
+    pieces = at.join(id_to_piece(path), "id", join_type="inner", use_threads=False).sort_by("at").column("piece")
+    pieces = pa.concat_arrays([c.cast(pa.large_binary()) for c in pieces.chunks]) if pieces.num_chunks else pa.array([], pa.large_binary())
+    if len(pieces) != len(ids):
+        raise ValueError("ids that the vocabulary does not have")
+    return (pieces.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), offsets(pieces)
 
 
 def split_words(text: str) -> list[str]:
     """The words of a text; joined they are the text."""
-    if _OTHER_SPACE.search(text):
-        return [text]
-    return _WORD.findall(text)
+    found = (_CAREFUL_WORD if _OTHER_SPACE.search(text) else _WORD).findall(text)
+    if text.isascii() or max(map(len, found)) <= LONG:
+        return found
+    return [part for w in found for part in ([w] if len(w) <= LONG else _MARKS.split(w))]
 
 
 def encode_words(path: str, found: list[str]) -> list[bytes]:
@@ -217,22 +235,31 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     extra = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches):
-        pieces = id_to_piece(path)
-        block, numbers, decoded_of = None, {}, {}
+        block, packed, numbers, decoded_of = None, [], {}, {}
+
+        def fill() -> None:
+            """The block's words by number: their ids, and what a join with the pieces decodes them to."""
+            codes, lengths, data = zip(*packed, strict=True)
+            all_ids = np.concatenate([_unpack_numbers(d) for d in data])
+            code = np.concatenate([np.cumsum(_unpack_numbers(c), dtype=np.int64) for c in codes]).tolist()
+            ends = np.cumsum(np.concatenate([_unpack_numbers(n) for n in lengths]), dtype=np.int64)
+            raw, (text, at) = all_ids.tobytes(), decode_ids(all_ids, path)
+            cut, start = (at[ends] - at[0]).tolist(), 0
+            for c, x, y, z in zip(code, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist(), cut, strict=True):
+                numbers[c], decoded_of[c], start = raw[x:y], text[start:z], z
+            packed.clear()
+
         for batch in batches:
             cols = batch.to_pydict()
             out: list[tuple] = []
             for b, kind, ident, codes, lengths, data in zip(*(cols[c] for c in ("block", "kind", "id", "codes", "lengths", "data")), strict=True):
                 if b != block:
-                    block, numbers, decoded_of = b, {}, {}
+                    block, packed, numbers, decoded_of = b, [], {}, {}
                 if kind == 0:
-                    ids_, ends = _unpack_numbers(data).tobytes(), (np.cumsum(_unpack_numbers(lengths), dtype=np.int64) * 4).tolist()
-                    at = np.cumsum(_unpack_numbers(codes), dtype=np.int64).tolist()
-                    piece = list(map(pieces.__getitem__, _unpack_numbers(data).tolist()))
-                    for code, x, y in zip(at, [0, *ends[:-1]], ends, strict=True):
-                        numbers[code] = ids_[x:y]
-                        decoded_of[code] = b"".join(piece[x >> 2 : y >> 2])
+                    packed.append((codes, lengths, data))
                     continue
+                if packed:
+                    fill()
                 order = _unpack_numbers(codes).tolist()
                 raw = b"".join(map(numbers.__getitem__, order))
                 found = np.frombuffer(raw, dtype="<u4")
@@ -240,11 +267,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 row = (ident, len(found), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 out.append((*row, found.astype(np.int32), decoded) if with_ids else row)
             if out:
+                types[0] = batch.schema.field("id").type
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4]
-    id_arrow = pa.int64() if id_type in ("bigint", "long") else pa.int32() if id_type == "int" else pa.string()
-    types = [id_arrow, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(names)]
+    types = [None, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(names)]
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
         run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
 

@@ -37,14 +37,14 @@ FORMATS = {
     "slack_token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"[sr]k_live_[0-9A-Za-z]{16,}",
-    "json_web_token": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "json_web_token": r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
 RUN = r"[A-Za-z0-9_.+/-]"  # a whole name, with its qualifiers: taken at once, so that time is linear in its length
 TO_VALUE, VALUE = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?", r"[^\s\"'<>,;]{8,}"
 ASSIGN = f"(?:(?<!{RUN})(?={RUN}*?{NAMES}){RUN}++|{NAMES}){TO_VALUE}"
-TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{24,}"  # a run is entered at its start only, so time is linear
 PATTERN = "(?<![A-Za-z0-9_])(?:" + "|".join([*FORMATS.values(), ASSIGN + VALUE, TOKEN]) + ")"
 
 #: Words whose letters count as covered by the dictionary, and word groups.
@@ -107,14 +107,16 @@ def with_features(found: DataFrame) -> DataFrame:
     })
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 4000, seed: str = "") -> DataFrame:
     """A bounded table of labelled findings: path, rule, candidate, before, behind, label.
 
-    Made with hashes of the row number, so it is the same each time."""
-    h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("i").cast("string")), 256)
+    Made with hashes of the row number and the seed, so it is the same each time; another
+    seed gives other values, for a held-out table."""
+    h = lambda salt: F.sha2(F.concat_ws(":", F.lit(seed + salt), F.col("i").cast("string")), 256)
     mixed = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "+/=", "xYz")
-    word = lambda salt: F.get(F.array(*map(F.lit, DICTIONARY)), F.pmod(F.xxhash64(F.lit(salt), "i"), F.lit(len(DICTIONARY))).cast("int"))
-    name = lambda names, salt: F.get(F.array(*map(F.lit, names)), F.pmod(F.xxhash64(F.lit(salt), "i"), F.lit(len(names))).cast("int"))
+    name = lambda names, salt: F.get(F.array(*map(F.lit, names)), F.pmod(F.xxhash64(F.lit(seed + salt), "i"), F.lit(len(names))).cast("int"))
+    word = lambda salt: name(DICTIONARY, salt)
+    number = lambda salt, low, high: (F.pmod(F.xxhash64(F.lit(seed + salt), "i"), F.lit(high - low)) + low).cast("string")
     part = lambda c, a, b: F.substring(c, a, b)
     secret_names, hash_names = ["password=", "token = \"", "secret: ", "api_key=", "pwd=", "access_key = '"], ["commit ", "sha256:", "checksum ", "md5 ", "etag=\"", "digest: ", "version "]
     lit = F.lit
@@ -129,6 +131,12 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         ("assignment", part(h("h"), 1, 40), name(secret_names, "h"), 1),
         ("assignment", part(mixed("i"), 1, 20), name(secret_names, "i"), 1),
         ("assignment", F.concat(F.initcap(word("j")), part(mixed("j"), 1, 6), lit("!"), part(h("j"), 1, 3)), name(secret_names, "j"), 1),
+        ("assignment", F.concat(F.initcap(word("ba")), number("ba", 1950, 2030), name(["", "!", "#", "$"], "bb")), name(secret_names, "ba"), 1),
+        ("assignment", F.concat(word("bc"), word("bd"), number("bc", 1, 100)), name(secret_names, "bc"), 1),
+        ("assignment", F.concat(word("be1"), word("bf"), word("bg"), number("be1", 1, 10)), name(secret_names, "be1"), 1),
+        ("assignment", F.concat(word("bh"), lit("-"), word("bi"), name(["", "-", "!"], "bj"), number("bh", 1, 1000)), name(secret_names, "bh"), 1),
+        ("assignment", F.concat(word("bk"), number("bk", 1, 10), word("bl"), name(["", "!", "@"], "bl")), name(secret_names, "bk"), 1),
+        ("assignment", part(h("bm"), 1, 8), name(secret_names, "bm"), 1),
         ("token", part(mixed("k"), 1, 40), lit("auth key "), 1),
         ("private_key", lit("-----BEGIN RSA PRIVATE KEY-----"), lit("\n"), 1),
         ("token", part(h("l"), 1, 40), name(hash_names, "l"), 0),
@@ -138,6 +146,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         ("assignment", F.concat(word("p"), lit("_"), word("q"), lit("_"), word("r")), name(secret_names, "p"), 0),
         ("assignment", F.concat(name(["your", "example", "changeme", "dummy", "test"], "q"), lit("_"), word("q"), lit("123")), name(secret_names, "q"), 0),
         ("assignment", F.concat(F.repeat(lit("x"), 8), part(F.conv(part(h("r"), 1, 4), 16, 10), 1, 4)), name(secret_names, "r"), 0),
+        ("assignment", F.concat(lit("${"), F.upper(word("ca")), lit("_"), F.upper(word("cb")), lit("}")), name(secret_names, "ca"), 0),
+        ("assignment", F.concat(word("cc"), lit("."), word("cd"), lit("."), word("ce")), name(secret_names, "cc"), 0),
+        ("assignment", F.concat(word("cf"), word("cg")), name(secret_names, "cf"), 0),
+        ("assignment", F.concat(word("ch"), F.initcap(word("ci")), F.initcap(word("cj"))), name(secret_names, "ch"), 0),
+        ("assignment", F.concat(word("cm"), lit("("), word("cn"), name(["", "_", "."], "cn"), word("co"), lit(")")), name(secret_names, "cm"), 0),
+        ("assignment", F.concat(name(["YOUR_", "MY_", "your-", "<"], "cp"), F.upper(word("cp")), lit("_"), F.upper(word("cq"))), name(secret_names, "cp"), 0),
+        ("assignment", F.substring(F.repeat(name(["x", "*", "X", "0", "."], "cr"), 24), 1, F.pmod(F.xxhash64(lit(seed + "cr"), "i"), lit(14)) + 8), name(secret_names, "cr"), 0),
+        ("assignment", F.concat(F.upper(word("ck")), lit("_"), F.upper(word("cl"))), name(secret_names, "ck"), 0),
         ("aws_access_key", F.concat(lit("AKIA"), F.upper(part(F.concat(word("s"), lit("XXXXXXXXXXXXXXXX")), 1, 9)), lit("EXAMPLE")), lit("key "), 0),
         ("token", F.concat_ws("/", word("t"), word("u"), word("v"), F.concat(word("w"), lit("2.java"))), lit("see "), 0),
         ("token", F.concat(word("x"), F.initcap(word("y")), F.initcap(word("z")), F.initcap(word("t")), lit("2Handler")), lit("call "), 0),
@@ -148,10 +164,11 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     made = spark.range(0, -(-rows // len(kinds)), numPartitions=1).select(F.col("id").alias("i"))
     one = F.array(*(F.struct(lit(r).alias("rule"), c.alias("candidate"), b.alias("before"), lit(y).alias("label")) for r, c, b, y in kinds))
     out = made.select("i", path.alias("path"), F.explode(one).alias("k")).select("i", "path", "k.rule", "k.candidate", F.concat(word("be"), lit(" "), F.col("k.before")).alias("before"), lit(" ").alias("behind"), "k.label")
-    return out.withColumn("path", F.when(F.col("label") == 0, F.when(F.col("i") % 3 == 0, "tests/fixtures/sample.json").otherwise(F.col("path"))).otherwise(F.col("path"))).limit(rows)
+    in_tests = F.pmod(F.xxhash64(lit(seed + "tests"), "i", "candidate"), lit(10)) < F.when(F.col("label") == 0, 3).otherwise(1)  # either kind stands in test paths
+    return out.withColumn("path", F.when(in_tests, "tests/fixtures/sample.json").otherwise(F.col("path"))).limit(rows)
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 11) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 32, depth: int = 9, seed: int = 11) -> RandomForestClassificationModel:
     """A forest from labelled findings (path, rule, candidate, before, behind, label)."""
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings)).select("features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(data.coalesce(1))

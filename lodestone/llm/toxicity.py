@@ -224,11 +224,12 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """At most ``max_rows`` labelled texts (text, y, fold): those with the smallest hash.
 
-    The sample of labels is chosen first, on the narrow table."""
+    The sample of labels is chosen first, on the narrow table. An id with several labels is toxic
+    if one says so; of an id with several texts, the least text is taken."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     some = known.withColumn("rank", F.xxhash64("doc_id", F.lit(7))).orderBy("rank", "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(
-        F.coalesce("text", F.lit("")).alias("text"), "y", (F.pmod("rank", F.lit(5))).cast("int").alias("fold"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y", "rank").agg(
+        F.min("text").alias("text")).select("text", "y", (F.pmod("rank", F.lit(5))).cast("int").alias("fold"))
 
 
 def learn_lexicon(rows: DataFrame, max_stems: int = MAX_STEMS, support: int = 4) -> dict[str, float]:

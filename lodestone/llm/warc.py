@@ -1,7 +1,7 @@
 """WARC: archives with revisit records, and a reader that salvages damaged ones.
 
 **Writer.** Rows become WARC/1.1 records, each its own gzip member. Of payloads that are
-equal and large enough, the row with the largest identifier is written as a response, the
+equal (by SHA-256; the standard's SHA-1 goes in the header only) and large enough, the row with the largest identifier is written as a response, the
 others as `revisit` records that refer to it. Which row that is comes from one aggregate
 by digest (combined in the map tasks, so a payload that a third of the rows share is no
 hot key). Archives are files of a bounded size in a shared folder; a task writes under a
@@ -96,7 +96,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = number_rows(pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
                                     payload.alias("payload"), F.sha1(payload).alias("digest")), "row")
-    large = rows.where(F.octet_length("payload") >= min_bytes)
+    large = rows.where(F.octet_length("payload") >= min_bytes).select("id", "row", F.sha2("payload", 256).alias("digest"))
     first = large.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = cut(large.select("digest", "id", "row").join(first, "digest").where(F.col("row") != F.col("best.row"))
                 .select("row", F.col("best.id").alias("refers_to"), F.lit(True).alias("revisit")))
@@ -184,17 +184,11 @@ def _payload(head: dict, block: bytes) -> tuple[bytes, int, str | None]:
     return body, full, digest if not re.fullmatch("sha1:[0-9a-f]{40}", said_digest) or said_digest == f"sha1:{digest}" else None
 
 
-def salvage(data: bytes):
-    """Yields ("record", start, end, header, (payload, length, digest)) and ("gap", start, end, None, None)."""
-    at, bad_from, packed = 0, None, data[:2] == GZIP_MAGIC[:2] or GZIP_MAGIC in data and VERSION_LINE.search(data) is None
+def _walk(data: bytes):
+    """Records and gaps of plain bytes: ("record", start, end, header, content) and ("gap", start, end, None, None)."""
+    at, bad_from = 0, None
     while at < len(data):
-        found = None
-        if packed:
-            got = inflate(data, at) if data[at : at + 3] == GZIP_MAGIC else None
-            if got and (rec := parse(got[0])) and rec[2] == len(got[0]):
-                found = (rec[0], rec[1], got[1])
-        elif rec := parse(data, at):
-            found = rec
+        found = parse(data, at)
         content = _payload(found[0], found[1]) if found else None
         if content and content[2] is not None:
             if bad_from is not None:
@@ -204,17 +198,41 @@ def salvage(data: bytes):
             at = found[2]
             continue
         bad_from = at if bad_from is None else bad_from
-        if packed:
-            at = data.find(GZIP_MAGIC, at + 1)
-        else:
-            m = VERSION_LINE.search(data, at + 1)
-            at = m.start() if m else -1
-        at = len(data) if at < 0 else at
+        m = VERSION_LINE.search(data, at + 1)
+        at = m.start() if m else len(data)
     if bad_from is not None:
         yield "gap", bad_from, len(data), None, None
 
 
-RECORDS = ("file string, kind string, start long, end long, record_type string, id long, refers_to long, url string, "
+def salvage(data: bytes):
+    """Yields (kind, start, end, inside, header, (payload, length, digest)): kind "record" or "gap" (no header).
+
+    start and end are bytes of the file. A gzip member that holds anything but one whole record
+    is walked in turn: its records and gaps have the member's start and end, and ``inside`` their
+    own (start, end) in the inflated member."""
+    if not (data[:2] == GZIP_MAGIC[:2] or GZIP_MAGIC in data and VERSION_LINE.search(data) is None):
+        yield from ((kind, start, end, None, head, content) for kind, start, end, head, content in _walk(data))
+        return
+    at, bad_from = 0, None
+    while at < len(data):
+        got = inflate(data, at) if data[at : at + 3] == GZIP_MAGIC else None
+        inner = list(_walk(got[0])) if got else []
+        if any(kind == "record" for kind, *_ in inner):
+            if bad_from is not None:
+                yield "gap", bad_from, at, None, None, None
+                bad_from = None
+            for kind, start, end, head, content in inner:
+                yield kind, at, got[1], None if len(inner) == 1 else (start, end), head, content
+            at = got[1]
+            continue
+        bad_from = at if bad_from is None else bad_from
+        at = data.find(GZIP_MAGIC, at + 1)
+        at = len(data) if at < 0 else at
+    if bad_from is not None:
+        yield "gap", bad_from, len(data), None, None, None
+
+
+RECORDS = ("file string, kind string, start long, end long, inside_start long, inside_end long, record_type string, id long, refers_to long, url string, "
            "payload_bytes long, payload_digest string, payload binary")
 
 
@@ -222,7 +240,8 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame | None = None
     """All records and gaps of the archives in folder ``path`` (only of ``files``, if given).
 
     payload_bytes and payload_digest (lower-case hex SHA-1) are of the full payload, for
-    revisits as their headers state them; rows of kind `gap` have only file, start, end."""
+    revisits as their headers state them; rows of kind `gap` have only their places: the file's
+    bytes from start to end or, where inside_start is given, those of the inflated member there."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
     raw = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     if files is not None:  # what failed attempts left behind is rare: those are left out, by name, so that contents stay in place
@@ -233,16 +252,17 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame | None = None
 
     def run(batches):
         names = [f.split()[0] for f in RECORDS.split(", ")]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
-                for kind, start, end, head, found in salvage(content.as_py()):
+                for kind, start, end, inside, head, found in salvage(content.as_py()):
+                    place = (file, kind, start, end, *(inside or (None, None)))
                     if kind == "gap":
-                        rows.append((file, kind, start, end, *[None] * 7))
+                        rows.append((*place, *[None] * 7))
                     else:
                         (body, full, digest), revisit = found, head["warc-type"] == "revisit"
-                        rows.append((file, kind, start, end, head["warc-type"], row_id(head.get("warc-record-id")),
+                        rows.append((*place, head["warc-type"], row_id(head.get("warc-record-id")),
                                      row_id(head.get("warc-refers-to")) if revisit else None, head.get("warc-target-uri"), full, digest,
                                      body if payloads else None))
                         size += len(body) if payloads else 0
@@ -256,11 +276,15 @@ def read_archives(spark: SparkSession, path: str, files: DataFrame | None = None
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as its record, read back from the archives, says."""
+    """Every page as its record, read back from the archives, says; a gap in them is an error."""
     with scratch(spark) as path:
         files = write_archives(table(spark, sf_dir, "pages"), path)
-        records = read_archives(spark, f"{path}/archives", files, payloads=False).where("kind = 'record'")
-        return cut(records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        found = cut(read_archives(spark, f"{path}/archives", files, payloads=False).select(
+            "kind", "file", "start", "end", F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        gaps = found.where("kind = 'gap'").select("file", "start", "end").take(5)
+        if gaps:
+            raise RuntimeError(f"archives just written have damaged parts, of which {gaps}")
+        return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
