@@ -7,10 +7,12 @@ the result and does not stop the others.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ class Catalog:
         self.spark, self.bases, self.groups = spark, {}, {}
         self.active: str | None = None
         self.active_group: str | None = None
+        self.failures: dict[tuple[str, str], Exception] = {}  # (alias, table) -> why its last read left the base out
 
     # bases
 
@@ -53,6 +56,7 @@ class Catalog:
     def close(self, alias: str) -> None:
         self._base(alias)
         del self.bases[alias]
+        self.failures = {k: e for k, e in self.failures.items() if k[0] != alias}
         for members in self.groups.values():
             if alias in members:
                 members.remove(alias)
@@ -124,7 +128,14 @@ class Catalog:
             raise SchemaMismatch(f"{alias}: revision {base.revision}, this engine reads {REVISION}")
         return base
 
-    def _read(self, base: Base, name: str) -> DataFrame:
+    def has(self, base: Base, name: str) -> bool:
+        """Whether the base holds the table."""
+        if name in base.tables:
+            return True
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.path}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def read(self, base: Base, name: str) -> DataFrame:
         if name in base.tables:
             return base.tables[name]
         reader = self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read
@@ -132,25 +143,37 @@ class Catalog:
 
     def table(self, name: str, db=None, group: str | None = None) -> DataFrame:
         """A table over all sound bases of the scope, with the column ``base`` in front (a
-        column of that name in the table itself becomes ``own_base``)."""
+        column of that name in the table itself becomes ``own_base``).
+
+        A base that cannot be read is left out with a warning, and `status` names it."""
         parts, errors = [], []
         for alias in self.scope(db, group):
             try:
-                own = self._read(self.check(alias), name).withColumnRenamed("base", "own_base")
+                own = self.read(self.check(alias), name).withColumnRenamed("base", "own_base")
                 parts.append(own.select(F.lit(alias).alias("base"), "*"))
-            except Exception as e:  # noqa: BLE001 - reported by status()
+                self.failures.pop((alias, name), None)
+            except (EngineError, AnalysisException) as e:
                 errors.append(e)
+                self.failures[alias, name] = e
         if not parts:
             raise errors[0] if errors else BadArguments("the scope is empty")
+        for e in errors:
+            warnings.warn(f"{name} is incomplete: {str(e).splitlines()[0]}", stacklevel=2)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def status(self, db=None, group: str | None = None) -> DataFrame:
-        """base, status (ok or error), error (category) and message of each base in the scope."""
+        """base, status (ok or error), error (category) and message of each base in the scope; a base
+        that the last read of some table left out is an error."""
         rows = []
         for alias in self.scope(db, group):
             try:
                 self.check(alias)
-                rows.append((alias, "ok", None, None))
+                lost = {table: e for (base, table), e in self.failures.items() if base == alias}
+                if lost:
+                    first = next(iter(lost.values()))
+                    rows.append((alias, "error", category(first), f"{', '.join(lost)}: {str(first).splitlines()[0]}"))
+                else:
+                    rows.append((alias, "ok", None, None))
             except EngineError as e:
                 rows.append((alias, "error", category(e), str(e)))
         return self.spark.createDataFrame(rows, "base string, status string, error string, message string")

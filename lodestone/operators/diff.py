@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.search import ranked_first
 
 #: The order of sections and kinds in a report.
 SECTIONS = ["attrs", "tabulars", "modules", "methods", "children", "queries", "xdto"]
@@ -57,10 +56,15 @@ def added_items(extension: DataFrame, base: DataFrame, key: str, item: str) -> D
 
 
 def ranked_match(calls: DataFrame, methods: DataFrame, on: list[str], same: str, tie: str) -> DataFrame:
-    """Every call with its best method: one of the same module first, then by ``tie``; null without any."""
-    m = methods.select(*on, F.col(same).alias("found_in"), F.col(tie).alias("found"))
-    both = calls.join(m, on, "left").withColumn("__other", F.when(F.col("found_in") == F.col(same), 0).otherwise(1))
-    return ranked_first(both, calls.columns, ["__other", F.col("found").asc_nulls_last()]).drop("__other")
+    """Every call with its best method: the least ``tie`` of the same module, else of all; null without any.
+
+    The best of each group is found first, so a call meets at most two methods."""
+    best = methods.where(F.col(tie).isNotNull())
+    near = best.groupBy(*on, F.col(same)).agg(F.min(tie).alias("__near"))
+    far = best.groupBy(*on).agg(F.min(F.struct(F.col(tie).alias("found"), F.col(same).alias("found_in"))).alias("__far"))
+    both = calls.join(near, [*on, same], "left").join(far, on, "left")
+    return both.select(*calls.columns, F.when(F.col("__near").isNotNull(), F.col(same)).otherwise(F.col("__far.found_in")).alias("found_in"),
+                       F.coalesce("__near", "__far.found").alias("found"))
 
 
 def verdict(**aspects: Column) -> Column:

@@ -14,8 +14,10 @@ def neighbours(edges: DataFrame, start: DataFrame, source: str = "src", target:
 def bfs(edges: DataFrame, start: DataFrame, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
     """(node, depth): the least number of steps to every node within ``depth`` steps.
 
-    A bounded loop: each step joins the frontier and removes what was seen. Frontier and
-    edges are both shuffled by key; nothing is collected."""
+    A bounded loop: each step joins the frontier and removes what was seen, and ends early when
+    nothing is left. Frontier and edges are both shuffled by key; nothing is collected. From the
+    third step on, what was seen is cut in the shared checkpoint folder (where one is set)."""
+    cuts = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null").distinct()
     frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
     seen = frontier
@@ -23,4 +25,9 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int, source: str = "src", tar
         step = frontier.join(e, F.col("node") == F.col("s")).select(F.col("t").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k))
         seen = seen.unionByName(frontier)
+        if cuts and k > 2 and k < depth:
+            seen = seen.checkpoint()
+            frontier = seen.where(F.col("depth") == k)
+            if frontier.isEmpty():
+                break
     return seen

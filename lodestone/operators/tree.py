@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.errors import DataError
+
+SHALLOW, DEEPEST = 16, 200  # levels climbed without asking whether there are more, and at most
+
 
 def subtree(nodes: DataFrame, roots: Column, depth: int, node: str = "id", parent: str = "parent_id", order: str = "ord", name: str = "name") -> DataFrame:
     """Pre-order listing below the rows where ``roots`` holds: level, sort_key and the node.
 
     One join per level, at most ``depth`` levels; sort_key is the concatenation of the
     ancestors' zero-padded ordinals and keys, so ordering by it is the display order."""
-    piece = lambda: F.concat(F.lpad(F.coalesce(F.col(order), F.lit(99999999)).cast("string"), 8, "0"), F.lpad(F.col(node).cast("string"), 12, "0"))
+    def wide(column: Column, width: int) -> Column:
+        """The number in ``width`` digits; a longer one in 20 behind a mark that sorts last."""
+        digits = column.cast("string")
+        return F.when(F.length(digits) > width, F.concat(F.lit("~"), F.lpad(digits, 20, "0"))).otherwise(F.lpad(digits, width, "0"))
+
+    piece = lambda: F.concat(wide(F.coalesce(F.col(order), F.lit(99999999)), 8), wide(F.col(node), 12))
     cols = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"), piece().alias("piece"))
     level = nodes.where(roots).select(F.col(node).alias("node"), F.col(name).alias("name"), piece().alias("sort_key")).withColumn("level", F.lit(0))
     out = level
@@ -22,15 +31,21 @@ def subtree(nodes: DataFrame, roots: Column, depth: int, node: str = "id", paren
     return out
 
 
-def ancestors(nodes: DataFrame, start: Column, node: str = "id", parent: str = "parent_id", name: str = "name", most: int = 16) -> DataFrame:
-    """The chain from the starting nodes to their roots: start, steps, node, name."""
+def ancestors(nodes: DataFrame, start: Column, node: str = "id", parent: str = "parent_id", name: str = "name", most: int | None = None) -> DataFrame:
+    """The chain from the starting nodes to their roots: start, steps, node, name.
+
+    ``most``: levels to climb; without it all of them, and a chain without an end is an error."""
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.col(name).alias("name"))
     at = nodes.where(start).select(F.col(node).alias("start"), F.lit(0).alias("steps"), F.col(node).alias("node"), F.col(name).alias("name"), F.col(parent).alias("up"))
     out = at
-    for k in range(1, most + 1):
+    for k in range(1, (DEEPEST if most is None else most) + 1):
+        if most is None and k > SHALLOW and at.where("up is not null").isEmpty():  # few hierarchies are deeper; those pay for the question
+            return out.drop("up")
         prior = at.where("up is not null").select("start", F.col("up").alias("node"))
         at = prior.join(base, "node").select("start", F.lit(k).alias("steps"), "node", "name", "up")
         out = out.unionByName(at)
+    if most is None:
+        raise DataError(f"a chain of parents has more than {DEEPEST} levels")
     return out.drop("up")
 
 

@@ -16,7 +16,7 @@ def object_tree(spark, d):
 
 
 def ancestors(spark, d):
-    return T.ancestors(tree(spark, d), F.col("type").startswith("Customer") & (F.col("id") % 100 == 0), most=4)
+    return T.ancestors(tree(spark, d), F.col("type").startswith("Customer"), most=4)
 
 
 def child_buckets(spark, d):
@@ -59,7 +59,7 @@ def parent_resolve(spark, d):
 
 def ordered_membership(spark, d):
     """Members in first-seen order, without the owner itself, densely numbered."""
-    m = t(spark, d, "lineitem").where("l_orderkey < 500 AND l_suppkey <> l_orderkey").select("l_orderkey", "l_suppkey", "l_linenumber")
+    m = t(spark, d, "lineitem").where("l_suppkey <> l_orderkey").select("l_orderkey", "l_suppkey", "l_linenumber")
     first = ranked_first(m, ["l_orderkey", "l_suppkey"], ["l_linenumber"])
     return T.ordinal(first, ["l_orderkey"], ["l_linenumber", "l_suppkey"]).select("l_orderkey", "l_suppkey", "ord")
 
@@ -100,7 +100,7 @@ b AS (SELECT unnest({start}) AS node, 0 AS depth UNION SELECT g.t, b.depth + 1 F
 SELECT node, min(depth) AS depth FROM b GROUP BY node"""
 SQL = {
     "object_tree": f"WITH RECURSIVE {TREE_SQL}, nodes AS (SELECT * FROM tree), {_SUB.format(root="name = 'ASIA'")} SELECT sort_key, level, node, name FROM sub ORDER BY sort_key LIMIT 200",
-    "ancestors": f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT id AS start, 0 AS steps, id AS node, name, parent_id FROM tree WHERE starts_with(type, 'Customer') AND id % 100 = 0
+    "ancestors": f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT id AS start, 0 AS steps, id AS node, name, parent_id FROM tree WHERE starts_with(type, 'Customer')
         UNION ALL SELECT up.start, up.steps + 1, t.id, t.name, t.parent_id FROM up JOIN tree t ON t.id = up.parent_id) SELECT start, steps, node, name FROM up""",
     "child_buckets": f"""WITH {TREE_SQL} SELECT parent_id, CASE WHEN ends_with(type, 'Form') THEN 'form' WHEN ends_with(type, 'Command') THEN 'command' WHEN ends_with(type, 'Template') THEN 'template' ELSE 'other' END AS bucket,
         count(*) AS n, min(name) AS first_name FROM tree WHERE parent_id >= 1000 GROUP BY 1, 2""",
@@ -113,7 +113,7 @@ SQL = {
           UNION ALL SELECT c_custkey + 10000, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
         SELECT a.id, arg_max(b.id, length(b.path)) AS parent_id FROM p a JOIN p b ON starts_with(a.path, b.path || '/') GROUP BY a.id""",
     "ordered_membership": """SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) - 1 AS ord FROM
-        (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem WHERE l_orderkey < 500 AND l_suppkey <> l_orderkey GROUP BY 1, 2)""",
+        (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem WHERE l_suppkey <> l_orderkey GROUP BY 1, 2)""",
     "common_targets": """WITH i AS (SELECT event_id, user_id AS target FROM events UNION SELECT event_id, json_extract_string(props, '$.k')::BIGINT FROM events)
         SELECT event_id, target FROM i WHERE event_id <> target AND target IN (SELECT s_suppkey FROM supplier)""",
     "nested_types": f"WITH RECURSIVE {TREE_SQL}, nodes AS (SELECT * FROM tree WHERE ord IS NOT NULL), {_SUB.format(root='parent_id IS NULL')} SELECT level, count(*) AS n, max(sort_key) AS last_key FROM sub GROUP BY level",

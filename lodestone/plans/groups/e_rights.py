@@ -67,10 +67,10 @@ def text_truncate(spark, d):
 def target_resolve(spark, d):
     """Several uuid maps; later ones win."""
     u = lambda c: F.md5((F.col(c) % 700).cast("string"))
-    maps = [(t(spark, d, "customer").where("c_custkey < 500").select(u("c_custkey").alias("uuid"), F.col("c_custkey").alias("id")), "object"),
-            (t(spark, d, "part").where("p_partkey BETWEEN 300 AND 600").select(u("p_partkey").alias("uuid"), F.col("p_partkey").alias("id")), "attribute"),
-            (t(spark, d, "supplier").where("s_suppkey < 50").select(u("s_suppkey").alias("uuid"), F.col("s_suppkey").alias("id")), "section")]
-    r = t(spark, d, "orders").where("o_orderkey < 900").select("o_orderkey", u("o_orderkey").alias("target_uuid"))
+    maps = [(t(spark, d, "customer").select(u("c_custkey").alias("uuid"), F.col("c_custkey").alias("id")), "object"),
+            (t(spark, d, "part").select(u("p_partkey").alias("uuid"), F.col("p_partkey").alias("id")), "attribute"),
+            (t(spark, d, "supplier").select(u("s_suppkey").alias("uuid"), F.col("s_suppkey").alias("id")), "section")]
+    r = t(spark, d, "orders").select("o_orderkey", u("o_orderkey").alias("target_uuid"))
     return R.resolve_target(r, maps)
 
 
@@ -105,10 +105,10 @@ SQL = {
     "text_truncate": f"""WITH {RIGHTS_SQL}, o AS (SELECT event_id, trim(regexp_replace(rls, '\\s+', ' ', 'g')) AS x FROM rights WHERE rls IS NOT NULL)
         SELECT event_id, CASE WHEN length(x) > 600 THEN left(x, 600) || '...' ELSE x END AS rls FROM o""",
     "target_resolve": """
-        WITH m AS (SELECT md5((c_custkey % 700)::VARCHAR) AS u, c_custkey::VARCHAR AS id, 'object' AS k, 0 AS r FROM customer WHERE c_custkey < 500
-          UNION ALL SELECT md5((p_partkey % 700)::VARCHAR), p_partkey::VARCHAR, 'attribute', 1 FROM part WHERE p_partkey BETWEEN 300 AND 600
-          UNION ALL SELECT md5((s_suppkey % 700)::VARCHAR), s_suppkey::VARCHAR, 'section', 2 FROM supplier WHERE s_suppkey < 50),
+        WITH m AS (SELECT md5((c_custkey % 700)::VARCHAR) AS u, c_custkey::VARCHAR AS id, 'object' AS k, 0 AS r FROM customer
+          UNION ALL SELECT md5((p_partkey % 700)::VARCHAR), p_partkey::VARCHAR, 'attribute', 1 FROM part
+          UNION ALL SELECT md5((s_suppkey % 700)::VARCHAR), s_suppkey::VARCHAR, 'section', 2 FROM supplier),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY r DESC, id DESC) AS n FROM m) WHERE n = 1)
-        SELECT o_orderkey, md5((o_orderkey % 700)::VARCHAR) AS target_uuid, k AS target_kind, id AS target_id FROM orders LEFT JOIN b ON u = md5((o_orderkey % 700)::VARCHAR) WHERE o_orderkey < 900""",
+        SELECT o_orderkey, md5((o_orderkey % 700)::VARCHAR) AS target_uuid, k AS target_kind, id AS target_id FROM orders LEFT JOIN b ON u = md5((o_orderkey % 700)::VARCHAR)""",
     "two_pass_resolve": """SELECT o_orderkey, c_name, s_suppkey AS kind_id FROM orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN supplier ON s_suppkey = o_orderkey % 140""",
 }

@@ -25,7 +25,7 @@ def _snapshot(o):
 
 def snapshot_diff(spark, d):
     a, b = _halves(spark, d)
-    out = D.snapshot_diff(_snapshot(a.where("o_custkey < 40")), _snapshot(b.where("o_custkey < 40")), ["section", "o_custkey", "key"], "fp")
+    out = D.snapshot_diff(_snapshot(a), _snapshot(b), ["section", "o_custkey", "key"], "fp")
     return paging.page(out, [D.section_order(F.col("section")), D.kind_order(F.col("kind")), "o_custkey", "key"], 150, 20)
 
 
@@ -51,7 +51,7 @@ def added_items(spark, d):
 
 def ranked_match(spark, d):
     """A method of the same module first, else the first of the object."""
-    calls = t(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", (F.col("o_custkey") % 50).alias("obj"), (F.col("o_orderkey") % 4).alias("module"))
+    calls = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("obj"), (F.col("o_orderkey") % 4).alias("module"))
     methods = t(spark, d, "customer").where("c_acctbal > 5000").select((F.col("c_custkey") % 50).alias("obj"), (F.col("c_nationkey") % 4).cast("long").alias("module"), "c_custkey")
     return D.ranked_match(calls, methods, ["obj"], "module", "c_custkey").select("o_orderkey", "obj", "module", "found_in", "found")
 
@@ -83,8 +83,8 @@ def source_fingerprint(spark, d):
 QUERIES = {f.__name__: f for f in (snapshot_diff, config_diff, split_new, split_borrowed, added_items, ranked_match, fingerprint, normalized_equal, method_verdict, source_fingerprint)}
 
 _H = f"a AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT}'), b AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT}')"
-_S = """(SELECT 'attrs' AS section, o_custkey, o_orderpriority AS key, sha1(count(*)::VARCHAR) AS fp FROM {x} WHERE o_custkey < 40 GROUP BY 2, 3
-  UNION ALL SELECT 'modules', o_custkey, o_orderstatus, sha1(max(o_orderkey)::VARCHAR) FROM {x} WHERE o_custkey < 40 GROUP BY 2, 3)"""
+_S = """(SELECT 'attrs' AS section, o_custkey, o_orderpriority AS key, sha1(count(*)::VARCHAR) AS fp FROM {x} GROUP BY 2, 3
+  UNION ALL SELECT 'modules', o_custkey, o_orderstatus, sha1(max(o_orderkey)::VARCHAR) FROM {x} GROUP BY 2, 3)"""
 SQL = {
     "snapshot_diff": f"""WITH {_H}, sa AS {_S.format(x='a')}, sb AS {_S.format(x='b')},
         j AS (SELECT coalesce(sa.section, sb.section) AS section, coalesce(sa.o_custkey, sb.o_custkey) AS o_custkey, coalesce(sa.key, sb.key) AS key,
@@ -99,7 +99,7 @@ SQL = {
     "split_borrowed": f"WITH {_H} SELECT DISTINCT o_custkey FROM b WHERE o_custkey IN (SELECT o_custkey FROM a)",
     "added_items": f"WITH {_H}, n AS (SELECT DISTINCT o_custkey, o_orderpriority FROM b EXCEPT SELECT o_custkey, o_orderpriority FROM a) SELECT o_custkey, count(*) AS n_added, min(o_orderpriority) AS first_item FROM n GROUP BY 1",
     "ranked_match": """
-        WITH c AS (SELECT o_orderkey, o_custkey % 50 AS obj, o_orderkey % 4 AS module FROM orders WHERE o_orderkey < 2000),
+        WITH c AS (SELECT o_orderkey, o_custkey % 50 AS obj, o_orderkey % 4 AS module FROM orders),
         m AS (SELECT c_custkey % 50 AS obj, (c_nationkey % 4)::BIGINT AS found_in, c_custkey AS found FROM customer WHERE c_acctbal > 5000)
         SELECT o_orderkey, obj, module, found_in, found FROM (SELECT c.*, found_in, found, row_number() OVER (PARTITION BY o_orderkey ORDER BY CASE WHEN found_in = module THEN 0 ELSE 1 END, found NULLS LAST) AS r
           FROM c LEFT JOIN m ON c.obj = m.obj) WHERE r = 1""",

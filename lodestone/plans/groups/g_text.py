@@ -56,7 +56,7 @@ def find_xdto(spark, d):
 
 def search_lines(spark, d):
     """All lines with their numbers."""
-    return S.lines(_docs(spark, d).where("doc_id < 50"), "text", ["doc_id"]).select("doc_id", "line_no", F.length("line").cast("long").alias("size"))
+    return S.lines(_docs(spark, d), "text", ["doc_id"]).select("doc_id", "line_no", F.length("line").cast("long").alias("size"))
 
 
 def whitespace_collapse(spark, d):
@@ -82,6 +82,6 @@ SQL = {
     "find_xdto": """WITH a AS (SELECT 1 AS section, page_id, 0::BIGINT AS ord, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages
           UNION ALL SELECT 2, page_id, unnest(range(len(x))), unnest(x) FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages))
         SELECT section, page_id, ord, name FROM a WHERE contains(lower(name), 'on') ORDER BY section, page_id, ord LIMIT 150 OFFSET 10""",
-    "search_lines": f"WITH {_L} SELECT doc_id, n AS line_no, length(line) AS size FROM l WHERE doc_id < 50",
+    "search_lines": f"WITH {_L} SELECT doc_id, n AS line_no, length(line) AS size FROM l",
     "whitespace_collapse": r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations",
 }

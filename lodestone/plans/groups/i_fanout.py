@@ -28,7 +28,7 @@ def fanout_status(spark, d):
 
 def scope_resolution(spark, d):
     """Names found in one base only are certain, in several ambiguous."""
-    hits = _catalog(spark, d).table("part", ["left", "right"]).where("p_partkey < 60").groupBy("p_partkey").agg(F.count_distinct("base").alias("n"), F.min("base").alias("base"))
+    hits = _catalog(spark, d).table("part", ["left", "right"]).groupBy("p_partkey").agg(F.count_distinct("base").alias("n"), F.min("base").alias("base"))
     return hits.select("p_partkey", F.when(F.col("n") > 1, "ambiguous").otherwise("in_scope").alias("state"), F.when(F.col("n") == 1, F.col("base")).alias("base"))
 
 
@@ -52,7 +52,7 @@ SQL = {
     "fanout_union": "SELECT 'left' AS base, p_partkey, p_name FROM part WHERE p_partkey % 2 = 0 AND contains(p_name, 'blue') UNION ALL SELECT 'right', p_partkey, p_name FROM part WHERE p_partkey % 3 = 0 AND contains(p_name, 'blue')",
     "fanout_status": "SELECT * FROM (VALUES ('left', 'ok', NULL), ('right', 'ok', NULL), ('old', 'error', 'DB_SCHEMA'), ('missing', 'error', 'BAD_ARGS')) t(base, status, error)",
     "scope_resolution": """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'ambiguous' ELSE 'in_scope' END AS state, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS base
-        FROM part WHERE p_partkey < 60 AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)""",
+        FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""",
     "event_index": """WITH e AS (SELECT event_type, unnest([user_id, user_id + 90]) AS source, json_extract_string(props, '$.k')::BIGINT AS handler FROM events)
         SELECT event_type, n_name, count(s_name) AS n_sources, count(*) FILTER (s_name IS NULL) AS n_unresolved FROM e LEFT JOIN supplier ON s_suppkey = source LEFT JOIN nation ON n_nationkey = handler GROUP BY 1, 2""",
     "kind_of": """WITH x AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/:]*(\\.[a-z]+)', 1)) AS e FROM pages)

@@ -94,12 +94,14 @@ def inflate(data: bytes) -> bytes:
         return data
 
 
-def unpack(data: bytes, deflate: bool = True, path: str = "", depth: int = 8) -> Iterator[tuple[str, bytes]]:
-    """All files of a container with their paths; containers inside are opened."""
+def unpack(data: bytes, deflate: bool = True, path: str = "", depth: int = 64) -> Iterator[tuple[str, bytes]]:
+    """All files of a container with their paths; containers inside are opened, ``depth`` levels at most."""
     for name, body in entries(memoryview(data)):
         body = inflate(body) if deflate else body
         where = f"{path}/{name}" if path else name
-        if body[:4] == MAGIC and depth:
+        if body[:4] == MAGIC:
+            if not depth:
+                raise DataError(f"containers inside containers without end at {where}")
             yield from unpack(body, False, where, depth - 1)
         else:
             yield where, body

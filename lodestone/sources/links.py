@@ -14,8 +14,8 @@ UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{
 
 
 def header_uuids(objects: DataFrame) -> DataFrame:
-    """id, pos, uuid: the distinct uuids of each header with their first position."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("header_json", F.lit(UUID), F.lit(0)), lambda u: F.lower(u)))
+    """id, pos, uuid: the distinct uuids of each header with their first position; only whole values count."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all("header_json", F.lit(f'"({UUID})"'), F.lit(1)), lambda u: F.lower(u)))
     return objects.select("id", F.posexplode(found).alias("pos", "uuid"))
 
 

@@ -145,9 +145,21 @@ def items(text: str, header=None) -> list[Item]:
             for n, parent, r in _walk(t.rows, None, count())]
 
 
+def unreadable(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and error of the files that are no predefined data."""
+    def rows(t):
+        try:
+            items(t)
+            return []
+        except (DataError, IndexError, TypeError) as e:
+            return [(str(e) or type(e).__name__,)]
+
+    return expand(files, keys, text, "error string", rows)
+
+
 def read_items(files: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The items of each file's text: keys, ord, parent_ord, uuid, name, code, display; files that
-    are no predefined data give nothing."""
+    are no predefined data give nothing here, but a row of `unreadable`."""
     def rows(t):
         try:
             return [(i.ord, i.parent, i.uuid, i.name, i.code, i.display) for i in items(t)]

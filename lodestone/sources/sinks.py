@@ -12,25 +12,32 @@ from lodestone.schema import TABLES, empty
 
 
 def write_base(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
-    """Replaces the base at ``path``. Readers see the old base or the new one, never a part:
-    tables are written beside it and the folder is renamed when all are there."""
+    """Replaces the base at ``path``: tables are written beside it, and folders are renamed when all
+    are there. Readers never see a part; a crash between the two renames leaves the old base
+    whole as ``<path>.before-<id>``, and a rename that fails puts it back."""
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise BadArguments(f"no such tables: {sorted(unknown)}")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staging = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    number = uuid.uuid4().hex
+    staging, before = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{tag}{number}") for tag in ("", "before-"))
     try:
         for name in TABLES:
             wanted = empty(spark, name).schema
             df = tables.get(name, empty(spark, name))
             cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
             df.select(*cols).write.parquet(f"{staging}/{name}")
-        if fs.exists(target):
-            fs.delete(target, True)
+        replaces = fs.exists(target)
+        if replaces and not fs.rename(target, before):
+            raise OSError(f"cannot rename {target}")
         if not fs.rename(staging, target):
+            if replaces:
+                fs.rename(before, target)
             raise OSError(f"cannot rename {staging}")
+        if replaces:
+            fs.delete(before, True)
     finally:
         if fs.exists(staging):
             fs.delete(staging, True)

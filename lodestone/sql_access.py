@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,22 @@ def rewrite_paths(sql: str) -> str:
     return _LITERAL.sub(lambda m: "'" + slash_path(m[1]) + "'", sql)
 
 
+def _nodes(plan):
+    """The nodes of a parsed plan."""
+    left = [plan]
+    while left:
+        node = left.pop()
+        yield node
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+
+
+def _acts(spark: SparkSession, node) -> bool:
+    """Whether a plan's node does something else than to answer a query, by its class."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    return any(is_instance_of(spark.sparkContext._gateway, node, logical + c) for c in ("Command", "ParsedStatement", "CompoundPlanStatement"))
+
+
 def run_sql(spark: SparkSession, sql: str, limit: int = MOST_ROWS) -> DataFrame:
     """The result of a query, at most ``limit`` rows. What the plan does decides, not the text:
     commands (anything that writes or sets) are refused before they run."""
@@ -26,7 +44,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int = MOST_ROWS) -> DataFrame:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise BadRequest(str(e).splitlines()[0]) from e
-    if re.search(r"Command|InsertInto|CreateTable|CreateView|Drop|Alter|Truncate|Delete|Update|Merge|SetCatalog|Use\b|CacheTable|Refresh", plan.toString().split("\n")[0]):
+    if any(_acts(spark, node) for node in _nodes(plan)):
         raise BadRequest("only queries are allowed")
     return spark.sql(sql).limit(limit)
 

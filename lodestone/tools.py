@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalog import Catalog
-from lodestone.errors import BadArguments
+from lodestone.errors import BadArguments, DataError
 from lodestone.functions import code as C
 from lodestone.functions.paths import russian_path, slash_path
 from lodestone.functions.right_names import with_right_names
@@ -25,10 +25,10 @@ from lodestone.operators import rights as R
 from lodestone.ql import checker
 from lodestone.sql_access import rewrite_paths, run_sql
 
-TARGET = ["target_uuid", "target_object_id", "target_attr_id", "target_tabular_id", "target_subobject_id", "sub_index", "target_flags"]
+TARGET = ["target_uuid", "target_object_id", "target_attr_id", "target_tabular_id", "sub_index", "collection_uuid", "target_flags"]
 TARGET_NO_FLAGS = TARGET[:-1]
 TEXT_LIMIT = 20_000
-MOST_NESTING = 6  # levels of types inside types that are listed
+NESTING, MOST_NESTING = 4, 100  # levels of types inside types: listed without asking whether there are more, and at most
 
 
 class Tools:
@@ -174,12 +174,19 @@ class Tools:
         key = ["base", *TARGET_NO_FLAGS, "right_uuid", "value"]
         return with_right_names(R.role_diff(self._role_rows(db, group, roles_a), self._role_rows(db, group, roles_b), key))
 
+    def lost_rights(self, roles_before: list[str], roles_after: list[str], db=None, group=None) -> DataFrame:
+        """Rights that the roles before give and those after do not, with their whole key, unresolved targets too."""
+        key = ["base", *TARGET_NO_FLAGS, "right_uuid", "value"]
+        lost = R.lost_targets(self._role_rows(db, group, roles_before), self._role_rows(db, group, roles_after), key)
+        names = self._objects(db, group).select("base", F.col("id").alias("target_object_id"), "path")
+        return with_right_names(lost.join(names, ["base", "target_object_id"], "left"))
+
     def role_impact(self, roles_before: list[str], roles_after: list[str], mode: str = "intent", db=None, group=None) -> DataFrame:
-        """Lost targets and what names them: kind (method or query), where and how often.
+        """Objects of which any right is lost (on the object or a part of it) and what names them: kind (method or query), where and how often.
 
         ``intent`` looks for the names that code uses (manager and dotted form) in method
         bodies and queries; ``literal`` for the slash path in module texts."""
-        lost = R.lost_targets(self._role_rows(db, group, roles_before), self._role_rows(db, group, roles_after), ["base", "target_object_id"]).where("target_object_id is not null")
+        lost = self.lost_rights(roles_before, roles_after, db, group).where("target_object_id is not null").select("base", "target_object_id").distinct()
         names = self._objects(db, group).select("base", F.col("id").alias("target_object_id"), "path", "name", "type")
         targets = lost.join(names, ["base", "target_object_id"])
         if mode == "literal":
@@ -302,7 +309,11 @@ class Tools:
         key = lambda prefix, n: F.concat(prefix, F.lpad(n.cast("string"), 8, "0"))
         at = level.select("base", "type_no", F.lit(0).alias("level"), key(F.lit(""), F.col("ord")).alias("sort_key"), F.concat_ws(" ", "kind", "name", "base_ns", "facets", "enum_values").alias("text"))
         out = at
-        for depth in range(1, MOST_NESTING + 1):
+        for depth in range(1, MOST_NESTING + 2):
+            if depth > NESTING and at.isEmpty():
+                break
+            if depth > MOST_NESTING:
+                raise DataError(f"{path}: types inside types without end")
             props = at.select("base", F.col("type_no").alias("type_id"), "sort_key").join(p.select("base", "type_id", "ord", "name", "type", "lower_bound", "upper_bound", "nested_type_id"), ["base", "type_id"])
             out = out.unionByName(props.select("base", F.col("type_id").alias("type_no"), F.lit(depth).alias("level"), key(F.col("sort_key"), F.col("ord")).alias("sort_key"),
                                                F.concat_ws(" ", "name", "type", F.concat(F.lit("["), F.coalesce(F.col("lower_bound").cast("string"), F.lit("")), F.lit(".."), F.coalesce(F.col("upper_bound").cast("string"), F.lit("")), F.lit("]"))).alias("text")))
@@ -324,19 +335,28 @@ class Tools:
         from lodestone.schema import TABLES
 
         alias = self.catalog.scope(db)[0]
-        for name in TABLES:
-            try:
-                self._t(name, alias, None).drop("base").createOrReplaceTempView(name)
-            except Exception:  # noqa: BLE001 - a table that the base lacks is no view
-                continue
-        return run_sql(self.spark, rewrite_paths(query))
+        base = self.catalog.check(alias)
+        views = self.spark._jsparkSession.sessionState().catalog()
+        own = {n: self.spark.table(n) for n in TABLES if views.getTempView(n).isDefined()}  # the user's views of these names come back
+        for name in own:
+            self.spark.catalog.dropTempView(name)
+        try:
+            for name in TABLES:
+                if self.catalog.has(base, name):
+                    self.catalog.read(base, name).createOrReplaceTempView(name)
+            return run_sql(self.spark, rewrite_paths(query))  # names are resolved here, so the views can go
+        finally:
+            for name in TABLES:
+                self.spark.catalog.dropTempView(name)
+            for name, view in own.items():
+                view.createOrReplaceTempView(name)
 
     # comparison
 
     def snapshot(self, path: str | None, db: str) -> DataFrame:
         """path, section, key and fingerprint of an object's parts (of all objects without a path)."""
         o = self._objects(db, None, path)
-        row = lambda df, section, key, *what: df.select("path", F.lit(section).alias("section"), key.alias("key"), F.sha1(F.concat_ws("|", *what)).alias("fp"))
+        row = lambda df, section, key, *what: df.select("path", F.lit(section).alias("section"), key.alias("key"), F.sha1(F.to_json(F.struct(*((F.col(w) if isinstance(w, str) else w).alias(f"p{i}") for i, w in enumerate(what))), {"ignoreNullFields": "false"})).alias("fp"))
         t = lambda name: self._of(self._t(name, db, None), o, "object_id", "path")
         key = lambda name, extra: F.when(F.col(extra).isNull(), F.col(name)).otherwise(F.concat_ws("@", name, extra))
         m = self._methods(db, None).join(o.select(F.col("path").alias("p")), F.col("path") == F.col("p"), "left_semi")

@@ -5,14 +5,16 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.catalog import Catalog
 from lodestone.errors import BadArguments, BadRequest, SchemaMismatch, category
 from lodestone.functions import paths
-from lodestone.operators import graph, paging, rights, sampling, search, tree
+from lodestone.operators import diff, graph, paging, rights, sampling, search, tree
 from lodestone.plans import registry
 from lodestone.schema import TABLES
+from lodestone.sources import links
 from lodestone.sql_access import rewrite_paths, run_sql
 from lodestone.streaming import ingest
 
@@ -146,3 +148,33 @@ def test_streaming(spark, tmp_path):
         (src / "new.bin").write_bytes(b"zz")
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "user int, t string").selectExpr("user", "CAST(t AS TIMESTAMP) AS ts")
     assert sorted(r.n for r in ingest.session_counts(events, "ts", "user").collect()) == [1, 2]
+
+
+def test_hierarchies_of_any_depth(spark):
+    """Chains deeper than what is climbed without asking, long ids and ordinals, and a ring."""
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, i, f"n{i}") for i in range(40)], "id long, parent_id long, ord long, name string")
+    assert [r.node for r in tree.ancestors(nodes, F.col("id") == 39).orderBy("steps").collect()] == list(range(39, -1, -1))
+    assert tree.ancestors(nodes, F.col("id") == 39, most=3).count() == 4
+    wide = spark.createDataFrame([(1, None, 0, "root"), (1234567890123, 1, 5, "a"), (1234567890129, 1, 5, "b"), (7, 1, 123456789, "c"), (8, 1, 12345678, "d")], nodes.schema)
+    assert [r.name for r in tree.subtree(wide, F.col("id") == 1, 1).orderBy("sort_key").collect()] == ["root", "a", "b", "d", "c"]
+
+
+def test_links_take_whole_values_only(spark):
+    u = "0a1b2c3d-0000-1111-2222-333344445555"
+    objects = spark.createDataFrame([(1, f'["{u}", "x {u}", "9{u}"]'), (2, f'["pre-{u}", null]'), (3, None)], "id long, header_json string")
+    assert [(r.id, r.pos, r.uuid) for r in links.header_uuids(objects).collect()] == [(1, 0, u)]
+
+
+def test_ranked_match_prefers_the_same_module(spark):
+    calls = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (2, 1, 6), (3, 9, 5), (4, 1, None), (5, None, 5)], "call long, obj long, module long")
+    methods = spark.createDataFrame([(1, 5, 30), (1, 5, 20), (1, 7, 10), (1, None, None), (2, 5, 1)], "obj long, module long, tie long")
+    got = sorted((r.call, r.found_in or 0, r.found or 0) for r in diff.ranked_match(calls, methods, ["obj"], "module", "tie").collect())
+    assert got == [(1, 5, 20), (2, 7, 10), (2, 7, 10), (3, 0, 0), (4, 7, 10), (5, 0, 0)]
+
+
+def test_bfs_cuts_what_it_saw(spark, tmp_path):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(3, 1)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.depth for r in graph.bfs(edges, start, 6).collect()} == {i: i for i in range(7)}
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert {r.node: r.depth for r in graph.bfs(edges, start, 30).collect()} == {i: i for i in range(13)}

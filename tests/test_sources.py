@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.errors import DataError
 from lodestone.schema import TABLES
@@ -61,15 +62,17 @@ def test_rights(spark):
 
 
 def test_xdto():
-    text = b"""<package xmlns="urn:schema-packages" xmlns:d2p1="urn:base" targetNamespace="urn:t"><import namespace="urn:base"/>
+    text = b"""<package xmlns="urn:schema-packages" xmlns:d2p1="urn:base" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" targetNamespace="urn:t"><import namespace="urn:base"/>
       <objectType name="Item" base="d2p1:Base"><property name="Code" type="d2p1:S" lowerBound="1" form="Attribute"/><property name="Rows" lowerBound="0" upperBound="-1">
-      <typeDef type="ObjectType"><property name="No" type="x"/></typeDef></property></objectType>
+      <typeDef xsi:type="ObjectType"><property name="No" type="x"/></typeDef></property></objectType>
       <valueType name="Kind" base="xs:string" maxLength="20"><pattern>a+</pattern><enumeration>In</enumeration><enumeration>Out</enumeration></valueType><property name="Root" localName="root"/></package>"""
     p = xdto.parse(text)
     assert (p.namespace, p.imports) == ("urn:t", ["urn:base"])
     types, properties = xdto.flatten(p)
     assert [(t[2], t[3], t[5], t[6], t[7]) for t in types] == [("Item", "objectType", "urn:base", None, None), (None, "typeDef", None, "type=ObjectType", None), ("Kind", "valueType", None, "maxLength=20; pattern=a+", "In | Out")]
     assert [(q[1], q[3], q[6], q[7], q[11]) for q in properties] == [(0, "Code", 1, None, None), (0, "Rows", 0, -1, 1), (1, "No", None, None, None), (None, "Root", None, None, None)]
+    facets = xdto.parse(b'<package xmlns:a="urn:a"><objectType name="T" open="true" variety="Atomic" length="" a:z="1" a:b="2"/><property name="P" default="x" base="q" ref="r"/></package>')
+    assert facets.types[0].facets == "variety=Atomic; open=true; b=2; z=1" and facets.properties[0].extra == "base=q; ref=r; default=x"
     assert xdto.parse(b"<html/>") is None and xdto.parse(b"<package><broken></package>") is None
 
 
@@ -97,6 +100,10 @@ def test_dump_and_base(spark, tmp_path):
     sinks.write_base(spark, {"meta_object": meta}, base)
     assert spark.read.parquet(f"{base}/meta_object").count() == 3 and spark.read.parquet(f"{base}/role_right").count() == 0
     assert spark.read.parquet(f"{base}/meta_object").columns == [c.split()[0] for c in TABLES["meta_object"].split(", ")]
+    assert [p.name for p in (tmp_path / "base").parent.iterdir() if p.name.startswith("base.")] == []
+    with pytest.raises(Exception, match="no such column|UNRESOLVED|boom|cannot"):  # a write that fails leaves the old base as it was
+        sinks.write_base(spark, {"meta_object": meta.withColumn("name", F.raise_error(F.lit("boom")).cast("string"))}, base)
+    assert spark.read.parquet(f"{base}/meta_object").count() == 3
     sha = dump.fingerprint_state(spark, str(root / "Catalog/Товар/Catalog.obj.bsl"), None).first()
     assert sha.state == "new" and dump.fingerprint_state(spark, str(root / "Catalog/Товар/Catalog.obj.bsl"), sha.sha256).first().state == "skip"
 
@@ -131,4 +138,6 @@ def test_predefined(spark):
     two = [column(0, [['"#"', U[9]]]), column(3, [['"S"']]), column(5, [['"S"']])]
     assert [(i.name, i.code, i.display) for i in predefined.items(_brace(["0", ["1", *table(two, [row(0, [ref(U[0]), text("а"), text("б")])])]]))] == [("а", "", "б")]
     df = spark.createDataFrame([(1, content), (2, "{1}"), (3, None)], "id long, text string")
+    bad = spark.createDataFrame([(1, "{1,2}"), (2, ""), (3, "no brace file")], "id long, text string")
+    assert {r.id for r in predefined.unreadable(bad, ["id"], "text").collect()} == {1, 2, 3} and predefined.unreadable(df, ["id"], "text").count() == df.count() - predefined.read_items(df, ["id"], "text").select("id").distinct().count()
     assert [r.name for r in predefined.read_items(df, ["id"], "text").collect()] == ["Счета", "Средства", "Орг"]

@@ -3,6 +3,7 @@
 import pytest
 
 from lodestone.catalog import Catalog
+from lodestone.errors import EngineError
 from lodestone.schema import TABLES, empty
 from lodestone.tools import Tools
 
@@ -120,3 +121,64 @@ def test_base_tools(tools):
     tools.db_use("b")
     assert tools.find_field("Новый").count() == 1 and tools.db_list().count() == 2
     tools.db_use("a")
+
+
+def small(spark, **rows):
+    return {n: spark.createDataFrame(rows[n], TABLES[n]) if n in rows else empty(spark, n) for n in TABLES}
+
+
+def test_sql_asks_the_base_it_names(spark):
+    """A table that a base lacks is an error, not another base's table; the user's views stay."""
+    c = Catalog(spark)
+    module = spark.createDataFrame([(1, 1, "obj", None, "")], TABLES["module"])
+    c.open("/nowhere/a", "a", {"module": module})
+    c.open("/nowhere/b", "b", {"method": empty(spark, "method")})
+    spark.range(3).createOrReplaceTempView("module")
+    t = Tools(c)
+    assert t.sql("SELECT count(*) AS n FROM module", "a").first().n == 1
+    with pytest.raises(Exception, match="module|method"):
+        t.sql("SELECT count(*) AS n FROM method", "a").collect()
+    assert spark.table("module").count() == 3 and t.sql("SELECT count(*) AS n FROM method", "b").first().n == 0
+    spark.catalog.dropTempView("module")
+    spark.createDataFrame([(1, "x")], "UpdateDate int, `Drop` string").createOrReplaceTempView("odd_names")
+    assert t.sql("SELECT UpdateDate, `Drop` FROM odd_names", "a").count() == 1
+    for statement in ("DROP VIEW odd_names", "INSERT INTO odd_names VALUES (1, 'x')", "WITH x AS (SELECT 1 AS a, 'b' AS b) INSERT INTO odd_names SELECT * FROM x", "CREATE TABLE z AS SELECT 1", "SET a=b", "CACHE TABLE odd_names", "USE default"):
+        with pytest.raises(EngineError):
+            t.sql(statement, "a")
+
+
+def test_a_base_that_cannot_be_read_is_named(spark, tmp_path):
+    c = Catalog(spark)
+    c.open("/nowhere/a", "a", {"module": empty(spark, "module")})
+    c.open(str(tmp_path / "gone"), "b")
+    with pytest.warns(UserWarning, match="module is incomplete"):
+        assert c.table("module", "*").count() == 0
+    got = {r.base: (r.status, r.message) for r in c.status("*").collect()}
+    assert got["a"][0] == "ok" and got["b"][0] == "error" and got["b"][1].startswith("module")
+    c.bases["b"].tables["module"] = empty(spark, "module")
+    c.table("module", "*")
+    assert {r.status for r in c.status("*").collect()} == {"ok"}
+
+
+def test_targets_differ_by_collection(spark):
+    objects = [(1, 1, None, 0, "", "Configuration", "C", "u0", None, None, None, "[]"), (2, 1, 1, 1, "Role/R", "Role", "R", "u1", None, None, None, "[]"),
+               (3, 1, 1, 2, "Role/S", "Role", "S", "u2", None, None, None, "[]"), (4, 1, 1, 3, "Catalog/X", "Catalog", "X", "u3", None, None, None, "[]")]
+    rights = [(1, 2, "t", 4, None, None, None, 1, "c1", "0/0", "right", "1", None), (2, 2, "t", 4, None, None, None, 1, "c2", "0/0", "right", "1", None),
+              (3, 3, "t", 4, None, None, None, 1, "c1", "0/0", "right", "1", None), (4, 2, "open", None, None, None, None, None, None, "0/0", "right", "1", None)]
+    c = Catalog(spark)
+    c.open("/a", "a", small(spark, meta_object=objects, role_right=rights, method=[(1, 1, 0, "процедура", "M", "", False, "", "", 1, 2, "Справочники.X.Найти()")]))
+    t = Tools(c)
+    assert t.role_rights("R").count() == 3 and t.effective_rights(["R"], "Catalog/X").count() == 2 and t.effective_rights(["R", "S"]).count() == 3
+    assert {(r.collection_uuid, r.side) for r in t.role_diff(["R"], ["S"]).collect()} == {("c1", "common"), ("c2", "only_a"), (None, "only_a")}
+    lost = t.lost_rights(["R"], ["S"]).collect()
+    assert {(r.path, r.collection_uuid) for r in lost} == {("Catalog/X", "c2"), (None, None)}
+    assert [(r.path, r.kind, r.n) for r in t.role_impact(["R"], ["S"]).collect()] == [("Catalog/X", "method", 1)]
+
+
+def test_fingerprints_keep_parts_apart(spark):
+    objects = [(1, 1, None, 0, "M", "CommonModule", "M", "u", None, None, None, "[]")]
+    c = Catalog(spark)
+    for alias, context, body in (("a", "x|y", "z"), ("b", "x", "y|z"), ("c", None, "x|y|z")):
+        c.open(f"/{alias}", alias, small(spark, meta_object=objects, module=[(1, 1, "obj", context, body)]))
+    t = Tools(c)
+    assert len({t.snapshot("M", a).where("section = 'modules'").first().fp for a in "abc"}) == 3
