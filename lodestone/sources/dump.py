@@ -6,6 +6,9 @@ functions, except for reading texts in unknown encodings.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +20,25 @@ TEXT_KINDS = ("bsl", "json", "txt", "html", "xml", "c1brace", "text")
 
 
 def file_map(spark: SparkSession, path: str, with_binary: bool = False) -> DataFrame:
-    """path (relative), dir, kind, size and data (texts always, others on demand)."""
+    """path (relative), dir, kind, size and data (texts always, others on demand); empty files too."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/").removeprefix("file://").rpartition("/")[2]
-    where = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"^.*?/{root}/", "")
-    kind = F.lower(F.regexp_extract(where, r"\.([^./]+)$", 1))
+    where = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"^.*?/{re.escape(root)}/", "")
+    some = raw.select(where.alias("path"), "length", "content")
+    empty = _listed(raw).select(where.alias("path")).join(some.select("path"), "path", "left_anti").collect()  # names only; Spark's listing holds them all
+    if empty:  # an Arrow table is a local relation: one partition, no Python
+        rows = pa.table({"path": pa.array([r.path for r in empty]), "length": pa.array([0] * len(empty), pa.int64()), "content": pa.array([b""] * len(empty), pa.binary())})
+        some = some.unionByName(spark.createDataFrame(rows))
+    every = some
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     data = F.col("content") if with_binary else F.when(kind.isin(*TEXT_KINDS), F.col("content"))
-    return raw.select(where.alias("path"), F.regexp_extract(where, "^(.*)/[^/]*$", 1).alias("dir"), kind.alias("kind"), F.col("length").alias("size"), data.alias("data"))
+    return every.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), kind.alias("kind"), F.col("length").alias("size"), data.alias("data"))
+
+
+def _listed(raw: DataFrame) -> DataFrame:
+    """path of every file that Spark listed for ``raw``; its scans leave empty ones out."""
+    paths = raw.sparkSession._jvm.org.apache.hadoop.util.StringUtils.join("\n", raw._jdf.inputFiles())  # URIs, so without line feeds
+    return raw.sparkSession.createDataFrame([(p,) for p in paths.split("\n") if p], "path string")
 
 
 def objects(files: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ from lodestone.errors import BadRequest
 from lodestone.functions.paths import slash_path
 
 MOST_ROWS, MOST_CHARS = 200, 120
+#: Functions that queries may use beside Spark's own, as SQL: nothing leaves the JVM.
+FUNCTIONS = {"lower_ru": "(x STRING) RETURNS STRING RETURN lower(x)",
+             "body_has": "(body STRING, needle STRING) RETURNS BOOLEAN RETURN coalesce(contains(lower(body), lower(needle)), false)"}
 _LITERAL = re.compile(r"'((?:[^']|'')*)'")
 
 
@@ -37,6 +40,13 @@ def _acts(spark: SparkSession, node) -> bool:
     return any(is_instance_of(spark.sparkContext._gateway, node, logical + c) for c in ("Command", "ParsedStatement", "CompoundPlanStatement"))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """FUNCTIONS for this session; the user's functions of these names stay."""
+    for name, what in FUNCTIONS.items():
+        if not spark.catalog.functionExists(name):
+            spark.sql(f"CREATE TEMPORARY FUNCTION {name}{what}")
+
+
 def run_sql(spark: SparkSession, sql: str, limit: int = MOST_ROWS) -> DataFrame:
     """The result of a query, at most ``limit`` rows. What the plan does decides, not the text:
     commands (anything that writes or sets) are refused before they run."""
@@ -46,6 +56,7 @@ def run_sql(spark: SparkSession, sql: str, limit: int = MOST_ROWS) -> DataFrame:
         raise BadRequest(str(e).splitlines()[0]) from e
     if any(_acts(spark, node) for node in _nodes(plan)):
         raise BadRequest("only queries are allowed")
+    register_functions(spark)
     return spark.sql(sql).limit(limit)
 
 

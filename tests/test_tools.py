@@ -147,6 +147,13 @@ def test_sql_asks_the_base_it_names(spark):
             t.sql(statement, "a")
 
 
+def test_sql_functions(spark):
+    c = Catalog(spark)
+    c.open("/nowhere/a", "a", {"module": spark.createDataFrame([(1, 1, "obj", None, "Перем А;"), (2, 1, "mgr", None, None)], TABLES["module"])})
+    got = Tools(c).sql("SELECT id, lower_ru(body) AS low, body_has(body, 'ПЕРЕМ') AS has FROM module ORDER BY id", "a").collect()
+    assert [(r.id, r.low, r.has) for r in got] == [(1, "перем а;", True), (2, None, False)]
+
+
 def test_a_base_that_cannot_be_read_is_named(spark, tmp_path):
     c = Catalog(spark)
     c.open("/nowhere/a", "a", {"module": empty(spark, "module")})
