@@ -205,6 +205,7 @@ def brute_quality(text):
     out["n_repeat_words"] = len(covered(3, True))
     for n in quality.NGRAM_LIMITS:
         out[f"dup_{n}gram_share"] = sum(len(w[i]) for i in covered(n, False)) / max(out["word_chars"], 1)
+        out[f"dup_{n}gram_words"] = len(covered(n, False))
     return out
 
 
@@ -221,6 +222,17 @@ def test_quality(docs):
     assert kept[909] == (True, False) and kept[903] == (True, False)
 
 
+def test_quality_limits(spark):
+    """One line said twice is no reason to drop a short text; three repeats are, and so are repeated n-grams without lines."""
+    own = [f"word{i}" for i in range(60)]
+    heading, line = "a heading that is said twice in it", " ".join(f"again{i}" for i in range(12))
+    rows = [(1, "\n".join([heading, heading, " ".join(own)]), True), (2, "\n".join([line] * 4 + [" ".join(own[i : i + 15]) for i in range(0, 60, 15)]), False),
+            (3, " ".join([*own, line, "x", line, "y", line, "z", line]), False), (4, " ".join([*own, line, "x", line]), True), (5, " ".join(own), True)]
+    got = {r.doc_id: r for r in quality.with_quality(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and {i: r.kept for i, r in got.items()} == {i: k for i, _, k in rows}
+    assert got[1].dup_line_share > quality.LINE_LIMIT and got[4].dup_10gram_share > quality.NGRAM_LIMITS[10]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
