@@ -5,6 +5,12 @@ effect: toxic documents go, one document of each set of equal texts stays (the l
 doc_id), one of each group of near duplicates stays (the smallest doc_id; five words,
 similarity 0.8 or more), identifiers are redacted, and the last stage gives the packed
 pieces with their token ids.
+
+Edge cases, as the stages' operators define them: null texts are scored as empty ones, kept
+by the first stage and equal to empty texts in the second; texts without five words have no
+near duplicates; an empty text gives one piece with the end id alone; of repeated rows one
+stays; null ids are kept; other columns stay until the last stage; no documents give no
+pieces.
 """
 
 from __future__ import annotations
