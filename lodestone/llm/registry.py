@@ -16,6 +16,9 @@ QUERIES = {
     "op8_line_dedup": ("line_dedup", "OP8_SQL"),
     "op9_secret_scan": ("secrets", None),
     "op10_pii": ("pii", None),
+    "op11_url_filter": ("url_filter", "OP11_SQL"),
+    "op12_importance": ("importance", "OP12_SQL"),
+    "op13_whitening": ("whitening", None),
 }
 
 
