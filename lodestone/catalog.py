@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import BadArguments, EngineError, SchemaMismatch, category
-from lodestone.schema import REVISION, TABLES
+from lodestone.operators import scopes
+from lodestone.schema import DERIVED, REVISION, TABLES
+from lodestone.sources import versions
 
 
 @dataclass
@@ -25,6 +27,9 @@ class Base:
     path: str
     revision: int = REVISION
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    folder: str = ""  # of the version that was the latest (or the asked one) when the base was opened
+    version: int = 0
+    content: str | None = None  # names that version's content
 
 
 class Catalog:
@@ -38,14 +43,19 @@ class Catalog:
 
     # bases
 
-    def open(self, path: str, alias: str | None = None, tables: dict[str, DataFrame] | None = None, revision: int | None = None) -> str:
-        """Registers a base; an alias that is taken gets the suffix _2, _3 ..."""
+    def open(self, path: str, alias: str | None = None, tables: dict[str, DataFrame] | None = None, revision: int | None = None, version: int | None = None) -> str:
+        """Registers a base; an alias that is taken gets the suffix _2, _3 ...
+
+        The latest version (or ``version``) is read from now on, also if others are committed
+        later; its manifest says the schema revision, unless ``revision`` does."""
         stem = alias or PurePosixPath(path.rstrip("/")).stem
         name, n = stem, 1
         while name in self.bases:
             n += 1
             name = f"{stem}_{n}"
-        self.bases[name] = Base(path, REVISION if revision is None else revision, dict(tables or {}))
+        found = versions.Version(0, path, None, None) if tables else versions.resolve(self.spark, path, version)
+        own = next((r for r in (revision, found.revision) if r is not None), REVISION)
+        self.bases[name] = Base(path, own, dict(tables or {}), found.folder, found.number, found.id)
         self.active = self.active or name
         return name
 
@@ -122,6 +132,45 @@ class Catalog:
             return [self.active]
         raise BadArguments("no base is open")
 
+    def fingerprints(self) -> DataFrame:
+        """alias and fingerprint (the source file's SHA-256, null where none is stored) of all open bases."""
+        rows = self.spark.createDataFrame([(a,) for a in self.bases], "alias string")
+        known = self.table("source", "*") if self.bases else None
+        if known is None:
+            return rows.withColumn("fingerprint", F.lit(None).cast("string"))
+        one = known.groupBy(F.col("base").alias("alias")).agg(F.min(F.lower("file_sha256")).alias("fingerprint"))
+        return rows.join(one, "alias", "left")
+
+    def pinned(self, db: str | None = None, scope: list[str] | None = None, expect: dict[str, str] | None = None) -> DataFrame:
+        """alias, state (asked, in_scope, outside or rejected), fingerprint, expected and reason of each open base.
+
+        ``scope`` names the bases beside the asked one in which names are looked up (all open
+        ones without it). ``expect`` pins bases by alias to a fingerprint or its beginning: a
+        base that is another snapshot is rejected, and so is one without a fingerprint; for the
+        asked base that is an error, as the answer would be about another release."""
+        asked = self.scope(db)[0]
+        self._base(asked)
+        low = {a.lower(): a for a in self.bases}
+        pins = {}
+        for alias, prefix in (expect or {}).items():
+            if alias.lower() not in low:
+                raise BadArguments(f"a snapshot is expected of {alias!r}, which is not open")
+            pins[low[alias.lower()]] = str(prefix)
+        for alias in scope or []:
+            if alias.lower() not in low:
+                raise BadArguments(f"no base {alias!r} for the scope")
+        inside = set(self.bases) if scope is None else {low[a.lower()] for a in scope}
+        rows = [(a, a == asked, a in inside, pins.get(a)) for a in self.bases]
+        found = scopes.states(self.spark.createDataFrame(rows, "alias string, asked boolean, inside boolean, expected string"), self.fingerprints())
+        bad = found.where("asked and reason is not null").first()
+        if bad:
+            raise BadArguments(f"{asked}: {bad.reason}")
+        return found.drop("asked", "inside")
+
+    def by_fingerprint(self, pins: DataFrame) -> DataFrame:
+        """``pins`` (pin, prefix) with n_bases, base and state: see `scopes.resolve_pins`."""
+        return scopes.resolve_pins(pins, self.fingerprints())
+
     def check(self, alias: str) -> Base:
         base = self._base(alias)
         if base.revision != REVISION:
@@ -132,14 +181,15 @@ class Catalog:
         """Whether the base holds the table."""
         if name in base.tables:
             return True
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.path}/{name}")
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.folder or base.path}/{name}")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, base: Base, name: str) -> DataFrame:
         if name in base.tables:
             return base.tables[name]
-        reader = self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read
-        return reader.parquet(f"{base.path}/{name}")
+        known = TABLES | DERIVED
+        reader = self.spark.read.schema(known[name]) if name in known else self.spark.read
+        return reader.parquet(f"{base.folder or base.path}/{name}")
 
     def table(self, name: str, db=None, group: str | None = None) -> DataFrame:
         """A table over all sound bases of the scope, with the column ``base`` in front (a

@@ -272,6 +272,29 @@ def metadata_uses(text: str) -> list[tuple[int, str, str]]:
             if x.kind == "name" and x.low in MANAGERS and code[i + 1].text == "." and code[i + 2].kind == "name" and (not i or code[i - 1].text != ".")]
 
 
+def uses(text: str, params: list[str] = (), own: str | None = None) -> list[tuple[str, int, str | None, str]]:
+    """(kind, line, left, name) of what a method's code names beyond itself, each once, by first line.
+
+    Kinds: call (Left.Name, where Left is no variable, manager or platform object), plain
+    (Name), dynamic (a name in a literal that is evaluated) and metadata (left: the type)."""
+    known = local_names(text, list(params)) | ({own.lower()} if own else set())
+    found = []
+    for c in calls(text):
+        left = (c.left or "").lower()
+        if c.form == "string":
+            found.append(("dynamic", c.line, c.left, c.name))
+        elif c.form == "plain" and c.name.lower() not in known:
+            found.append(("plain", c.line, None, c.name))
+        elif c.form == "dotted" and not left.startswith(".") and left not in known and left not in MANAGERS and left not in GLOBALS:
+            found.append(("call", c.line, c.left, c.name))
+    managers = {kind: manager for manager, kind in MANAGERS.items()}
+    found += [("metadata", line, kind, name) for line, kind, name in metadata_uses(text) if managers[kind] not in known]
+    first: dict[tuple, tuple] = {}
+    for row in sorted(found, key=lambda r: r[1]):
+        first.setdefault((row[0], (row[2] or "").lower(), row[3].lower()), row)
+    return list(first.values())
+
+
 # queries in literals
 
 QUERY_HEAD, QUERY_SOURCE = re.compile(r"\s*(?:выбрать|выразить|select)\b", re.I), re.compile(r"\b(?:из|from)\b", re.I)

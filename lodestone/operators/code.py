@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -51,6 +52,16 @@ def call_facts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return expand(texts, keys, text, "line int, form string, left string, name string, conditions array<string>", lambda t: ((c.line, c.form, c.left, c.name, list(c.conditions)) for c in C.calls(t)))
 
 
+def uses(methods: DataFrame, keys: list[str]) -> DataFrame:
+    """What methods (name, signature, body) name beyond themselves: keys, kind, line, left and name."""
+    def rows(both):
+        m = json.loads(both)
+        return C.uses(m.get("body") or "", [n for n, _, _ in C.parameters(m.get("signature") or "")], m.get("name"))
+
+    packed = methods.select(*keys, F.to_json(F.struct("name", "signature", "body")).alias("__method"))
+    return expand(packed, keys, "__method", "kind string, line int, left string, name string", rows)
+
+
 def metadata_facts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return expand(texts, keys, text, "line int, type string, name string", C.metadata_uses)
 

@@ -33,6 +33,12 @@ TABLES = {
     "query_violation": "object_id long, path string, line int, col int, line_end int, col_end int, message string",
 }
 
+#: Tables that are derived from the others when a base is written; a base can lack them.
+DERIVED = {
+    "call_site": "module_id long, digest string, object_id long, code_name string, method string, line int, form string, left string, name string, conditions array<string>",
+    "call_edge": "kind string, src string, dst string, path string, code_name string, method string, line int, left string, name string, form string, conditions array<string>, module_id long",
+}
+
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])

@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.numbering import number
 from lodestone.operators.tree import nearest_parent
 from lodestone.sources.brace import to_text
 
@@ -49,7 +50,7 @@ def objects(files: DataFrame) -> DataFrame:
     found = names.groupBy("dir", "type").agg(F.count_if(F.col("mark") != "").alias("ids"), F.count_if(F.col("mark") == "").alias("heads")).where("ids > 0 and heads > 0")
     one = found.groupBy("dir").agg(F.min("type").alias("type")).withColumnRenamed("dir", "path")
     numbered = one.withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))
-    with_id = numbered.withColumn("id", F.row_number().over(Window.orderBy("depth", "path")).cast("long"))
+    with_id = number(numbered, ["depth", "path"], "id")
     return with_id.join(nearest_parent(with_id), "id", "left").select("id", "parent_id", "path", "type", "depth", F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
 
 

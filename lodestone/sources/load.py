@@ -21,7 +21,7 @@ from lodestone.functions.paths import RUSSIAN
 from lodestone.operators import code as K
 from lodestone.sources import dump, links, metadata, predefined, rights_file, xdto
 from lodestone.sources.brace import to_text
-from lodestone.sources.sinks import write_base
+from lodestone.sources.sinks import commit_base, write_base
 
 #: Names of files in an object's folder.
 PREDEFINED_FILE, RIGHTS_FILE = "Предустановленные данные.bin", "Role.0.c1brace"
@@ -120,7 +120,7 @@ def _predefined(objects: DataFrame, binaries: DataFrame) -> tuple[DataFrame, Dat
     kinds = K.expand(own, ["object_id"], "both", "item int, ord int, uuid string, flags string", lambda t: ((i.ord, n, u, f) for i in items(t) for n, (u, f) in enumerate(i.kinds)))
     by_uuid = rows.where("uuid is not null").groupBy("uuid").agg(F.max("id").alias("kind_id"))
     kinds = kinds.withColumn("predefined_id", _under("object_id", "item")).join(by_uuid, "uuid", "left")
-    return rows, kinds.withColumn("id", F.col("predefined_id") * 64 + F.col("ord"))
+    return rows, kinds.withColumn("id", _under("predefined_id", "ord"))
 
 
 def _rights(objects: DataFrame, binaries: DataFrame, attributes: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,7 +160,7 @@ def load_dump(spark: SparkSession, path: str, keep_binary: bool = False) -> dict
     attributes = derived.where("part = 'attribute'").withColumn("id", _under("object_id", "ord"))
     sections = derived.where("part = 'section'").withColumn("id", _under("object_id", "ord"))
     refs = attributes.select(F.col("id").alias("attribute_id"), F.posexplode("links").alias("ord", "link")).select("attribute_id", "ord", "link.uuid", "link.path")
-    refs = refs.join(objects.select("path", F.col("id").alias("object_id")), "path", "left").withColumn("id", F.col("attribute_id") * 256 + F.col("ord"))
+    refs = refs.join(objects.select("path", F.col("id").alias("object_id")), "path", "left").withColumn("id", _under("attribute_id", "ord"))
     owned = files.join(objects.select(F.col("path").alias("dir"), F.col("id").alias("object_id"), "type"), "dir", "left")
     binaries = owned.where("object_id is not null")
     module, method = _code(objects, files)
@@ -184,6 +184,6 @@ def load_dump(spark: SparkSession, path: str, keep_binary: bool = False) -> dict
     }
 
 
-def import_dump(spark: SparkSession, path: str, base_path: str, keep_binary: bool = False) -> None:
-    """The dump in folder ``path`` as a base at ``base_path``."""
-    write_base(spark, load_dump(spark, path, keep_binary), base_path)
+def import_dump(spark: SparkSession, path: str, base_path: str, keep_binary: bool = False, versioned: bool = False) -> None:
+    """The dump in folder ``path`` as a base at ``base_path``: in place of what is there, or as its latest version."""
+    (commit_base if versioned else write_base)(spark, load_dump(spark, path, keep_binary), base_path)

@@ -17,17 +17,23 @@ from lodestone.errors import BadArguments, DataError
 from lodestone.functions import code as C
 from lodestone.functions.paths import russian_path, slash_path
 from lodestone.functions.right_names import with_right_names
+from lodestone.lineage import cut
+from lodestone.operators import align as A
 from lodestone.operators import code as K
 from lodestone.operators import diff as D
 from lodestone.operators import graph as G
-from lodestone.operators import paging, search, tree
+from lodestone.operators import needles, paging, scopes, search, tree
 from lodestone.operators import rights as R
 from lodestone.ql import checker
+from lodestone.sources import edges as call_edges
+from lodestone.sources import gram_index, metadata
 from lodestone.sql_access import rewrite_paths, run_sql
 
 TARGET = ["target_uuid", "target_object_id", "target_attr_id", "target_tabular_id", "sub_index", "collection_uuid", "target_flags"]
 TARGET_NO_FLAGS = TARGET[:-1]
 TEXT_LIMIT = 20_000
+EXTERNAL = r"Ссылка: ([^/|.()]+?)(?= \(|\s*\||\s*\)|\s*$)"  # names of references that are no path
+ACCESS_CHECK = "ПравоДоступа"  # fixed value: the platform's function that asks for a right
 NESTING, MOST_NESTING = 4, 100  # levels of types inside types: listed without asking whether there are more, and at most
 
 
@@ -175,39 +181,88 @@ class Tools:
         return with_right_names(R.role_diff(self._role_rows(db, group, roles_a), self._role_rows(db, group, roles_b), key))
 
     def lost_rights(self, roles_before: list[str], roles_after: list[str], db=None, group=None) -> DataFrame:
-        """Rights that the roles before give and those after do not, with their whole key, unresolved targets too."""
+        """Rights that the roles before give and those after do not (none: all of them), with their whole key, unresolved targets too."""
         key = ["base", *TARGET_NO_FLAGS, "right_uuid", "value"]
         lost = R.lost_targets(self._role_rows(db, group, roles_before), self._role_rows(db, group, roles_after), key)
         names = self._objects(db, group).select("base", F.col("id").alias("target_object_id"), "path")
         return with_right_names(lost.join(names, ["base", "target_object_id"], "left"))
 
-    def role_impact(self, roles_before: list[str], roles_after: list[str], mode: str = "intent", db=None, group=None) -> DataFrame:
-        """Objects of which any right is lost (on the object or a part of it) and what names them: kind (method or query), where and how often.
-
-        ``intent`` looks for the names that code uses (manager and dotted form) in method
-        bodies and queries; ``literal`` for the slash path in module texts."""
-        lost = self.lost_rights(roles_before, roles_after, db, group).where("target_object_id is not null").select("base", "target_object_id").distinct()
-        names = self._objects(db, group).select("base", F.col("id").alias("target_object_id"), "path", "name", "type")
-        targets = lost.join(names, ["base", "target_object_id"])
+    def _impact_hits(self, roles_before, roles_after, path, mode, alias) -> DataFrame:
+        """base, path, needle, kind and where_id: texts of one base that name an object of which a right is lost."""
+        lost = self.lost_rights(roles_before, roles_after, alias).where("target_object_id is not null").select("base", "target_object_id").distinct()
+        objects = self._objects(alias, None, path).select("base", F.col("id").alias("target_object_id"), "path", "name", "type")
+        targets = lost.join(objects, ["base", "target_object_id"])
         if mode == "literal":
-            texts = self._t("module", db, group).select("base", F.lit("module").alias("kind"), F.col("id").alias("where_id"), F.col("body").alias("text"))
-            needles = targets.select("base", "path", F.col("path").alias("needle"))
+            texts = self._t("module", alias, None).select(F.lit("module").alias("kind"), F.col("id").alias("where_id"), F.col("body").alias("text"))
+            named = targets.select("base", "path", F.col("path").alias("needle"))
         else:
-            texts = self._t("method", db, group).select("base", F.lit("method").alias("kind"), F.col("id").alias("where_id"), F.col("body").alias("text")).unionByName(
-                self._t("skd_query", db, group).select("base", F.lit("query").alias("kind"), F.col("id").alias("where_id"), F.col("query").alias("text")))
+            texts = self._t("method", alias, None).select(F.lit("method").alias("kind"), F.col("id").alias("where_id"), F.col("body").alias("text")).unionByName(
+                self._t("skd_query", alias, None).select(F.lit("query").alias("kind"), F.col("id").alias("where_id"), F.col("query").alias("text")))
             manager = F.create_map(*(F.lit(x) for k, v in C.MANAGERS.items() for x in (v, k)))
             forms = F.array_compact(F.array(russian_path(F.col("path")), F.concat(manager[F.col("type")], F.lit("."), F.col("name"))))
-            needles = targets.select("base", "path", F.explode(forms).alias("needle"))
-        hit = (needles["base"] == texts["base"]) & search.body_has(F.col("text"), F.col("needle"))
-        return needles.join(texts, hit).groupBy(needles["base"], "path", "kind").agg(F.count_distinct("where_id").alias("n"), F.min("where_id").alias("first_id"))
+            named = targets.select("base", "path", F.explode(forms).alias("needle"))
+        found = needles.hits(named, "needle", texts, ["kind", "where_id"], "text")
+        checks = found.where("kind <> 'query'").join(texts.where(search.body_has(F.col("text"), F.lit(ACCESS_CHECK))).select("kind", "where_id"), ["kind", "where_id"], "left_semi")
+        found = found.unionByName(checks.withColumn("kind", F.lit("check")))
+        return needles.first_lines(found.withColumn("source", F.when(F.col("kind") == "query", "query").otherwise(F.lit("module" if mode == "literal" else "method"))),
+                                   texts.withColumnRenamed("kind", "source"), ["source", "where_id"], "text", "needle")
+
+    def role_impact(self, roles_before: str | list[str], roles_after: list[str] = (), path: str | None = None, mode: str = "intent", db=None, group=None) -> DataFrame:
+        """Objects of which any right is lost (on the object or a part of it) and what names them: kind (method, query, or check: a
+        method that also asks for access rights), how many and the first.
+
+        With one role and nothing after it, everything that it gives is lost. ``intent`` looks
+        for the names that code uses (manager and dotted form) in method bodies and queries;
+        ``literal`` for the slash path in module texts."""
+        parts = [self._impact_hits(roles_before, roles_after, path, mode, a) for a in self.catalog.scope(db, group)]
+        return reduce(DataFrame.unionByName, parts).groupBy("base", "path", "kind").agg(F.count_distinct("where_id").alias("n"), F.min("where_id").alias("first_id"))
+
+    def role_impact_places(self, roles_before: str | list[str], roles_after: list[str] = (), path: str | None = None, most: int = 20, db=None, group=None) -> DataFrame:
+        """The places behind `role_impact`: base, path, kind, place, method and line in its module; at most ``most`` of each object and kind, with ``n``, their number."""
+        parts = []
+        for alias in self.catalog.scope(db, group):
+            found = self._impact_hits(roles_before, roles_after, path, "intent", alias).groupBy("base", "path", "kind", "where_id").agg(F.min("line").alias("line"))
+            m = self._methods(alias, None).select(F.col("id").alias("where_id"), F.lit(False).alias("q"), F.col("path").alias("place"), F.col("name").alias("method"), F.coalesce("line_start", F.lit(1)).alias("first"))
+            q = self._of(self._t("skd_query", alias, None), self._objects(alias, None), "object_id", "path").select(
+                F.col("id").alias("where_id"), F.lit(True).alias("q"), F.col("path").alias("place"), F.lit(None).cast("string").alias("method"), F.lit(1).alias("first"))
+            parts.append(found.withColumn("q", F.col("kind") == "query").join(m.unionByName(q), ["where_id", "q"]).select("base", "path", "kind", "place", "method", (F.col("first") + F.col("line") - 1).alias("line"), "where_id"))
+        return needles.top_per(reduce(DataFrame.unionByName, parts), ["base", "path", "kind"], ["place", "line", "where_id"], most).drop("where_id")
 
     # code
 
-    def _methods(self, db, group) -> DataFrame:
+    def _methods(self, db, group, method: DataFrame | None = None) -> DataFrame:
         m = self._t("module", db, group).select("base", F.col("id").alias("module_id"), "object_id", "code_name")
-        both = self._t("method", db, group).join(m, ["base", "module_id"])
+        both = (self._t("method", db, group) if method is None else method).join(m, ["base", "module_id"])
         return self._of(both, self._objects(db, group), "object_id", "path")
 
+    def _index(self, alias: str) -> tuple[dict | None, str]:
+        """(manifest of the base's n-gram index, why there is none)."""
+        base = self.catalog.check(alias)
+        if "method" in base.tables:
+            return None, "the base is not stored"
+        try:
+            return gram_index.manifest(self.spark, base.path, content=base.content), ""
+        except gram_index.StaleIndex as e:
+            return None, str(e)
+
+    def index_status(self, db=None, group=None) -> DataFrame:
+        """base, indexed and reason: whether searches of texts read the stored n-gram index."""
+        rows = [(a, self._index(a)) for a in self.catalog.scope(db, group)]
+        return self.spark.createDataFrame([(a, m is not None, why or None) for a, (m, why) in rows], "base string, indexed boolean, reason string")
+
+    def _methods_with(self, text: str, db, group) -> DataFrame:
+        """Methods whose body has ``text``: through a base's index where one is valid, by a scan elsewhere."""
+        parts, scanned = [], []
+        for alias in self.catalog.scope(db, group):
+            found = self._index(alias)[0] if len(text) >= gram_index.N else None
+            ids = gram_index.candidate_ids(self.spark, self.catalog.check(alias).path, text, found) if found else None
+            if ids is None:
+                scanned.append(alias)
+            else:
+                parts.append(self._t("method", alias, None).join(ids, "id", "left_semi"))
+        parts += [self._t("method", scanned, None)] if scanned else []
+        return self._methods(db, group, reduce(DataFrame.unionByName, parts).where(search.body_has(F.col("body"), F.lit(text))))
+
     def module_outline(self, path: str, code_name: str | None = None, db=None, group=None) -> DataFrame:
         m = self._of(self._t("module", db, group), self._objects(db, group, path), "object_id", "path")
         return (m if code_name is None else m.where(F.lower("code_name") == code_name.lower())).select("base", "path", "code_name", "context", "body")
@@ -222,32 +277,129 @@ class Tools:
         return found.withColumn("line_no", F.col("line_no") + F.col("line_start") - 1).withColumn("hit_line", F.col("hit_line") + F.col("line_start") - 1).drop("line_start")
 
     def find_methods(self, mask: str = "", text: str | None = None, path: str | None = None, limit=None, offset=0, db=None, group=None) -> DataFrame:
-        m = self._methods(db, group).where(search.mask(["name", "signature", "description"], mask))
-        m = m if text is None else m.where(search.body_has(F.col("body"), F.lit(text)))
+        m = self._methods(db, group) if text is None else self._methods_with(text, db, group)
+        m = m.where(search.mask(["name", "signature", "description"], mask))
         m = m if path is None else m.where(F.lower("path") == slash_path(path).lower())
         return paging.page(m.select("base", "path", "code_name", "kind", "name", "signature", "is_export", "line_start", "id"), ["base", "id"], limit, offset)
 
     def method_hits(self, text: str, db=None, group=None) -> DataFrame:
         """The first lines with ``text`` of every method that has it."""
-        return search.body_hits(self._methods(db, group), "body", ["base", "path", "code_name", "name"], text)
-
-    def method_dependencies(self, path: str, name: str, code_name=None, db=None, group=None) -> DataFrame:
-        """kind, line, target and state of what a method uses: modules' methods, metadata, queries."""
-        m = self.get_method(path, name, code_name, db, group).select("base", "path", "name", "body")
-        keys = ["base", "path", F.col("name").alias("caller"), "body"]
-        m = m.select(*keys)
-        calls = K.call_facts(m, ["base", "path", "caller"], "body")
-        common = self._objects(db, group).where("type = 'CommonModule'")
-        methods = self._methods(db, group)
-        exported = self._of(methods, common.withColumnRenamed("name", "module"), "object_id", "module").select("module", "name", "is_export")
-        modules = K.dependency_state(calls, common.select(F.col("name").alias("module")), exported).select("base", F.lit("call").alias("kind"), "line", F.concat_ws(".", "left", "name").alias("target"), "state")
-        known = self._objects(db, group).select("base", "type", F.lower("name").alias("low"), "path")
-        meta = K.metadata_facts(m, ["base", "path", "caller"], "body").select("base", "line", "type", "name", F.lower("name").alias("low"))
-        meta = meta.join(known.select("base", "type", "low", F.col("path").alias("found")), ["base", "type", "low"], "left").select(
-            "base", F.lit("metadata").alias("kind"), "line", F.concat_ws("/", "type", "name").alias("target"), F.when(F.col("found").isNull(), "missing").otherwise("ok").alias("state"))
-        context = checker.Context.from_catalog(self.catalog, self.catalog.scope(db, group)[0])
-        bad = K.query_violations(m, ["base", "path", "caller"], "body", context).select("base", F.lit("query").alias("kind"), (F.col("line") + 1).alias("line"), F.col("message").alias("target"), F.lit("error").alias("state"))
-        return modules.unionByName(meta).unionByName(bad)
+        return search.body_hits(self._methods_with(text, db, group), "body", ["base", "path", "code_name", "name"], text)
+
+    def method_dependencies(self, path: str, name: str, code_name=None, scope: list[str] | None = None, expect: dict[str, str] | None = None,
+                            callers: bool = False, depth: int = 1, diff_db: str | None = None, db=None, group=None) -> DataFrame:
+        """What a method uses: base, kind, line in the module, target, state, place and detail.
+
+        Names are looked up in the method's base, then in those of ``scope`` (see
+        `Catalog.pinned`, also for ``expect``); ``place`` is the base that has the name. Kinds
+        and states:
+
+        * call (of a common module): ok, not_export, missing_method; ambiguous (several bases
+          of the scope have the module), outside (only bases beyond it), unknown (none);
+        * metadata: ok, ambiguous, outside, missing;
+        * plain (no module before it): own, global;
+        * dynamic (a name in an evaluated literal): ok, not_export, missing_method, missing, unknown;
+        * query: error (the detail says which), partial (put together at run time, not checked);
+        * context: a call from client code to a module that runs on the server only;
+        * caller and callee, with ``callers`` or a ``depth`` above 1 (at most 3): the edges of
+          `callers` and `callees`, with the verdict against ``diff_db`` if one is given.
+
+        Several bases are answered each for itself, with its own names and query context."""
+        if not 1 <= depth <= 3:
+            raise BadArguments("depth is 1 to 3")
+        return reduce(DataFrame.unionByName, [self._dependencies(path, name, code_name, scope, expect, callers, depth, diff_db, a) for a in self.catalog.scope(db, group)])
+
+    def _dependencies(self, path, name, code_name, scope, expect, callers, depth, diff_db, alias) -> DataFrame:
+        bases = self.catalog.pinned(alias, scope, expect).select("alias", "state")
+        m = self.get_method(path, name, code_name, alias, None).withColumn("first", F.coalesce("line_start", F.lit(1)))
+        uses = K.uses(m, ["object_id", "first"]).withColumn("line", F.col("first") + F.col("line") - 1)
+        uses = cut(uses.withColumn("l", F.lower("left")).withColumn("n", F.lower("name")))  # parsed once, read by each kind
+        target = F.concat_ws(".", "left", "name")
+        row = lambda df, kind, target, state, place=None, detail=None: df.select(
+            F.lit(alias).alias("base"), F.lit(kind).alias("kind"), "line", target.alias("target"), state.alias("state"),
+            *((F.lit(None).cast("string") if c is None else c).alias(n) for n, c in (("place", place), ("detail", detail))))
+
+        everywhere = self._objects("*", None)
+        common = everywhere.where("type = 'CommonModule'").select("base", "path", F.col("id").alias("object_id"), F.lower("name").alias("l"))
+        own = self._t("method", "*", None).join(self._t("module", "*", None).select("base", F.col("id").alias("module_id"), "object_id"), ["base", "module_id"])
+        exported = own.groupBy("base", "object_id", F.lower("name").alias("n")).agg(F.bool_or("is_export").alias("is_export"))
+        dotted = uses.where("kind in ('call', 'dynamic') and l is not null").select("l", "n").distinct()
+        fate = F.when(F.col("is_export").isNull(), "missing_method").when(~F.col("is_export"), "not_export").otherwise("ok")
+        in_modules = dotted.join(common, "l").join(exported, ["base", "object_id", "n"], "left").select("l", "n", "base", fate.alias("detail"))
+        known = cut(scopes.by_scope(in_modules, ["l", "n"], bases))
+        calls = uses.where("kind = 'call'").join(known, ["l", "n"], "left")
+        where = F.col("where")
+        state = F.when(where.isNull(), "unknown").when(where.isin("ambiguous", "outside"), where).otherwise(F.col("detail"))
+        kinds = F.create_map(*(F.lit(x) for pair in C.MANAGERS.items() for x in pair))
+        managed = uses.where("kind = 'metadata' or kind = 'dynamic'").withColumn("type", F.when(F.col("kind") == "metadata", F.col("left")).otherwise(kinds[F.col("l")])).where("type is not null")
+        objects = everywhere.select("base", "type", F.lower("name").alias("n"), F.col("path").alias("detail"))
+        found = scopes.by_scope(managed.select("type", "n").distinct().join(objects, ["type", "n"]), ["type", "n"], bases)
+        of_type = managed.join(found, ["type", "n"], "left")
+        meta_state = F.when(where.isNull(), "missing").when(where.isin("ambiguous", "outside"), where).otherwise("ok")
+        names = exported.where(F.col("base") == alias).select("object_id", "n", F.lit(True).alias("own"))
+        plain = uses.where("kind = 'plain'").join(names, ["object_id", "n"], "left")
+        dynamic = uses.where("kind = 'dynamic'")
+        by_module = dynamic.where(F.col("l").isNotNull() & kinds[F.col("l")].isNull()).join(known.where("where = 'here'"), ["l", "n"], "left")
+        modules = common.where(F.col("base") == alias).select(F.col("l").alias("n"), "path").distinct()
+        alone = dynamic.where("l is null").join(modules, "n", "left").join(names, ["object_id", "n"], "left")
+        parts = [
+            row(calls, "call", target, state, F.col("base"), F.col("detail")),
+            row(of_type.where("kind = 'metadata'"), "metadata", F.concat_ws("/", "type", "name"), meta_state, F.col("base"), F.col("detail")),
+            row(plain, "plain", F.col("name"), F.when(F.col("own"), "own").otherwise("global")),
+            row(by_module, "dynamic", target, F.coalesce("detail", F.lit("unknown")), F.col("base")),
+            row(of_type.where("kind = 'dynamic'"), "dynamic", target, F.when(where == "here", "ok").otherwise("missing"), F.when(where == "here", F.col("base")), F.when(where == "here", F.col("detail"))),
+            row(alone, "dynamic", F.col("name"), F.when(F.col("path").isNotNull() | F.col("own"), "ok").otherwise("unknown"), None, F.col("path")),
+        ]
+        context = checker.Context.from_catalog(self.catalog, alias)
+        wrong = K.query_violations(m, ["first"], "body", context).withColumn("line", F.col("first") + F.col("line"))
+        parts.append(row(wrong, "query", F.col("message"), F.lit("error")))
+        loose = K.query_rows(m, ["first"], "body").where("not complete").withColumn("line", F.col("first") + F.col("line") - 1)
+        parts.append(row(loose, "query", F.left("query", F.lit(150)), F.lit("partial")))
+        warned = self.context_warnings(path, name, code_name, alias).join(m.select("first").limit(1), how="cross")
+        parts.append(row(warned.withColumn("line", F.col("first") + F.col("line") - 1), "context", F.col("target"), F.lit("server_only"), None, F.col("context")))
+        for wanted, kind, edges in ((callers, "caller", self.callers), (depth > 1, "callee", self.callees)):
+            if wanted:
+                e = edges(path, name, depth, diff_db, alias)
+                end = F.concat_ws("/", "path", "method") if kind == "caller" else F.col("dst")
+                parts.append(row(e, kind, end, F.col("kind"), F.col("path"), F.concat_ws("; ", F.concat(F.lit("depth "), "depth"), F.concat_ws(", ", "conditions"), "verdict")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _edges_of_code(self, alias: str) -> DataFrame:
+        """The base's typed call edges: the stored table, or (for bases without it) from the texts."""
+        base = self.catalog.check(alias)
+        if self.catalog.has(base, "call_edge"):
+            return self.catalog.read(base, "call_edge")
+        t = lambda name: self._t(name, alias, None).drop("base")
+        events = metadata.event_index(t("meta_object")).where("handler is not null and method is not null")
+        events = events.select(F.col("subscription").alias("path"), F.col("handler").alias("handler_path"), "method").distinct()
+        return call_edges.resolve(call_edges.parse(t("method"), t("module")), t("meta_object"), t("method"), t("module"), events)
+
+    def _with_verdict(self, edges: DataFrame, alias: str, diff_db: str | None) -> DataFrame:
+        """``edges`` with how the method that an edge leaves differs in another base: unchanged, changed or missing."""
+        if diff_db is None:
+            return edges.withColumn("verdict", F.lit(None).cast("string"))
+        one = lambda db, tag: self._methods(db, None).groupBy("path", F.lower("name").alias("low")).agg(F.min(F.sha1("body")).alias(tag))
+        both = edges.withColumn("low", F.lower("method")).join(one(alias, "a"), ["path", "low"], "left").join(one(diff_db, "b"), ["path", "low"], "left")
+        verdict = F.when(F.col("method").isNull(), F.lit(None)).when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "unchanged").otherwise("changed")
+        return both.withColumn("verdict", verdict).drop("low", "a", "b")
+
+    def callers(self, path: str, name: str, depth: int = 1, diff_db: str | None = None, db: str | None = None) -> DataFrame:
+        """Edges that lead to a method within ``depth`` (1 to 3) steps: depth, kind, path, code_name, method, line, form, left, conditions, src, dst and verdict.
+
+        Of kinds code, unconfirmed, string, intercept and event only code edges are followed.
+        Where the base's edges are stored, no body is read."""
+        return self._graph(call_edges.callers, path, name, depth, diff_db, db)
+
+    def callees(self, path: str, name: str, depth: int = 2, diff_db: str | None = None, db: str | None = None) -> DataFrame:
+        """Edges that leave a method within ``depth`` steps, as `callers` gives them."""
+        return self._graph(call_edges.callees, path, name, depth, diff_db, db)
+
+    def _graph(self, walk, path, name, depth, diff_db, db) -> DataFrame:
+        if not 1 <= depth <= 3:
+            raise BadArguments("depth is 1 to 3")
+        alias = self.catalog.scope(db)[0]
+        found = walk(self._edges_of_code(alias), slash_path(path), name, depth)
+        return self._with_verdict(found, alias, diff_db).select(F.lit(alias).alias("base"), "depth", "kind", "path", "code_name", "method", "line", "form", "left", "conditions", "src", "dst", "verdict")
 
     def context_warnings(self, path: str, name: str, code_name=None, db=None, group=None) -> DataFrame:
         """Calls from client code to common modules that run on the server only: line and target."""
@@ -265,17 +417,11 @@ class Tools:
         return both.where(has(F.col("context"), "сервер") & ~has(F.col("context"), "клиент")).select("base", "caller", "line", F.concat_ws(".", "left", "name").alias("target"), "context")
 
     def call_graph(self, path: str, name: str, depth: int = 2, callers: bool = False, db: str | None = None) -> DataFrame:
-        """Methods within ``depth`` calls (or callers), as module.name keys in lower case."""
+        """Methods within ``depth`` calls (or callers), as path/name keys in lower case, with the least number of steps."""
         alias = self.catalog.scope(db)[0]
-        m = self._methods(alias, None).select("path", F.col("name").alias("caller"), "body")
-        module = lambda p: F.lower(F.element_at(F.split(p, "/"), -1))
-        facts = K.call_facts(m, ["path", "caller"], "body")
-        own = facts.where("form <> 'dotted'").select(F.concat_ws(".", module(F.col("path")), F.lower("caller")).alias("src"), F.concat_ws(".", module(F.col("path")), F.lower("name")).alias("dst"))
-        other = facts.where("form = 'dotted'").select(F.concat_ws(".", module(F.col("path")), F.lower("caller")).alias("src"), F.concat_ws(".", F.lower("left"), F.lower("name")).alias("dst"))
-        known = m.select(F.concat_ws(".", module(F.col("path")), F.lower("caller")).alias("dst")).distinct()
-        edges = own.unionByName(other).join(known, "dst", "left_semi")
-        start = self.spark.createDataFrame([(f"{slash_path(path).rpartition('/')[2].lower()}.{name.lower()}",)], "node string")
-        return G.bfs(edges, start, min(depth, 3), *(("dst", "src") if callers else ("src", "dst")))
+        edges = self._edges_of_code(alias).where("kind = 'code'").select("src", "dst")
+        start = self.spark.range(1).select(F.lit(f"{slash_path(path)}/{name}".lower()).alias("node"))
+        return G.bfs(edges, start, depth, *(("dst", "src") if callers else ("src", "dst")))
 
     def method_result_schema(self, path: str, name: str, code_name=None, db=None, group=None) -> DataFrame:
         return K.schema_rows(self.get_method(path, name, code_name, db, group).withColumnRenamed("name", "method").withColumnRenamed("kind", "method_kind"), ["base", "path", "method"], "body")
@@ -385,21 +531,85 @@ class Tools:
         both = [C.Method(r[0].ord or 0, r[0].kind, r[0].name, r[0].signature or "", r[0].is_export, r[0].directives or "", r[0].description or "", r[0].line_start or 1, r[0].line_end or 1, r[0].body) for r in rows]
         return C.compare_methods(*both, context=context)
 
-    def extension_diff(self, extension_db: str, base_db: str, base_db_new: str | None = None) -> DataFrame:
-        """kind, path, key and state: new and borrowed objects, added attributes, interceptions
-        and what became of their targets in the new release."""
+    def _interceptions(self, extension_db: str, *bases: str) -> DataFrame:
+        """Interceptions with the digest of their target in each of ``bases`` (found_0, found_1, ...): path, code_name,
+        name, id, how, target, low. A target is looked for in the module of the same name, then in the object's others."""
+        own = self._methods(extension_db, None).select("id", "path", "code_name", "name", "directives")
+        hooks = K.expand(own, ["id", "path", "code_name", "name"], "directives", "how string, target string", C.intercepts).withColumn("low", F.lower("target"))
+        for i, db in enumerate(bases):
+            methods = self._methods(db, None).select("path", F.lower("name").alias("low"), "code_name", "id", F.sha1("body").alias("digest"))
+            best = D.ranked_match(hooks, methods, ["path", "low"], "code_name", "id").withColumnRenamed("found", f"found_{i}")
+            hooks = best.drop("found_in").join(methods.select(F.col("id").alias(f"found_{i}"), F.col("digest").alias(f"digest_{i}")), f"found_{i}", "left")
+        return hooks
+
+    def extension_diff(self, extension_db: str, base_db: str, base_db_new: str | None = None, prefix: str | None = None, most: int | None = None) -> DataFrame:
+        """kind, path, key and state of what an extension does; with ``most``, at most so many rows of each kind, and in ``n`` how many there are.
+
+        Kinds: new objects (state `prefixed` if the name begins with ``prefix``), borrowed ones,
+        attributes (added to an object: their number, and the first), own methods (state
+        `name_in_base` where the base has a method of that name), interceptions (state: what
+        became of the target in the new release: missing, removed, changed or unchanged) and
+        external references (names in types that the extension lacks: `found` or `missing` in
+        the base, with the object's path)."""
         ext, base = self._objects(extension_db, None).where("path <> ''"), self._objects(base_db, None)
         row = lambda df, kind, key, state: df.select(F.lit(kind).alias("kind"), "path", key.cast("string").alias("key"), state.alias("state"))
         none = F.lit(None).cast("string")
         attrs = lambda db, o: self._of(self._t("meta_attribute", db, None), o, "object_id", "path").select("path", F.concat_ws(".", "tabular", "name").alias("item"))
         added = D.added_items(attrs(extension_db, ext), attrs(base_db, base), "path", "item")
-        hooks = K.expand(self._methods(extension_db, None).select("path", "code_name", "name", "directives"), ["path", "code_name", "name"], "directives", "how string, target string", C.intercepts)
-        methods = lambda db, tag: self._methods(db, None).groupBy("path", F.lower("name").alias("low")).agg(F.min(F.sha1("body")).alias(tag))
-        both = hooks.withColumn("low", F.lower("target")).join(methods(base_db, "old"), ["path", "low"], "left").join(methods(base_db_new or base_db, "new"), ["path", "low"], "left")
-        fate = F.when(F.col("old").isNull(), "missing").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("unchanged")
-        return reduce(DataFrame.unionByName, [
-            row(D.split_new(ext, base, "path"), "new", F.col("type"), none), row(D.split_borrowed(ext, base, "path"), "borrowed", F.col("type"), none),
-            row(added, "attributes", F.col("n_added"), F.col("first_item")), row(both, "intercept", F.concat_ws(" ", "how", "target"), fate)])
+        both = cut(self._interceptions(extension_db, base_db, base_db_new or base_db))
+        fate = F.when(F.col("found_0").isNull(), "missing").when(F.col("found_1").isNull(), "removed").when(F.col("digest_0") != F.col("digest_1"), "changed").otherwise("unchanged")
+        methods = self._methods(extension_db, None).select("id", "path", "code_name", "name").join(both.select("id").distinct(), "id", "left_anti")
+        known = self._methods(base_db, None).select("path", "code_name", F.lower("name").alias("low")).distinct().withColumn("known", F.lit(True))
+        own = methods.join(base.select("path"), "path", "left_semi").withColumn("low", F.lower("name")).join(known, ["path", "code_name", "low"], "left")
+        new = D.split_new(ext, base, "path")
+        parts = [
+            row(new, "new", F.col("type"), F.when(F.col("name").startswith(prefix), "prefixed") if prefix else none),
+            row(D.split_borrowed(ext, base, "path"), "borrowed", F.col("type"), none),
+            row(added, "attributes", F.col("n_added"), F.col("first_item")), row(both, "intercept", F.concat_ws(" ", "how", "target"), fate),
+            row(own, "own_method", F.concat_ws(".", "code_name", "name"), F.when(F.col("known"), "name_in_base")),
+            row(self.external_refs(extension_db, base_db), "external", F.concat_ws(" ", "name", "n"), F.when(F.col("path").isNull(), "missing").otherwise("found"))]
+        out = reduce(DataFrame.unionByName, parts)
+        return out if most is None else needles.top_per(out, ["kind"], ["path", "key", F.col("state").asc_nulls_first()], max(1, most))
+
+    def external_refs(self, extension_db: str, base_db: str) -> DataFrame:
+        """name, n and path: names of references in the extension's types that it has no object for, how many
+        distinct types name them, and the base's object of that name (the least path), if there is one."""
+        types = self._t("meta_attribute", extension_db, None).where("type_str is not null").select("type_str").distinct()
+        names = types.select(F.explode(F.array_distinct(F.regexp_extract_all("type_str", F.lit(EXTERNAL), F.lit(1)))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        found = self._objects(base_db, None).where(F.size(F.split("path", "/")) == 2).groupBy("name").agg(F.min("path").alias("path"))
+        return names.join(found, "name", "left").select("name", "n", "path")
+
+    def control_diff(self, extension_db: str, base_db: str, base_db_new: str) -> DataFrame:
+        """Regions of controlled methods that differ between the old release, the new one and the extension: path,
+        code_name, name, target, region, state (own, changed, missing, same or conflicting), line ranges in each
+        body and numbers of lines.
+
+        The extension's text is taken as it takes effect: lines between its deletion marks are gone,
+        the marks too. A method whose target is missing in a release has no lines there."""
+        keys = ["path", "code_name", "name", "target"]
+        hooks = cut(self._interceptions(extension_db, base_db, base_db_new).where("lower(how) = 'изменениеиконтроль' and found_0 is not null"))
+        body = lambda db, key: hooks.select(*keys, F.col(key).alias("id")).join(self._t("method", db, None).select("id", "body"), "id").select(*keys, "body")
+        old, new = (A.lines_of(body(db, f"found_{i}"), keys, "body") for i, db in enumerate((base_db, base_db_new)))
+        marked = A.marked_lines(A.lines_of(body(extension_db, "id"), keys, "body"), keys)
+        return A.three_way(old, new, A.renumbered(marked.where("mark <> 'deleted'"), keys), keys)
+
+    def control_state(self, extension_db: str, base_db: str, base_db_new: str) -> DataFrame:
+        """One row for each controlled method: path, code_name, name, target, control (whether the text that the
+        extension was made from, its insertions left out, is the old release's), inserted and deleted lines, and state:
+        missing (no target in the new release), conflicting, changed, or unchanged."""
+        keys = ["path", "code_name", "name", "target"]
+        hooks = cut(self._interceptions(extension_db, base_db, base_db_new).where("lower(how) = 'изменениеиконтроль' and found_0 is not null"))
+        body = lambda db, key: hooks.select(*keys, F.col(key).alias("id")).join(self._t("method", db, None).select("id", "body"), "id").select(*keys, "body")
+        inner = lambda df: F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), 2, 1 << 30)  # noqa: E731  # without the header
+        marked = A.marked_lines(A.lines_of(body(extension_db, "id"), keys, "body"), keys)
+        of = lambda mark: F.count_if(F.col("mark") == mark)
+        counts = marked.groupBy(*keys).agg(of("inserted").alias("inserted"), of("deleted").alias("deleted"))
+        was = marked.where("mark <> 'inserted'").groupBy(*keys).agg(inner(marked).alias("was"))
+        old = A.lines_of(body(base_db, "found_0"), keys, "body").groupBy(*keys).agg(inner(marked).alias("old"))
+        regions = self.control_diff(extension_db, base_db, base_db_new).groupBy(*keys).agg(F.count_if(F.col("state") == "conflicting").alias("bad"), F.count_if(F.col("state").isin("changed", "missing", "same")).alias("new"))
+        out = hooks.select(*keys, "found_1").join(counts, keys, "left").join(was, keys, "left").join(old, keys, "left").join(regions, keys, "left").fillna(0, ["inserted", "deleted", "bad", "new"])
+        state = F.when(F.col("found_1").isNull(), "missing").when(F.col("bad") > 0, "conflicting").when(F.col("new") > 0, "changed").otherwise("unchanged")
+        return out.select(*keys, F.coalesce(F.col("was") == F.col("old"), F.lit(False)).alias("control"), "inserted", "deleted", state.alias("state"))
 
     # bases and groups
 
