@@ -45,18 +45,18 @@ class MergeIndex:
         self.schema0 = f"id {id_type}, digest binary, row long"
         self.schema1 = f"digest binary, keep_id {id_type}, keep_run int, keep_row long, group_size long"
 
-    def _stored(self, kind: str) -> list[int]:
-        """The numbers of the whole runs of a kind, from the folder."""
+    def _stored(self, kind: str) -> list[tuple[int, ...]]:
+        """The numbers in the names of the whole runs of a kind, from the folder."""
         fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(fs_path):
             return []
         whole = lambda p: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName().split("-")[-1]) for s in fs.listStatus(fs_path) if whole(s.getPath()))
+        return sorted(tuple(map(int, s.getPath().getName().split("-")[1:])) for s in fs.listStatus(fs_path) if whole(s.getPath()))
 
     def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """The rows of ``docs`` (a stored table) as sorted runs with their filter; gives the flush's number."""
-        run = max(self._stored("filters"), default=-1) + 1
+        run = max(self._stored("filters"), default=(-1,))[0] + 1
         digest = F.unhex(F.sha2(not_null_text(text_col), 256)).alias("digest")
         rows = number_rows(docs.select(F.col(id_col).alias("id"), digest), "row").sortWithinPartitions("digest")
         rows.write.mode("overwrite").option("maxRecordsPerFile", MEMTABLE).parquet(f"{self.path}/level0/run-{run}")
@@ -77,21 +77,23 @@ class MergeIndex:
         return rows.groupBy("digest").agg(self.pick(F.struct("keep_id", "keep_run", "keep_row")).alias("best"), F.sum("group_size").alias("group_size")).select(
             "digest", "best.*", "group_size")
 
-    def _write(self, rows: DataFrame, number: int) -> None:
-        rows.repartitionByRange("digest").sortWithinPartitions("digest").write.mode("overwrite").parquet(f"{self.path}/level1/run-{number}")
+    def _write(self, rows: DataFrame, number: int, upto: int) -> None:
+        """A run of level 1. Its name says the last flush that level 1 holds with it, so run and mark are one commit."""
+        rows.repartitionByRange("digest").sortWithinPartitions("digest").write.mode("overwrite").parquet(f"{self.path}/level1/run-{number}-{upto}")
 
-    def _level1(self, runs: list[int]) -> DataFrame:
+    def _level1(self, runs: list[tuple[int, ...]]) -> DataFrame:
         """The entries of level 1; of a digest's, the newest run's."""
-        read = lambda n: self.spark.read.schema(self.schema1).parquet(f"{self.path}/level1/run-{n}")
+        read = lambda n, upto: self.spark.read.schema(self.schema1).parquet(f"{self.path}/level1/run-{n}-{upto}")
         if len(runs) < 2:
-            return read(runs[0]) if runs else self.spark.createDataFrame([], self.schema1)
-        every = functools.reduce(DataFrame.union, (read(n).withColumn("__n", F.lit(n)) for n in runs))
+            return read(*runs[0]) if runs else self.spark.createDataFrame([], self.schema1)
+        every = functools.reduce(DataFrame.union, (read(n, upto).withColumn("__n", F.lit(n)) for n, upto in runs))
         return every.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_run", "keep_row", "group_size"), "__n").alias("e")).select("digest", "e.*")
 
     def compact(self) -> None:
         """Merges the flushes that level 1 does not hold yet."""
-        merged, level1 = set(self._stored("merged")), self._stored("level1")
-        fresh = [n for n in self._stored("filters") if n not in merged]
+        level1 = self._stored("level1")
+        held = max((upto for _, upto in level1), default=-1)
+        fresh = [n for n, in self._stored("filters") if n > held]
         if fresh:
             entry = lambda n: self.run(n).select("digest", F.col("id").alias("keep_id"), F.lit(n).alias("keep_run"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
             rows = self._merge(functools.reduce(DataFrame.union, map(entry, fresh)))
@@ -100,15 +102,13 @@ class MergeIndex:
                 touched = functools.reduce(DataFrame.union, (self._passing(old, n) for n in fresh)).dropDuplicates(["digest"])
                 known = touched.join(rows.select("digest"), "digest", "left_semi")
                 rows = self._merge(rows.unionByName(known))
-            number = max(level1, default=-1) + 1
-            self._write(rows, number)
-            for n in fresh:
-                self.spark.range(0).write.mode("overwrite").parquet(f"{self.path}/merged/run-{n}")
-            level1 = [*level1, number]
+            level1 = [*level1, (max(level1, default=(-1,))[0] + 1, fresh[-1])]
+            self._write(rows, *level1[-1])
         if len(level1) >= FANOUT:
-            self._write(self._level1(level1), level1[-1] + 1)
-            for n in level1:
-                delete_path(self.spark, f"{self.path}/level1/run-{n}")
+            number, upto = level1[-1]
+            self._write(self._level1(level1), number + 1, upto)
+            for n, last in level1:  # the run that holds them all is there; one that is left over is overruled by it
+                delete_path(self.spark, f"{self.path}/level1/run-{n}-{last}")
 
     def entries(self) -> DataFrame:
         """digest, keep_id, keep_run, keep_row, group_size of each digest of the merged flushes."""

@@ -6,10 +6,9 @@ term. A sort finds the n-grams that occurred before in the same text; the charac
 all words inside such repeats, divided by the characters of all words, are the coverage.
 Lines are compared as they are.
 
-The limits are the published ones for repetition removal: lines 0.30 of the lines and 0.20
-of the characters, 5- to 10-grams 0.15 down to 0.10 of the characters. In a short text one
-line said twice reaches such a share, so the limits count from ``MIN_DUP_LINES`` repeated
-lines and ``MIN_REPEATED`` words inside repeated n-grams on, at every length.
+The limits are the published ones for repetition removal, for texts of every length: lines
+0.30 of the lines and 0.20 of the characters, 5- to 10-grams 0.15 down to 0.10 of the
+characters.
 
 Map-only and one pass: no shuffle, memory bounded by ``STEP_BYTES`` of text or one text.
 
@@ -31,7 +30,6 @@ from lodestone.llm.common import SPACES, mix, steps, table, utf8, words
 #: Largest share of characters inside repeated n-grams, by n.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT, LINE_CHARS_LIMIT = 0.30, 0.20
-MIN_DUP_LINES, MIN_REPEATED = 3, 25  # fewer repeats are no evidence, whatever their share
 MIN_WORDS = 50
 #: Fixed values of the contract.
 SYMBOLS, REPEAT_WINDOW = "#*$%&|<>", 3
@@ -124,9 +122,9 @@ def with_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.mapInArrow(run, schema)
     c = lambda n: F.col(names[n])
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > 50 * c("n_words"))
-    bad = (c("n_dup_lines") >= MIN_DUP_LINES) & ((c("dup_line_share") > LINE_LIMIT) | (c("dup_line_char_share") > LINE_CHARS_LIMIT))
+    bad = (c("dup_line_share") > LINE_LIMIT) | (c("dup_line_char_share") > LINE_CHARS_LIMIT)
     for n, limit in NGRAM_LIMITS.items():
-        bad = bad | ((c(f"dup_{n}gram_words") >= MIN_REPEATED) & (c(f"dup_{n}gram_share") > limit))
+        bad = bad | (c(f"dup_{n}gram_share") > limit)
     return out.withColumns({"base_failed": failed, "kept": ~failed & ~bad})
 
 
@@ -147,14 +145,14 @@ v AS (SELECT DISTINCT r, n, i + o AS i FROM s, unnest(range(0, n)) AS u(o)),
 h AS (SELECT v.r, n, count(*) AS words, sum(length(word)) AS chars FROM v JOIN p ON p.r = v.r AND p.i = v.i GROUP BY v.r, n),
 f AS (SELECT h.r, max(CASE WHEN n = 3 THEN words END) AS again,
              coalesce(max(CASE WHEN n = 5 THEN h.words END), 0) AS n_dup_5gram_words, coalesce(max(CASE WHEN n = 10 THEN h.words END), 0) AS n_dup_10gram_words,
-             bool_or(n > 3 AND h.words >= 25 AND h.chars / c.chars > CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 ELSE 0.10 END) AS bad FROM h JOIN c ON c.r = h.r GROUP BY h.r),
+             bool_or(n > 3 AND h.chars / c.chars > CASE n WHEN 5 THEN 0.15 WHEN 6 THEN 0.14 WHEN 7 THEN 0.13 WHEN 8 THEN 0.12 WHEN 9 THEN 0.11 ELSE 0.10 END) AS bad FROM h JOIN c ON c.r = h.r GROUP BY h.r),
 x AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 y AS (SELECT r, count(*) AS lines, count(DISTINCT line) AS kinds, sum(length(line)) AS chars FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 z AS (SELECT r, sum(length(line)) AS chars FROM (SELECT DISTINCT r, line FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) GROUP BY r),
 b AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(c.chars, 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              coalesce(lines - kinds, 0) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words, coalesce(bad, false) AS bad,
              coalesce(n_dup_5gram_words, 0) AS n_dup_5gram_words, coalesce(n_dup_10gram_words, 0) AS n_dup_10gram_words,
-             coalesce(lines - kinds >= 3 AND ((lines - kinds) / lines > 0.30 OR (y.chars - z.chars) / y.chars > 0.20), false) AS bad_lines
+             coalesce((lines - kinds) / lines > 0.30 OR (y.chars - z.chars) / y.chars > 0.20, false) AS bad_lines
       FROM w LEFT JOIN c ON c.r = w.r LEFT JOIN f ON f.r = w.r LEFT JOIN y ON y.r = w.r LEFT JOIN z ON z.r = w.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad AND NOT bad_lines AS kept, n_dup_5gram_words, n_dup_10gram_words

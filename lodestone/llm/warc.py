@@ -41,6 +41,7 @@ VERSION, CRLF = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION_LINE = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 GZIP_MAGIC = b"\x1f\x8b\x08"
+MOST_HEADER = 1 << 20  # bytes of a record's header; a longer one is damage
 DATE = "2024-01-01T00:00:00Z"
 
 MIN_REVISIT_BYTES = 1000
@@ -140,21 +141,30 @@ def _manifest(name: str, size: int, records: int) -> pa.RecordBatch:
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
-    """The record at ``at``: (header, block, end), or None where a check fails."""
+    """The record at ``at``: (header, block, end), or None where a check fails.
+
+    A header is read line by line up to its empty line and given up at the first line that is no
+    field, such as another version line: what is read twice is at most one header."""
     m = VERSION_LINE.match(data, at)
-    stop = data.find(b"\r\n\r\n", at)
-    if not m or stop < 0:
+    if not m:
         return None
     head: dict[str, str] = {}
-    for line in data[m.end() : stop].split(CRLF):
-        name, colon, value = line.partition(b":")
+    line_at = m.end()
+    while True:
+        stop = data.find(CRLF, line_at, at + MOST_HEADER)
+        if stop < 0:
+            return None
+        if stop == line_at:
+            break
+        name, colon, value = data[line_at:stop].partition(b":")
+        line_at = stop + 2
         if not colon:
             return None
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     length = head.get("content-length", "")
     if not length.isdigit() or "warc-type" not in head:
         return None
-    start, end = stop + 4, stop + 4 + int(length)
+    start, end = stop + 2, stop + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return None
     return head, data[start:end], end + 4

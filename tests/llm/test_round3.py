@@ -237,3 +237,49 @@ def test_whitening_of_few_vectors(spark, tmp_path):
     table, _ = write_vectors(spark, str(tmp_path / "c"), [[1.0, 2.0], [3.0, 6.0], [5.0, 10.0], [0.0, 1.0, 2.0]])
     out = whitening.whiten(table, whitening.fit(table)).collect()
     assert len(out) == 6 and {(r.component, round(r.explained, 9), r.whitened is None) for r in out} == {(1, 1.0, False), (2, 0.0, True)}
+
+
+def test_a_compaction_that_is_cut_short(spark, tmp_path, monkeypatch):
+    """Whatever step fails, the next compaction counts every row once."""
+    from lodestone.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "FANOUT", 3)
+    index = exact_dedup.MergeIndex(spark, str(tmp_path / "index"), "bigint")
+    want, step, real = Counter(), 0, exact_dedup.delete_path
+    write = exact_dedup.MergeIndex._write
+
+    def failing(self, *args):
+        raise OSError("lost")
+
+    for batch, broken in enumerate([None, "write", "delete", None, "delete", "write"]):
+        rows = [(10 * batch + i, f"text {i % (batch + 2)}") for i in range(8)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / f"d{batch}"))
+        index.flush(spark.read.parquet(str(tmp_path / f"d{batch}")))
+        want.update(t for _, t in rows)
+        monkeypatch.setattr(exact_dedup, "delete_path", failing if broken == "delete" else real)
+        monkeypatch.setattr(exact_dedup.MergeIndex, "_write", failing if broken == "write" else write)
+        for _ in range(2):
+            try:
+                index.compact()
+            except OSError:
+                step += 1
+            monkeypatch.setattr(exact_dedup, "delete_path", real)
+            monkeypatch.setattr(exact_dedup.MergeIndex, "_write", write)
+        index.compact()
+        assert sorted(r.group_size for r in index.entries().collect()) == sorted(want.values()), batch
+    assert step >= 3
+
+
+def test_salvage_of_version_lines_is_linear():
+    import time
+
+    from lodestone.llm import warc
+
+    start = time.perf_counter()
+    for line in (b"WARC/1.0\r\n", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n"):
+        data = line * ((16 << 20) // len(line))
+        assert [(k, a, b) for k, a, b, *_ in warc.salvage(data)] == [("gap", 0, len(data))]
+    good = warc.response(1, "http://a/", b"body", hashlib.sha1(b"body").hexdigest(), None, False)
+    found = list(warc.salvage(b"WARC/1.0\r\n" * 1000 + good + b"WARC/1.0\r\nX: y\r\n" + good))
+    assert [k for k, *_ in found] == ["gap", "record", "gap", "record"]
+    assert time.perf_counter() - start < 30
