@@ -25,7 +25,6 @@ from lodestone.sources.sinks import commit_base, write_base
 
 #: Names of files in an object's folder.
 PREDEFINED_FILE, RIGHTS_FILE = "Предустановленные данные.bin", "Role.0.c1brace"
-MOST_NAMES = 2_000_000  # objects whose names may be sent to every task
 
 
 def _under(owner: str, position: str):
@@ -48,30 +47,20 @@ def objects_of(files: DataFrame) -> DataFrame:
         F.coalesce(russian[F.col("type")], "type").alias("type_ru"), "header_json")
 
 
-def names_of(objects: DataFrame, files: DataFrame) -> metadata.Names:
-    """What references can lead to; sent to every task, so its size is checked."""
-    names = metadata.Names()
-    n = objects.count()
-    if n > MOST_NAMES:
-        raise DataError(f"{n} objects, more than {MOST_NAMES} names cannot be sent to the tasks")
-    for r in objects.select("path", "name", "uuid").toLocalIterator():
-        if r.uuid:
-            names.by_uuid[r.uuid] = r.path
-        names.by_name[r.name].append(r.path)
-    for r in objects.where("type = 'DefinedType'").select("path", "header_json").toLocalIterator():
-        record = metadata._at(metadata._json(r.header_json), "header", 0, 1)
-        if isinstance(record, list) and len(record) > 4 and isinstance(record[1], str):
-            names.defined[record[1]] = (r.path, record[4])
+def references_of(objects: DataFrame, files: DataFrame) -> DataFrame:
+    """uuid and name of the references that the root's configuration file lists."""
     root = objects.where("path = ''").select(F.concat("type", F.lit(".10.json")).alias("path"))
-    for r in files.join(root, "path", "left_semi").select(to_text(F.col("data")).alias("text")).toLocalIterator():
+    texts = files.join(root, "path", "left_semi").select("path", to_text(F.col("data")).alias("text"))
+
+    def rows(text):
         try:
-            groups = metadata._at(json.loads(r.text), 0, 3) or []
+            groups = metadata._at(json.loads(text), 0, 3) or []
         except ValueError:
-            continue
-        for pair in (p for g in groups if isinstance(g, list) for p in g[1:]):
-            if isinstance(pair, list) and len(pair) > 1 and isinstance(pair[0], str):
-                names.references[pair[0]] = metadata.unquote(str(pair[1]))
-    return names
+            return []
+        pairs = (p for g in groups if isinstance(g, list) for p in g[1:])
+        return [(p[0], metadata.unquote(str(p[1]))) for p in pairs if isinstance(p, list) and len(p) > 1 and isinstance(p[0], str)]
+
+    return K.expand(texts, ["path"], "text", "uuid string, name string", rows).select("uuid", "name")
 
 
 def _code(objects: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,10 +142,9 @@ def load_dump(spark: SparkSession, path: str, keep_binary: bool = False) -> dict
     """All tables of a base, as plans over the dump in folder ``path``."""
     files = dump.file_map(spark, path, with_binary=True)
     objects = objects_of(files)
-    sent = names_of(objects, files)
     order = links.sibling_order(objects.select("id", "parent_id", "uuid", "header_json"))
     meta = objects.join(order, "id", "left")
-    derived = metadata.derive(objects, sent).join(objects.select(F.col("id").alias("object_id"), F.col("type").alias("owner_type")), "object_id")
+    derived = metadata.derive_joined(objects, references_of(objects, files)).join(objects.select(F.col("id").alias("object_id"), F.col("type").alias("owner_type")), "object_id")
     attributes = derived.where("part = 'attribute'").withColumn("id", _under("object_id", "ord"))
     sections = derived.where("part = 'section'").withColumn("id", _under("object_id", "ord"))
     refs = attributes.select(F.col("id").alias("attribute_id"), F.posexplode("links").alias("ord", "link")).select("attribute_id", "ord", "link.uuid", "link.path")

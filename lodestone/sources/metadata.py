@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.errors import DataError
 from lodestone.sources.brace import UUID, unquote
 
 #: Marks of records, the key of a section's fields, primitive types.
@@ -278,32 +279,112 @@ def _json(text) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+DERIVED_ROWS = "object_id long, part string, ord int, name string, tabular string, uuid string, type_str string, links array<struct<uuid:string,path:string>>, count int"
+
+
+def _derived(ident: int, text: str | None, names: Names) -> Iterator[tuple]:
+    """The rows of one header."""
+    try:
+        header = json.loads(text)
+    except (TypeError, ValueError):
+        return
+    body = header.get("header") if isinstance(header, dict) else header
+    for n, a in enumerate(attributes(body)):
+        shown, links = type_text(a.type, names)
+        yield ident, "attribute", n, a.name, a.tabular, a.uuid, shown, [{"uuid": u, "path": p} for u, p in links], None
+    for n, (name, own, count) in enumerate(sections(body)):
+        yield ident, "section", n, name, None, own, None, [], count
+    for n, name in enumerate(enum_values(body)):
+        yield ident, "value", n, name, None, None, None, [], None
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    link = pa.list_(pa.struct([("uuid", pa.string()), ("path", pa.string())]))
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), link, pa.int32()]
+    fields = ["object_id", "part", "ord", "name", "tabular", "uuid", "type_str", "links", "count"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
+
+
 def derive(objects: DataFrame, names: Names) -> DataFrame:
     """object_id, part (attribute, section or value), ord, name, tabular, uuid, type_str, links
     and count, from objects (id, header_json); headers that are no JSON give nothing."""
     sent = objects.sparkSession.sparkContext.broadcast(names)
-    fields = ["object_id", "part", "ord", "name", "tabular", "uuid", "type_str", "links", "count"]
-    link = pa.list_(pa.struct([("uuid", pa.string()), ("path", pa.string())]))
-    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), link, pa.int32()]
 
-    def rows(ident, text):
-        try:
-            header = json.loads(text)
-        except (TypeError, ValueError):
-            return
-        body = header.get("header") if isinstance(header, dict) else header
-        for n, a in enumerate(attributes(body)):
-            shown, links = type_text(a.type, sent.value)
-            yield ident, "attribute", n, a.name, a.tabular, a.uuid, shown, [{"uuid": u, "path": p} for u, p in links], None
-        for n, (name, own, count) in enumerate(sections(body)):
-            yield ident, "section", n, name, None, own, None, [], count
-        for n, name in enumerate(enum_values(body)):
-            yield ident, "value", n, name, None, None, None, [], None
+    def run(batches):
+        for batch in batches:
+            found = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in _derived(i, t, sent.value)]
+            if found:
+                yield _batch_of(found)
+
+    return objects.select("id", "header_json").mapInArrow(run, DERIVED_ROWS)
+
+
+MOST_DEFINED = 100  # defined types inside defined types
+
+
+def names_by_object(objects: DataFrame, references: DataFrame) -> DataFrame:
+    """(object_id, names): what the uuids in each object's header lead to, by joins on the uuid.
+
+    ``objects``: id, path, name, type, uuid, header_json; ``references``: uuid, name. A header
+    needs the uuids in it, and those in the definitions of the defined types among them, and
+    so on, until nothing is new. Nobody holds the names of a whole base: a row has what its
+    header names, and a name that many headers use is one row on the other side of each join."""
+    from pyspark.sql import functions as F
+
+    from lodestone.lineage import cut
+    from lodestone.operators.code import expand
+
+    def definition(text):
+        record = _at(_json(text), "header", 0, 1)
+        return [(record[1], json.dumps(record[4]))] if isinstance(record, list) and len(record) > 4 and isinstance(record[1], str) else []
+
+    uuids = lambda column: F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(UUID.pattern), F.lit(0)))).alias("u")
+    defined = expand(objects.where("type = 'DefinedType'"), ["path"], "header_json", "u string, members string", definition)
+    defined = cut(defined.groupBy("u").agg(F.max(F.struct("path", "members")).alias("d")).select("u", "d.*"))
+    inner = defined.select(F.col("u").alias("outer"), uuids("members")).distinct()
+    need = fresh = cut(objects.select(F.col("id").alias("object_id"), uuids("header_json")))
+    for _ in range(MOST_DEFINED):
+        fresh = cut(fresh.withColumnRenamed("u", "outer").join(inner, "outer").select("object_id", "u").distinct().join(need, ["object_id", "u"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        need = need.unionByName(fresh)
+    else:
+        raise DataError(f"defined types inside defined types, more than {MOST_DEFINED} levels")
+    none = F.lit(None).cast("string")
+    targets = objects.where(F.col("type").isin(*REFERENCE_TARGETS) & (F.size(F.split("path", "/")) == 2)).select("name", F.col("path").alias("p"))
+    known = references.groupBy(F.col("uuid").alias("u")).agg(F.max("name").alias("name")).join(targets, "name", "left")
+    own = objects.where("uuid is not null").groupBy(F.col("uuid").alias("u")).agg(F.max("path").alias("p"))
+    found = need.join(own, "u").select("object_id", F.lit("object").alias("kind"), "u", none.alias("name"), F.col("p").alias("path"), none.alias("members")).unionByName(
+        need.join(known, "u").select("object_id", F.lit("name").alias("kind"), "u", "name", F.col("p").alias("path"), none.alias("members"))).unionByName(
+        need.join(defined, "u").select("object_id", F.lit("defined").alias("kind"), "u", none.alias("name"), "path", "members"))
+    return found.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("kind", "u", "name", "path", "members"))).alias("names"))
+
+
+def _names(rows: list[dict] | None) -> Names:
+    """`Names` from what `names_by_object` gives one header."""
+    out = Names()
+    for r in rows or ():
+        if r["kind"] == "object":
+            out.by_uuid[r["u"]] = r["path"]
+        elif r["kind"] == "defined":
+            out.defined[r["u"]] = (r["path"], json.loads(r["members"]))
+        else:
+            out.references[r["u"]] = r["name"]
+            if r["path"] is not None and r["path"] not in out.by_name[r["name"]]:
+                out.by_name[r["name"]].append(r["path"])
+    return out
+
+
+def derive_joined(objects: DataFrame, references: DataFrame) -> DataFrame:
+    """As `derive`, with the names that each header needs joined to it: nothing is broadcast or collected."""
+    from pyspark.sql import functions as F
+
+    names = names_by_object(objects, references).withColumnRenamed("object_id", "id")
 
     def run(batches):
         for batch in batches:
-            found = [r for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in rows(i, t)]
+            found = [r for i, t, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) for r in _derived(i, t, _names(n))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], fields)
+                yield _batch_of(found)
 
-    return objects.select("id", "header_json").mapInArrow(run, "object_id long, part string, ord int, name string, tabular string, uuid string, type_str string, links array<struct<uuid:string,path:string>>, count int")
+    return objects.select("id", "header_json").join(names, "id", "left").select("id", "header_json", F.col("names")).mapInArrow(run, DERIVED_ROWS)

@@ -94,3 +94,22 @@ def test_subscriptions_and_plans(spark):
     rows = [("EventSubscription/П", "EventSubscription", None, json.dumps(sub)), ("CommonModule/М", "CommonModule", CAT, "{}"), ("DefinedType/Т", "DefinedType", DEFINED, json.dumps(header("0", REF))), ("Catalog/Х", "Catalog", None, None)]
     got = M.event_index(spark.createDataFrame(rows, "path string, type string, uuid string, header_json string")).collect()
     assert {(r.event, r.method, r.handler, r.source) for r in got} == {("ПередЗаписью", "Экспортная", "CommonModule/М", "DefinedType/Т"), ("ПередЗаписью", "Экспортная", "CommonModule/М", None)}
+
+
+def test_names_joined_to_headers(spark):
+    """The rows with names joined by object are those with all names at hand; defined types inside each other, and in a circle."""
+    inner, outer, circle = (f"7{i}000000-0000-0000-0000-000000000000" for i in range(3))
+    kinds = [["#", REF], ["#", ORPHAN], ["#", GENERIC, [CAT]], ["#", GENERIC], ["#", outer], ["#", circle], ["S", "5"]]
+    fields = [field(f"П{i}", ["Pattern", k]) for i, k in enumerate(kinds)] + [field("Все", ["0", str(len(kinds)), *kinds])]
+    defined = lambda u, members: json.dumps({"header": [["1", ["x", u, "a", "b", members]]]})
+    rows = [(1, "Catalog/С1", "С1", "Catalog", CAT, json.dumps({"header": [["1", ["x", *fields]]]})), (2, "Catalog/С1/Form/С1", "С1", "CatalogForm", None, "no json"), (3, "Document/С1", "С1", "Document", None, json.dumps({"header": fields[:1]})),
+            (4, "DefinedType/Внутри", "Внутри", "DefinedType", "d1", defined(inner, [["#", REF], ["N"]])), (5, "DefinedType/Снаружи", "Снаружи", "DefinedType", "d2", defined(outer, [["#", inner], ["S"]])),
+            (6, "DefinedType/Круг", "Круг", "DefinedType", "d3", defined(circle, [["#", circle], ["#", ORPHAN]]))]
+    objects = spark.createDataFrame(rows, "id long, path string, name string, type string, uuid string, header_json string")
+    names = M.Names(by_uuid={r[4]: r[1] for r in rows if r[4]}, references={REF: "С1", ORPHAN: "Нету"},
+                    defined={inner: (rows[3][1], [["#", REF], ["N"]]), outer: (rows[4][1], [["#", inner], ["S"]]), circle: (rows[5][1], [["#", circle], ["#", ORPHAN]])})
+    names.by_name["С1"] = ["Catalog/С1", "Catalog/С1/Form/С1", "Document/С1"]
+    references = spark.createDataFrame([(REF, "С1"), (ORPHAN, "Нету"), ("other", "Никому")], "uuid string, name string")
+    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert key(M.derive_joined(objects, references)) == key(M.derive(objects, names)) != []
+    assert M.derive_joined(objects.limit(0), references).collect() == []
