@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The page sizes of the query interface.
 DEFAULT_LIMIT, MOST_LIMIT = 20, 200
+REMEMBERED = 128  # totals
 
 
 def clamp(limit: int | None, default: int = DEFAULT_LIMIT, most: int = MOST_LIMIT) -> int:
@@ -28,3 +32,27 @@ def page_note(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataF
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.when(inside, F.lit(start + 1).cast("long")).otherwise(0).alias("first"), F.when(inside, last).otherwise(0).alias("last"),
         F.when(last < total, last).alias("next_offset"))
+
+
+class Memo:
+    """Totals by key, the last ``most`` used. A key holds the contents that were counted, so a base that changes asks under another one."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.known, self.counted = most, OrderedDict(), 0
+
+    def get(self, key: Hashable, count: Callable[[], int]) -> int:
+        if key not in self.known:
+            self.known[key] = count()
+            self.counted += 1
+        self.known.move_to_end(key)
+        while len(self.known) > self.most:
+            self.known.popitem(last=False)
+        return self.known[key]
+
+
+def noted(spark: SparkSession, total: int, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """`page_note` of a known total."""
+    size, start = clamp(limit), max(0, int(offset))
+    last = min(total, start + size)
+    row = (total, start + 1 if total > start else 0, last if total > start else 0, last if last < total else None)
+    return spark.createDataFrame([row], "total long, first long, last long, next_offset long")

@@ -27,7 +27,7 @@ from lodestone.operators import rights as R
 from lodestone.ql import checker
 from lodestone.sources import edges as call_edges
 from lodestone.sources import gram_index, metadata
-from lodestone.sql_access import rewrite_paths, run_sql
+from lodestone.sql_access import rewrite_paths, run_sql, table_functions
 
 TARGET = ["target_uuid", "target_object_id", "target_attr_id", "target_tabular_id", "sub_index", "collection_uuid", "target_flags"]
 TARGET_NO_FLAGS = TARGET[:-1]
@@ -42,6 +42,7 @@ class Tools:
 
     def __init__(self, catalog: Catalog):
         self.catalog, self.spark = catalog, catalog.spark
+        self.totals = paging.Memo()
 
     def _t(self, name, db, group) -> DataFrame:
         return self.catalog.table(name, db, group)
@@ -65,8 +66,19 @@ class Tools:
         return paging.page(found, ["base", F.length("path"), "path", "id"], limit, offset).drop("id")
 
     def find_objects_total(self, mask: str = "", type: str | None = None, limit=None, offset=0, db=None, group=None) -> DataFrame:
+        """The page's note; the total is remembered for the contents of the bases and what is asked, however it is written."""
         o = self._objects(db, group).where(F.col("path") != "").where(search.mask(["name", "path"], mask))
-        return paging.page_note(o if not type else o.where((F.lower("type") == type.lower()) | (F.lower("type_ru") == type.lower())), limit, offset)
+        found = o if not type else o.where((F.lower("type") == type.lower()) | (F.lower("type_ru") == type.lower()))
+        key = ("find_objects", mask.replace(" ", "").lower(), (type or "").lower())
+        return paging.noted(self.spark, self._total(key, found, db, group), limit, offset)
+
+    def _total(self, key: tuple, found: DataFrame, db, group) -> int:
+        """The number of rows of ``found``; bases without a content id are counted each time."""
+        aliases = self.catalog.scope(db, group)
+        contents = [self.catalog.bases[a].content for a in aliases if a in self.catalog.bases]
+        if len(contents) < len(aliases) or None in contents:
+            return found.count()
+        return self.totals.get((*key, tuple(sorted(contents))), found.count)
 
     def object_card(self, path: str, db=None, group=None) -> DataFrame:
         """Sections of one object as rows: section, ord, text."""
@@ -170,6 +182,15 @@ class Tools:
         order = [F.col("sub_index").asc_nulls_first(), "target_uuid", F.col("target_attr_id").asc_nulls_first(), F.col("target_tabular_id").asc_nulls_first(), F.col("target_flags").asc_nulls_first()]
         return paging.page(R.targets_per_role(keys, "role", order, per_role), ["base", "role", "rank"], limit, offset)
 
+    def object_rights_note(self, path: str, db=None, group=None) -> DataFrame:
+        """One row per base: n_roles with a right to the object, n_targets, n_all_roles, and n_unreadable, the roles whose rights could not be read, so that they may have some."""
+        rows = self._of(self._role_rows(db, group), self._objects(db, group, path), "target_object_id", "path")
+        found = rows.groupBy("base").agg(F.count_distinct("role_id").alias("n_roles"), F.count_distinct(F.struct(*TARGET)).alias("n_targets"))
+        roles = self._objects(db, group).where("type = 'Role'").select("base", F.col("id").alias("role_id"))
+        state = self._t("role_rights_state", db, group).select("base", "role_id", "parsed")
+        every = roles.join(state, ["base", "role_id"], "left").groupBy("base").agg(F.count(F.lit(1)).alias("n_all_roles"), F.count_if(~F.coalesce("parsed", F.lit(False))).alias("n_unreadable"))
+        return every.join(found, "base", "left").fillna(0).select("base", "n_roles", "n_targets", "n_all_roles", "n_unreadable")
+
     def effective_rights(self, roles: list[str], path: str | None = None, limit=None, offset=0, db=None, group=None) -> DataFrame:
         rows = self._role_rows(db, group, roles)
         rows = rows if path is None else self._of(rows, self._objects(db, group, path), "target_object_id")
@@ -477,7 +498,7 @@ class Tools:
         return checker.check(text, checker.Context.from_catalog(self.catalog, self.catalog.scope(db)[0]))
 
     def sql(self, query: str, db: str | None = None) -> DataFrame:
-        """A query over the base's tables by their names."""
+        """A query over the base's tables by their names; subtree(path, depth), refs_of(path) and effective(roles) are tables too."""
         from lodestone.schema import TABLES
 
         alias = self.catalog.scope(db)[0]
@@ -490,7 +511,8 @@ class Tools:
             for name in TABLES:
                 if self.catalog.has(base, name):
                     self.catalog.read(base, name).createOrReplaceTempView(name)
-            return run_sql(self.spark, rewrite_paths(query))  # names are resolved here, so the views can go
+            with table_functions(self.spark):
+                return run_sql(self.spark, rewrite_paths(query))  # names are resolved here, so views and functions can go
         finally:
             for name in TABLES:
                 self.spark.catalog.dropTempView(name)
@@ -523,6 +545,34 @@ class Tools:
         side = lambda db: self._objects(db, None).select("path", F.col("id").alias("object_id")).join(self._t("module", db, None).select("object_id", F.col("id").alias("part")), "object_id", "left")
         return paging.page(D.config_diff(side(db_left), side(db_right), "path", "part"), [D.kind_order(F.col("kind")), "path"], limit, offset)
 
+    def config_diff_totals(self, db_left: str, db_right: str) -> DataFrame:
+        """One row: objects of each side, of one side only, with another number of modules, and with the same."""
+        side = lambda db, tag: self._objects(db, None).select("path").distinct().withColumn(tag, F.lit(1))
+        both = side(db_left, "a").join(side(db_right, "b"), "path", "full")
+        n = both.agg(F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"),
+                     F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"))
+        count = lambda df: df.groupBy("path").agg(F.count("part").alias("n"))
+        part = lambda db: self._objects(db, None).select("path", F.col("id").alias("object_id")).join(self._t("module", db, None).select("object_id", F.col("id").alias("part")), "object_id", "left")
+        other = count(part(db_left)).join(count(part(db_right)).withColumnRenamed("n", "m"), "path").agg(F.count_if(F.col("n") != F.col("m")).alias("changed"))
+        return n.join(other, how="cross").select("n_left", "n_right", "only_left", "only_right", "changed", (F.col("common") - F.col("changed")).alias("unchanged"))  # two single rows
+
+    def method_verdicts(self, db_left: str, db_right: str, path: str | None = None) -> DataFrame:
+        """path, code_name, name and verdict of every method of both bases (of one object with ``path``): only_left,
+        only_right, unchanged, formatting, or the aspects that changed (code, parameters, export, directives, kind, comments)."""
+        def side(db: str, tag: str) -> DataFrame:
+            m = self._methods(db, None)
+            m = m if path is None else m.where(F.lower("path") == slash_path(path).lower())
+            bare = F.regexp_replace(F.coalesce("signature", F.lit("")), r"\s+", "")
+            one = F.struct(F.sha1("body").alias("body"), F.sha1(D.normalized(F.col("body"))).alias("code"), F.lower(bare).alias("signature"), "is_export",
+                           F.lower(F.coalesce("directives", F.lit(""))).alias("directives"), "kind", F.coalesce("description", F.lit("")).alias("description"))
+            return m.groupBy("path", "code_name", F.lower("name").alias("low")).agg(F.min("name").alias(f"name_{tag}"), F.min_by(one, "id").alias(tag))
+
+        both = side(db_left, "a").join(side(db_right, "b"), ["path", "code_name", "low"], "full")
+        differs = lambda *fields: reduce(lambda x, y: x | y, (~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in fields))
+        aspects = D.verdict(code=differs("code"), parameters=differs("signature"), export=differs("is_export"), directives=differs("directives"), kind=differs("kind"), comments=differs("description"))
+        verdict = (F.when(F.col("b").isNull(), "only_left").when(F.col("a").isNull(), "only_right").when((aspects == "unchanged") & differs("body"), "formatting").otherwise(aspects))
+        return both.select("path", "code_name", F.coalesce("name_a", "name_b").alias("name"), verdict.alias("verdict"))
+
     def method_diff(self, path: str, name: str, db_left: str, db_right: str, code_name: str | None = None, context: int = 3) -> dict:
         """The aspects that changed between two versions of one method."""
         rows = [self.get_method(path, name, code_name, db, None).orderBy("id").limit(1).collect() for db in (db_left, db_right)]
