@@ -22,7 +22,8 @@ base spans go with these.
 Data flow: one pass over the texts gives each document's base spans and, where there are
 any, its terms; only those narrow rows are shuffled. Pairs that the documents with
 identifiers alone bring under the limit go at once, as more documents of the term only
-lower its disclosure. A second pass counts the documents of the others over the whole
+lower its disclosure. Values (and terms) that stand in the same documents are one class, so
+a document's values are not paired with each of its words. A second pass counts the documents of the others over the whole
 corpus, and a third finds all places of the revealing terms; bitmaps of a fixed size keep
 other words out of the shuffle. Counts combine in the map tasks, so a value that a third
 of all rows contain is no hot key.
@@ -213,25 +214,45 @@ def _disclosure(net, nt, ne, total: int, prior: float):
     return F.when((ic > 0) & (-F.log2(both / nt) < LEFT), F.log(seen / rate) / ic).otherwise(0.0)
 
 
+def _classes(rows: DataFrame, item: str, n: str, cls: str) -> DataFrame:
+    """(item, n, cls) of (row, item): items that stand in the same documents have one class, a 128-bit digest of the set."""
+    digest = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    return rows.groupBy(item).agg(digest.alias(cls)).select(item, F.col(f"{cls}.n").alias(n), cls)
+
+
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
-    """(e, t, disclosure) of all terms that reveal a protected entity at least that much."""
+    """(t, disclosure) of all terms that reveal a protected entity at least that much: the most that they reveal of any.
+
+    Counts depend only on the documents in which a value and a term stand, so pairs are made of
+    classes with equal documents: a document with thousands of values and words that stand
+    nowhere else gives one pair. A term that stands in twice as many documents as any value, or
+    more, leaves at least ``LEFT`` bits unknown and is not paired."""
     total = found.count()
-    terms = found.where(F.size("entities") > 0).select("entities", F.explode("terms").alias("t"))
-    here = terms.groupBy("t").agg(F.count(F.lit(1)).alias("nd"))
-    n_entity = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
-    pairs = terms.select(F.explode("entities").alias("e"), "t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("net")).join(n_entity, "e").join(here, "t")
-    score = lambda nt: _disclosure(F.col("net"), F.col(nt), F.col("ne"), total, prior)
-    pairs = cut(pairs.where(score("nd") >= least).select("e", "t", "net", "ne"))
+    entities = found.select("row", F.explode("entities").alias("e"))
+    by_entity = _classes(entities, "e", "ne", "ce").select("e", "ce")
+    most = by_entity.agg(F.max("ce.n").alias("n")).first()["n"]  # one number
+    empty = docs.sparkSession.createDataFrame([], "t string, disclosure double")
+    if most is None:
+        return empty
+    terms = found.where(F.size("entities") > 0).select("row", F.explode("terms").alias("t"))
+    by_term = cut(_classes(terms, "t", "nd", "ct").where(F.col("nd") < 2**LEFT * most).select("t", "ct"))
+    own = entities.join(by_entity, "e").select("row", "ce").distinct()
+    near = terms.join(by_term, "t").select("row", "ct").distinct()
+    both = own.join(near, "row").where(F.col("ct.n") < 2**LEFT * F.col("ce.n")).groupBy("ce", "ct").agg(F.count(F.lit(1)).alias("net"))
+    score = lambda nt: _disclosure(F.col("net"), nt, F.col("ne"), total, prior)
+    pairs = both.select("ct", "net", F.col("ce.n").alias("ne")).where(score(F.col("ct.n")) >= least).distinct()
+    pairs = cut(pairs.join(by_term, "ct").select("t", "net", "ne").distinct())
     if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "e long, t string, disclosure double")
-    return cut(pairs.join(_term_counts(docs, pairs), "t").withColumn("disclosure", score("nt")).where(F.col("disclosure") >= least).select("e", "t", "disclosure"))
+        return empty
+    scored = pairs.join(_term_counts(docs, pairs), "t").withColumn("disclosure", score(F.col("nt"))).where(F.col("disclosure") >= least)
+    return scored.groupBy("t").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, work: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id and spans (s, k, x, d) of each document: base spans and revealing terms (k = 4, d its disclosure)."""
     rows = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
     found = stored(detect(rows), work)
-    revealing = cut(disclosures(rows, found).groupBy("t").agg(F.max("disclosure").alias("d")))
+    revealing = cut(disclosures(rows, found).withColumnRenamed("disclosure", "d"))
     more = _places(rows, revealing).join(revealing, "t").groupBy("row").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "x", "d")).alias("more"))
     base = F.transform("spans", lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["x"].alias("x"), F.lit(None).cast("double").alias("d")))
     outside = F.filter("more", lambda m: ~F.exists("spans", lambda p: (p["s"] < m["x"]) & (m["s"] < p["x"])))

@@ -283,3 +283,21 @@ def test_salvage_of_version_lines_is_linear():
     found = list(warc.salvage(b"WARC/1.0\r\n" * 1000 + good + b"WARC/1.0\r\nX: y\r\n" + good))
     assert [k for k, *_ in found] == ["gap", "record", "gap", "record"]
     assert time.perf_counter() - start < 30
+
+
+def test_a_document_of_many_values_is_not_paired_word_by_word(spark, tmp_path):
+    """4,000 addresses and as many words in one text: the pairs do not grow with their product."""
+    import time
+
+    from lodestone.llm import pii
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "w" + "".join(letters[(i // 26**k) % 26] for k in range(4))
+    rows = [(0, " ".join(f"{word(i)} user{i}@host{i}.example.com" for i in range(4000)))] + [(i, f"plain text number {word(i % 50)}") for i in range(1, 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    pii.sanitise(docs.limit(5)).count()  # warm
+    start = time.perf_counter()
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert "@" not in out[0] and out[0].count("[EMAIL]") == 4000 and out[7] == rows[7][1]
