@@ -218,6 +218,27 @@ def configuration_properties(header: dict) -> dict[str, str]:
     return {k: v for k, v in found.items() if v}
 
 
+#: Codes of an information register's periodicity, where a package has its namespace, and kinds of bases.
+PERIODICITY = {"0": "непериодический", "1": "год", "2": "квартал", "3": "месяц", "4": "день", "5": "секунда", "6": "позиция регистратора"}
+NAMESPACE_AT = 2
+FILE_KINDS = {"cf": "Конфигурация", "cfe": "Расширение конфигурации", "epf": "Внешняя обработка", "erf": "Внешний отчёт"}
+ROOT_KINDS = {"Configuration": "Конфигурация", "ConfigurationExtension": "Расширение конфигурации", "ExternalDataProcessor": "Внешняя обработка", "ExternalReport": "Внешний отчёт"}
+
+
+def card_properties(kind: str, header: dict) -> list[tuple[str, str]]:
+    """(name, value) of what an object's card says of it beside its parts: a register's periodicity and
+    write mode, a package's namespace, a subscription's event, method and number of sources."""
+    own = register_properties(kind, header)
+    if "periodicity" in own:
+        own["periodicity"] = PERIODICITY.get(own["periodicity"], own["periodicity"])
+    if kind == "XDTOPackage":
+        namespace = unquote(_text_at(header, "header", 0, 1, NAMESPACE_AT))
+        own = {"namespace": namespace} if namespace else {}
+    if kind == "EventSubscription" and (found := event_subscription(header)):
+        own = {"event": found["event"], "method": found["method"] or "", "sources": str(len(found["sources"]))}
+    return sorted(own.items())
+
+
 #: Where an event subscription has its parts, and where sources are named by.
 SOURCES_AT, EVENT_AT, HANDLER_AT, METHOD_AT, SELF_AT = 2, 3, 4, 5, (1, 4)
 

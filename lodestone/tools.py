@@ -7,6 +7,7 @@ group counts. Names may be given as ``Справочник.X`` or ``Catalog/X``.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import Catalog
 from lodestone.errors import BadArguments, DataError
 from lodestone.functions import code as C
-from lodestone.functions.paths import russian_path, slash_path
+from lodestone.functions.paths import compatibility, russian_path, slash_path, source_ext
 from lodestone.functions.right_names import with_right_names
 from lodestone.lineage import cut
 from lodestone.operators import align as A
@@ -37,6 +38,18 @@ ACCESS_CHECK = "ПравоДоступа"  # fixed value: the platform's functio
 NESTING, MOST_NESTING = 4, 100  # levels of types inside types: listed without asking whether there are more, and at most
 
 
+def _card_properties(both: str) -> list[tuple[int, str, str]]:
+    found = json.loads(both)
+    return [(n, *p) for n, p in enumerate(metadata.card_properties(found.get("type") or "", metadata._json(found.get("header_json"))))]
+
+
+def _configuration(text: str) -> list[tuple[str | None, str | None, str | None]]:
+    header = metadata._json(text)
+    found = metadata.configuration_properties(header)
+    code = header.get("compatibility_version")
+    return [(found.get("version"), found.get("name_prefix"), str(code) if code else None)]
+
+
 class Tools:
     """All operations on the bases of a catalog."""
 
@@ -100,6 +113,19 @@ class Tools:
             row(t("xdto_type"), "xdto", F.col("ord"), F.concat_ws(" ", "kind", "name")),
             row(refs.withColumn("n", F.lit(0)), "references", F.col("n"), F.concat_ws(" ", "direction", "path")),
         ]
+        own = K.expand(o.select("base", F.to_json(F.struct("type", "header_json")).alias("both")), ["base"], "both", "ord int, name string, value string", _card_properties)
+        parts.append(row(own, "properties", F.col("ord"), F.concat_ws(": ", "name", "value")))
+        content = K.expand(o.where("type = 'ExchangePlan'"), ["base"], "header_json", "uuid string", lambda t: [(u,) for u in metadata.exchange_content(metadata._json(t))])
+        members = content.join(self._objects(db, group).select("base", "uuid", "type"), ["base", "uuid"], "left").groupBy("base", F.coalesce("type", F.lit("?")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(row(members, "content", F.lit(0), F.concat_ws(" ", "kind", "n")))
+        for alias in self.catalog.scope(db, group):  # subscriptions by their own headers, modules by their uuids
+            every = slash_path(path).lower().startswith("eventsubscription/")  # whose sources may be any objects
+            some = self._objects(alias, None).where(F.lit(every) | F.col("type").isin("EventSubscription", "CommonModule") | (F.lower("path") == slash_path(path).lower()))
+            events = metadata.event_index(some).withColumn("base", F.lit(alias)).withColumn("n", F.lit(0))
+            mine = lambda c: events.where(F.lower(c) == slash_path(path).lower())
+            parts.append(row(mine("source"), "subscriptions", F.col("n"), F.concat_ws(" ", "subscription", "event", F.concat_ws(".", "handler", "method"))))
+            parts.append(row(mine("handler"), "handles", F.col("n"), F.concat_ws(" ", "subscription", "event", "method")))
+            parts.append(row(mine("subscription"), "sources", F.col("n"), F.coalesce("source", "source_uuid")))
         return reduce(DataFrame.unionByName, parts)
 
     def object_tree(self, path: str = "", depth: int = 2, db=None, group=None, limit=None, offset=0) -> DataFrame:
@@ -122,14 +148,16 @@ class Tools:
         return r.join(a, ["base", "attribute_id"]).select("base", "src", "dst", "field")
 
     def refs_of(self, path: str, direction: str = "both", limit=None, offset=0, db=None, group=None) -> DataFrame:
-        """direction (out or in), path and field of direct neighbours, distinct."""
+        """direction (out or in), path and field of direct neighbours, distinct; each direction has its own page."""
         e, o = self._edges(db, group), self._objects(db, group, path)
         names = self._objects(db, group).select("base", F.col("id").alias("other"), "path")
         out = self._of(e, o, "src").select("base", F.lit("out").alias("direction"), F.col("dst").alias("other"), "field")
         back = self._of(e, o, "dst").select("base", F.lit("in").alias("direction"), F.col("src").alias("other"), "field")
-        both = {"out": out, "in": back}.get(direction, out.unionByName(back))
-        found = both.join(names, ["base", "other"]).select("base", "direction", "path", "field").distinct()
-        return paging.page(found, ["base", F.col("direction").desc(), "path", "field"], limit, offset)
+        wanted = [df for kind, df in (("out", out), ("in", back)) if direction in (kind, "both")]
+        if not wanted:
+            raise BadArguments("direction is out, in or both")
+        found = (df.join(names, ["base", "other"]).select("base", "direction", "path", "field").distinct() for df in wanted)
+        return reduce(DataFrame.unionByName, [paging.page(df, ["base", "path", "field"], limit, offset) for df in found])
 
     def refs_within(self, path: str, depth: int = 2, db: str | None = None) -> DataFrame:
         """Objects within ``depth`` references, with the least number of steps."""
@@ -139,12 +167,27 @@ class Tools:
         return found.join(self._objects(alias, None).select(F.col("id").alias("node"), "path"), "node").select(F.lit(alias).alias("base"), "path", "depth")
 
     def configuration_info(self, db=None, group=None) -> DataFrame:
-        """One row per base: source, fingerprint and counts."""
+        """One row per base: source, fingerprint, counts, kind (by the source file's extension, then the root's type),
+        version, name_prefix and compatibility."""
         counts = [self._t(n, db, group).groupBy("base").agg(F.count(F.lit(1)).alias(f"n_{n}")) for n in ("meta_object", "module", "method", "meta_attribute", "skd_query", "role_right")]
         out = self._t("source", db, group)
         for c in counts:
             out = out.join(c, "base", "left")
-        return out.fillna(0)
+        root = self._objects(db, group).where("path = ''").select("base", "header_json")
+        own = K.expand(root, ["base"], "header_json", "version string, name_prefix string, code string", _configuration)
+        code = F.col("code")
+        own = own.withColumn("compatibility", F.when(code.rlike("^[78][0-9]{3,}$"), compatibility(code)).otherwise(code)).drop("code")
+        table = lambda kinds, c: F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[c]
+        kind = F.coalesce(table(metadata.FILE_KINDS, source_ext(F.col("file"))), table(metadata.ROOT_KINDS, F.col("root_type")), "root_type")
+        return out.fillna(0).withColumn("kind", kind).join(own, "base", "left")
+
+    def db_summary(self) -> DataFrame:
+        """One row for each open base: alias, path, active, version, groups, and what `configuration_info` says of it (null for bases that cannot be read)."""
+        groups = {a: sorted(g for g, members in self.catalog.groups.items() if a in members) for a in self.catalog.bases}
+        rows = [(a, b.path, a == self.catalog.active, b.version, groups[a]) for a, b in self.catalog.bases.items()]
+        listed = self.spark.createDataFrame(rows, "alias string, path string, active boolean, stored_version int, groups array<string>")
+        info = self.configuration_info("*").select(F.col("base").alias("alias"), "kind", "root_name", "version", "compatibility", "name_prefix", F.left("file_sha256", F.lit(16)).alias("fingerprint"), "n_meta_object", "n_module", "n_method")
+        return listed.join(info, "alias", "left")
 
     # rights
 

@@ -64,3 +64,41 @@ def test_role_impact_modes(stored):
     assert stored.role_impact("Роль1", path="Документ.ЗаказПокупателя", db="a").count() == 0
     places = [(r.kind, r.place, r.method, r.line, r.n) for r in stored.role_impact_places("Роль1", db="a").orderBy("kind").collect()]
     assert places == [("method", "Catalog/Справочник1", "Тест", 7, 1), ("query", "Catalog/Справочник1", None, 1, 1)]
+
+
+def test_card_sections_and_passport(spark):
+    import json
+
+    u = [f"{i}1000000-0000-0000-0000-000000000000" for i in range(9)]
+    register = {"header": [["1", [*["0"] * 18, "4", "1"]]]}
+    package = {"header": [["1", ["a", "b", '"urn:x"']]]}
+    subscription = {"header": [["1", ["a", "b", ['"Pattern"', ["#", u[5]]], '"x_ПриЗаписи"', u[3], '"Обработать"']]]}
+    source = {"header": [["1", ["a", u[5]]]]}
+    plan = {"info": ["1", "2", u[1], "0", u[4], "0", u[8], "1"]}
+    node = ['""'] * 46
+    node[15], node[42] = '"3.0.1"', '"Р_"'
+    root = {"compatibility_version": "80321", "header": [["0", "0", "0", ["x", ["y", node]]]]}
+    objects = [("", "Configuration", root), ("InformationRegister/Р", "InformationRegister", register), ("XDTOPackage/П", "XDTOPackage", package), ("CommonModule/М", "CommonModule", {}), ("Catalog/С", "Catalog", source), ("EventSubscription/О", "EventSubscription", subscription), ("ExchangePlan/Э", "ExchangePlan", plan)]
+    rows = [(i, 1, None, i, p, k, p.split("/")[-1], u[i], None, None, None, json.dumps(h)) for i, (p, k, h) in enumerate(objects)]
+    c = Catalog(spark)
+    given = {"meta_object": rows, "source": [(1, "x/y.CFE", "2024", "Configuration", "К", "u", 1, "abc", "1")]}
+    c.open("/m", "m", {n: spark.createDataFrame(given[n], TABLES[n]) if n in given else empty(spark, n) for n in TABLES})
+    c.group_create("г")
+    c.group_add("г", "m")
+    t = Tools(c)
+    card = lambda path: {(r.section, r.text) for r in t.object_card(path).collect() if r.section not in ("header", "children")}
+    assert card("РегистрСведений.Р") == {("properties", "periodicity: день"), ("properties", "write_mode: recorder")}
+    assert card("XDTOPackage/П") == {("properties", "namespace: urn:x")}
+    assert card("Catalog/С") == {("subscriptions", "EventSubscription/О ПриЗаписи CommonModule/М.Обработать")}
+    assert card("EventSubscription/О") == {("properties", "event: ПриЗаписи"), ("properties", "method: Обработать"), ("properties", "sources: 1"), ("sources", "Catalog/С")}
+    assert card("CommonModule/М") == {("handles", "EventSubscription/О ПриЗаписи Обработать")}
+    assert card("ExchangePlan/Э") == {("content", "Catalog 1"), ("content", "InformationRegister 1"), ("content", "? 1")}
+    info = t.configuration_info().first()
+    assert (info.kind, info.version, info.name_prefix, info.compatibility, info.n_meta_object) == ("Расширение конфигурации", "3.0.1", "Р_", "8.3.21", 7)
+    line = t.db_summary().first()
+    assert (line.alias, line.active, line.groups, line.kind, line.fingerprint, line.n_meta_object) == ("m", True, ["г"], "Расширение конфигурации", "abc", 7)
+
+
+def test_references_are_paged_by_direction(stored):
+    both = stored.refs_of("Catalog/Справочник1", limit=1, db="a").collect()
+    assert [r.direction for r in both] == ["out", "in"] and stored.refs_of("Catalog/Справочник1", "in", limit=1, offset=1, db="a").count() == 1
