@@ -236,8 +236,9 @@ def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, least:
         return empty
     terms = found.where(F.size("entities") > 0).select("row", F.explode("terms").alias("t"))
     by_term = cut(_classes(terms, "t", "nd", "ct").where(F.col("nd") < 2**LEFT * most).select("t", "ct"))
-    own = entities.join(by_entity, "e").select("row", "ce").distinct()
-    near = terms.join(by_term, "t").select("row", "ct").distinct()
+    # dealt out by row once: distinct rows and the join then need no shuffle of their own
+    own = entities.join(by_entity, "e").select("row", "ce").repartition("row").distinct()
+    near = terms.join(by_term, "t").select("row", "ct").repartition("row").distinct()
     both = own.join(near, "row").where(F.col("ct.n") < 2**LEFT * F.col("ce.n")).groupBy("ce", "ct").agg(F.count(F.lit(1)).alias("net"))
     score = lambda nt: _disclosure(F.col("net"), nt, F.col("ne"), total, prior)
     pairs = both.select("ct", "net", F.col("ce.n").alias("ne")).where(score(F.col("ct.n")) >= least).distinct()
