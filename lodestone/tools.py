@@ -481,10 +481,13 @@ class Tools:
         return both.where(has(F.col("context"), "сервер") & ~has(F.col("context"), "клиент")).select("base", "caller", "line", F.concat_ws(".", "left", "name").alias("target"), "context")
 
     def call_graph(self, path: str, name: str, depth: int = 2, callers: bool = False, db: str | None = None) -> DataFrame:
-        """Methods within ``depth`` calls (or callers), as path/name keys in lower case, with the least number of steps."""
+        """Methods within ``depth`` (1 to 3) calls (or callers), as module.name keys in lower case, with the least number of steps."""
+        if not 1 <= depth <= 3:
+            raise BadArguments("depth is 1 to 3")
         alias = self.catalog.scope(db)[0]
-        edges = self._edges_of_code(alias).where("kind = 'code'").select("src", "dst")
-        start = self.spark.range(1).select(F.lit(f"{slash_path(path)}/{name}".lower()).alias("node"))
+        key = lambda end: F.concat_ws(".", F.element_at(F.split(end, "/"), -2), F.element_at(F.split(end, "/"), -1))
+        edges = self._edges_of_code(alias).where("kind = 'code'").select(key(F.col("src")).alias("src"), key(F.col("dst")).alias("dst"))
+        start = self.spark.range(1).select(F.lit(f"{slash_path(path).rpartition('/')[2]}.{name}".lower()).alias("node"))
         return G.bfs(edges, start, depth, *(("dst", "src") if callers else ("src", "dst")))
 
     def method_result_schema(self, path: str, name: str, code_name=None, db=None, group=None) -> DataFrame:
