@@ -108,7 +108,8 @@ WORKER_CACHES: dict[str, object] = {}
 
 
 def give_back() -> None:
-    """Freed memory goes back to the system, where the C library can do that."""
+    """Freed memory goes back to the system: that of Arrow's pool, and the C library's where it can do that."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -53,7 +53,7 @@ SKETCH = 4  # 64-bit words of the parity sketch
 BAND = 1.5  # largest size / smallest size in a band
 BLOCK, CHUNK = 4096, 65536  # members of the smaller side, and of all, that one cell compares by sketches
 BLOCK_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 23  # tokens of the smaller side, and of all, that one cell compares exactly
-SLICE = 256  # rows compared at a time
+SLICE, SLICE_TOKENS = 256, 1 << 18  # rows compared at a time, and their tokens (or one row)
 _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
 
@@ -307,6 +307,16 @@ def _cell_slices(batches):
                     yield held, part.slice(at, SLICE)
 
 
+def _by_tokens(part: pa.RecordBatch):
+    """Lists of one slice each of dealt sets, with at most ``SLICE_TOKENS`` tokens (or one set)."""
+    reach = np.cumsum(part.column(5).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(reach):
+        end = max(at + 1, int(np.searchsorted(reach, done + SLICE_TOKENS, side="right")))
+        yield [part.slice(at, end - at)]
+        at, done = end, int(reach[end - 1])
+
+
 def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -387,28 +397,28 @@ def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan)
                 index, of = tokens[order], np.repeat(np.arange(len(mine)), mine_n)[order]
                 joined: dict[int, int] = {}
                 mine_comp = mine_comp.copy()
-            node, comp, n, tokens = sets([part])
-            low, high = np.searchsorted(index, tokens, "left"), np.searchsorted(index, tokens, "right")
-            links, at = [], 0
-            for i in range(len(node)):
-                lo, hi = low[at : at + n[i]], high[at : at + n[i]]
-                at += n[i]
-                own = int(comp[i])
-                while own in joined:
-                    own = joined[own]
-                width = hi - lo
-                reach = np.cumsum(width)
-                if not len(reach) or not reach[-1]:
-                    continue
-                found = of[np.repeat(lo - reach + width, width) + np.arange(reach[-1])]
-                both = np.bincount(found, minlength=len(mine))
-                ok = (mine_comp != own) & (den * both >= num * (mine_n + n[i] - both))
-                if ok.any():
-                    here = np.flatnonzero(ok)
-                    others, first = np.unique(mine_comp[here], return_index=True)
-                    links += [(int(node[i]), int(mine[j])) for j in here[first]]
-                    joined.update((c, own) for c in others.tolist())
-                    mine_comp[np.isin(mine_comp, others)] = own
+            links = []
+            for node, comp, n, tokens in map(sets, _by_tokens(part)):
+                low, high, at = np.searchsorted(index, tokens, "left"), np.searchsorted(index, tokens, "right"), 0
+                for i in range(len(node)):
+                    lo, hi = low[at : at + n[i]], high[at : at + n[i]]
+                    at += n[i]
+                    own = int(comp[i])
+                    while own in joined:
+                        own = joined[own]
+                    width = hi - lo
+                    reach = np.cumsum(width)
+                    if not len(reach) or not reach[-1]:
+                        continue
+                    found = of[np.repeat(lo - reach + width, width) + np.arange(reach[-1])]
+                    both = np.bincount(found, minlength=len(mine))
+                    ok = (mine_comp != own) & (den * both >= num * (mine_n + n[i] - both))
+                    if ok.any():
+                        here = np.flatnonzero(ok)
+                        others, first = np.unique(mine_comp[here], return_index=True)
+                        links += [(int(node[i]), int(mine[j])) for j in here[first]]
+                        joined.update((c, own) for c in others.tolist())
+                        mine_comp[np.isin(mine_comp, others)] = own
             if links:
                 yield _links_batch(links)
 

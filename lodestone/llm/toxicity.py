@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import steps, table
+from lodestone.llm.common import WORKER_CACHES, steps, table
 
 #: Insults in four languages, and second-person words.
 LEXICON = frozenset("""
@@ -209,18 +209,25 @@ class Model:
     ends: np.ndarray
     shares: np.ndarray
     constant: float = 0.0
-    words: Words | None = None
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.constant)
-        if self.words is None:
-            self.words = Words(self.learned)
-        x = np.array([features(t, self.words) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
+        known = words_of(self)
+        x = np.array([features(t, known) for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
         raw = self.trees.raw(x)
         return self.shares[np.minimum(np.searchsorted(self.ends, raw, side="left"), len(self.shares) - 1)]
 
 
+def words_of(model: Model) -> Words:
+    """The worker's words for ``model``. They are no part of the model, whose broadcast a worker
+    keeps to its end: other operators' steps drop them."""
+    kept = WORKER_CACHES.get("toxicity")
+    if kept is None or kept[0] is not model:
+        kept = WORKER_CACHES["toxicity"] = (model, Words(model.learned))
+    return kept[1]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """At most ``max_rows`` labelled texts (text, y, fold): those with the smallest hash.
 
@@ -287,7 +294,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", name: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch, texts, _ in steps(batches, text_col):
+        for batch, texts, _ in steps(batches, text_col, cache="toxicity"):
             values = pa.array(sent.value.score(texts.to_pylist()), pa.float64())
             left = [n for n in batch.schema.names if n != name]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in left), values], [*left, name])

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm import importance, url_filter, whitening
+from lodestone.llm import common, importance, jaccard, toxicity, url_filter, whitening
 
 PAGES = "page_id long, url string, html string, host string, rule string, component string"
 RULES = [*url_filter.RULES, ("block", "bad.org", "/"), ("allow", "bad.org", "/good/"), ("block", "x.bad.org", "/good/x"), ("block", "dup.org", "/"), ("allow", "dup.org", "/"), (None, "org", "/"), ("block", None, "/")]
@@ -301,3 +302,27 @@ def test_a_document_of_many_values_is_not_paired_word_by_word(spark, tmp_path):
     out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert time.perf_counter() - start < 60
     assert "@" not in out[0] and out[0].count("[EMAIL]") == 4000 and out[7] == rows[7][1]
+
+
+def test_slices_by_tokens():
+    sets = [[1], [2] * 5, [3] * (jaccard.SLICE_TOKENS + 1), [], [4] * (jaccard.SLICE_TOKENS - 1), [5], [6]]
+    none = pa.array([0] * len(sets))
+    part = pa.RecordBatch.from_arrays([none] * 5 + [pa.array(sets, pa.list_(pa.int64()))], list("abcdef"))
+    slices = [p for (p,) in jaccard._by_tokens(part)]
+    assert [p.num_rows for p in slices] == [2, 1, 3, 1]
+    assert [x for p in slices for x in p.column(5).to_pylist()] == sets
+    assert list(jaccard._by_tokens(part.slice(0, 0))) == []
+
+
+def test_memo_of_words_goes_with_other_operators():
+    trees = toxicity.Trees().fit(np.array([[0.0] * len(toxicity.FEATURES), [1.0] * len(toxicity.FEATURES)] * 50), np.array([0.0, 1.0] * 50))
+    one, two = (toxicity.Model({}, trees, np.array([0.0]), np.array([0.5])) for _ in range(2))
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words here"])], ["text"])
+    one.score(["some words here"])
+    assert set(common.WORKER_CACHES["toxicity"][1]) == {"some", "words", "here"}
+    two.score(["other"])
+    assert common.WORKER_CACHES["toxicity"][0] is two and set(common.WORKER_CACHES["toxicity"][1]) == {"other"}
+    list(common.steps([batch], cache="toxicity"))
+    assert "toxicity" in common.WORKER_CACHES
+    list(common.steps([batch]))
+    assert "toxicity" not in common.WORKER_CACHES
