@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import time
 import uuid
@@ -52,6 +53,7 @@ def free_shuffles(spark: SparkSession, pause: float = 2.0) -> None:
     """Asks the driver to collect garbage (every ``pause`` seconds at most): Spark deletes the shuffle
     files of steps that nothing refers to only then, and they would fill the executors' disks."""
     if time.monotonic() - _FREED[0] >= pause:
+        gc.collect()  # data frames in cycles still hold their plans, and these the shuffles
         spark.sparkContext._jvm.System.gc()
         _FREED[0] = time.monotonic()
 

@@ -27,6 +27,11 @@ each set travels once (not once a hash): again the smaller side in blocks agains
 members, now on the whole token sets, and again each cell gives a forest, of true links.
 Large groups are split over tasks by blocks.
 
+**Disk.** Hashes are matched in rounds, each over a slice of the hashes' values, and sets are
+verified in rounds, each over a part of the pairs; so are groups that span components. A
+round's shuffles go before the next one.
+The hashes themselves go as soon as all have been matched.
+
 **Verification** is exact, on the whole token sets (of 64-bit hashes).
 
 Edge cases: a text without words (null, empty) has an empty set and no link; with fewer
@@ -40,13 +45,14 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, give_back, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
+from lodestone.llm.common import cut, delete_path, drop_cut, free_shuffles, give_back, maybe_in, mix, not_null_text, number_rows, scratch, steps, stored, table, utf8, words
 from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
@@ -56,6 +62,7 @@ BLOCK_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 23  # tokens of the smaller side, and
 SLICE, SLICE_TOKENS = 256, 1 << 18  # rows compared at a time, and their tokens (or one row)
 _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
+ROUNDS = 4  # slices of hashes that are matched, and of pairs that are verified, one after the other
 
 
 @dataclass(frozen=True)
@@ -209,17 +216,19 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-SETS = "id {id}, row long, n long, d1 long, d2 long, sk array<long>, sigs array<long>"
+SIGS = [f"sigs{k}" for k in range(ROUNDS)]
+SETS = "id {id}, row long, n long, d1 long, d2 long, sk array<long>, " + ", ".join(f"{c} array<long>" for c in SIGS)
 
 
 def _describe(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """One row per document: its set's size, digest, sketch and (once per task and set) signatures."""
-    names = ["id", "row", "n", "d1", "d2", "sk", "sigs"]
+    """One row per document: its set's size, digest, sketch and (once per task and set) signatures, in slices of their values."""
+    names = ["id", "row", "n", "d1", "d2", "sk", *SIGS]
+    edges = np.array([(1 << 64) * k // ROUNDS for k in range(1, ROUNDS)], dtype=np.uint64)
 
     def run(batches):
         seen: OrderedDict = OrderedDict()
         for batch, texts, offs in steps(batches):
-            n, d1, d2, sk, sigs = [], [], [], [], []
+            n, d1, d2, sk, sigs = [], [], [], [], [[] for _ in SIGS]
             for tokens in token_sets(texts, offs, width):
                 digest = _digest(tokens)
                 n.append(len(tokens))
@@ -227,19 +236,47 @@ def _describe(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 d2.append(digest[1])
                 sk.append(sketch(tokens))
                 if digest in seen or not len(tokens):
-                    sigs.append(None)
+                    parts = [None] * ROUNDS
                 else:
                     seen[digest] = None
                     if len(seen) > _DIGESTS:
                         seen.popitem(last=False)
-                    sigs.append(signatures(tokens, plan).view(np.int64))
+                    found = signatures(tokens, plan)  # ascending
+                    parts = np.split(found.view(np.int64), np.searchsorted(found, edges))
+                for column, part in zip(sigs, parts, strict=True):
+                    column.append(part)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                                              pa.array(d2, pa.int64()), pa.array(sk, longs), pa.array(sigs, longs)], names)
+                                              pa.array(d2, pa.int64()), pa.array(sk, longs), *(pa.array(c, longs) for c in sigs)], names)
 
     return docs.select("id", "row", "text").mapInArrow(run, SETS.format(id=dict(docs.dtypes)["id"]))
 
 
+def _meetings(signed: DataFrame, path: str) -> DataFrame:
+    """(sig, d1, low, high) of all hashes that several sets emit; ``low`` and ``high`` are two of these."""
+    def matched(k: int, column: str) -> DataFrame:
+        emitted = signed.where(F.col(column).isNotNull()).select("d1", F.explode(column).alias("sig"))
+        shared = cut(emitted.groupBy("sig").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high"))
+        found = stored(maybe_in(emitted, "sig", shared.select("sig")).join(shared, "sig"), f"{path}{k}")
+        drop_cut(shared)
+        return found
+
+    parts = []
+    for k, column in enumerate(SIGS):
+        parts.append(matched(k, column))
+        free_shuffles(signed.sparkSession, 0)
+    return reduce(DataFrame.union, parts)
+
+
+def _in_rounds(rows: DataFrame, key: str, work) -> DataFrame:
+    """All that ``work`` (which stores its result) gives for ``rows``, a part of the keys after the other."""
+    parts = []
+    for k in range(ROUNDS):
+        parts.append(work(rows.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == k)))
+        free_shuffles(rows.sparkSession, 0)
+    return reduce(DataFrame.union, parts)
+
+
 def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, tokens) for ``nodes`` (row, ...): read again from the texts, others filtered out before."""
     def run(batches):
@@ -251,12 +288,14 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return pairs.join(a, "a").join(b, "b").where(
-        plan.den * both >= plan.num * (F.size("ta").cast("long") + F.size("tb").cast("long") - both)).select("a", "b")
+    """The pairs (a, b; stored) of nodes whose whole sets are similar enough."""
+    def verified(own: DataFrame) -> DataFrame:
+        a, b = (maybe_in(sets.select(F.col("node").alias(end), F.col("tokens").alias(f"t{end}")), end, own.select(end)) for end in ("a", "b"))
+        both = F.size(F.array_intersect("ta", "tb")).cast("long")
+        return cut(own.join(a, "a").join(b, "b").where(
+            plan.den * both >= plan.num * (F.size("ta").cast("long") + F.size("tb").cast("long") - both)).select("a", "b"))
+
+    return _in_rounds(pairs, "b", verified)
 
 
 def _near(a: str, b: str, plan: Plan):
@@ -379,7 +418,8 @@ def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan)
                                       F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
     size = size.select("tree", "main", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most")) / BLOCK_TOKENS)).cast("int").alias("blocks"),
                        F.greatest(F.lit(1), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    rows = members.select("tree", "node", "component").join(size, "tree").join(whole, "node")
+    chosen = cut(members.select("tree", "node", "component").join(size, "tree"))
+    rows = chosen.join(maybe_in(whole, "node", chosen.select("node")), "node")
     dealt = _deal(rows, "tree", F.col("blocks"), F.col("chunks"), F.col("component") != F.col("main"), ["node", "component", "tokens"])
     num, den = plan.num, plan.den
 
@@ -440,26 +480,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
     plan = make_plan(num, den, estimate_sizes(docs))
     with scratch(spark) as path:
-        sets = stored(_describe(docs, width, plan), f"{path}/sets")
+        signed = stored(_describe(docs, width, plan), f"{path}/signed")
+        sets = stored(signed.drop(*SIGS), f"{path}/sets")
         nodes = cut(sets.where("n > 0").groupBy("d1", "d2").agg(
             F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"),
             F.first("n").alias("n"), F.first("sk").alias("sk")))
-        emitted = sets.where("sigs is not null").select("d1", F.explode("sigs").alias("sig"))
-        shared = cut(emitted.groupBy("sig").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low != high"))
-        met = cut(maybe_in(emitted, "sig", shared.select("sig")).join(shared, "sig"))
+        met = _meetings(signed, f"{path}/met")
+        delete_path(spark, f"{path}/signed")
         who = nodes.select("d1", "node", "n", "sk")
         star = met.select("d1", F.explode(F.array("low", "high")).alias("p1")).where("d1 != p1").distinct()
         pivot = who.select(F.col("d1").alias("p1"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sk").alias("bsk"))
         member = who.select("d1", F.col("node").alias("a"), F.col("n").alias("an"), F.col("sk").alias("ask"))
         pairs = star.join(member, "d1").join(pivot, "p1").where(_near("a", "b", plan)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs)
         live_nodes = cut(met.select("d1").distinct().join(who, "d1").select(F.col("node").alias("row")))
         whole = _whole_sets(docs, live_nodes, width).join(live_nodes, "row", "left_semi").select(F.col("row").alias("node"), "tokens")
         whole = stored(whole, f"{path}/whole")
-        links = cut(_verify(pairs, whole, plan))
+        links = _verify(pairs, whole, plan)
         first = cut(components(links))
         live = met.select("sig", "d1").distinct().join(who, "d1").join(first, "node", "left").select(
             "sig", "node", "n", "sk", F.coalesce("component", "node").alias("component"))
-        suspects = cut(_suspects(live, plan))
+        suspects = _in_rounds(stored(live, f"{path}/live"), "sig", lambda own: cut(_suspects(own, plan)))
+        delete_path(spark, f"{path}/live")
         more = who.select("node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
         more = cut(_across(suspects, more, whole, plan))
         label = lambda end: more.join(first.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
