@@ -21,10 +21,11 @@ def resolve_pins(pins: DataFrame, bases: DataFrame) -> DataFrame:
     f = F.lower("fingerprint")
     fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(f))
     begin = bases.where("fingerprint is not null").select("alias", F.explode(F.transform(fitting, lambda n: F.substring(f, F.lit(1), n))).alias("__key"))
-    found = begin.join(keys, "__key").groupBy("__key").agg(F.count(F.lit(1)).alias("n_bases"), F.min("alias").alias("__one"))
+    ends = begin.groupBy("__key").agg(F.count(F.lit(1)).alias("n_bases"), F.min("alias").alias("__one"))
+    found = ends.join(keys.hint("merge"), "__key")  # as many keys as pins: none are gathered on the driver
     n = F.coalesce("n_bases", F.lit(0))
     state = F.when(F.coalesce(F.length("__key"), F.lit(0)) == 0, "empty").when(n == 0, "missing").when(n == 1, "resolved").otherwise("ambiguous")
-    out = p.join(found, "__key", "left")
+    out = p.join(found.hint("merge"), "__key", "left")
     return out.select(*pins.columns, n.alias("n_bases"), F.when(n == 1, F.col("__one")).alias("base"), state.alias("state"))
 
 
