@@ -14,6 +14,13 @@ from lodestone.functions import code as C
 from lodestone.ql.checker import Context, check
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to many tasks: small files, whose splits are few, can hold texts that take long to parse."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *rows.columns)  # by number: tasks are not to be coalesced by their bytes
+
+
 def expand(df: DataFrame, keys: list[str], text: str, schema: str, rows_of: Callable[[str], Iterable[tuple]]) -> DataFrame:
     """One output row per tuple that ``rows_of`` gives for a row's text, with the row's keys."""
     extra = T._parse_datatype_string(schema)
@@ -33,7 +40,7 @@ def expand(df: DataFrame, keys: list[str], text: str, schema: str, rows_of: Call
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], full.names)
 
-    return df.select(*keys, text).mapInArrow(run, full)
+    return spread(df.select(*keys, text)).mapInArrow(run, full)
 
 
 def methods(modules: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.operators.code import spread
 from lodestone.ql.checker import Context, check
 
 
@@ -23,4 +24,4 @@ def check_texts(texts: DataFrame, key: str, query: str, context: Context) -> Dat
                     errors.append(e)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), pa.array(errors, pa.string())], [key, "error"])
 
-    return texts.select(key, query).mapInArrow(run, schema)
+    return spread(texts.select(key, query)).mapInArrow(run, schema)
