@@ -74,9 +74,12 @@ def candidates(needles: DataFrame, needle: str, postings: DataFrame, keys: list[
 def hits(needles: DataFrame, needle: str, texts: DataFrame, keys: list[str], text: str, postings: DataFrame | None = None) -> DataFrame:
     """``needles`` joined to the keys of all ``texts`` that contain them; ``postings``, if
     stored ones are given, are those of `token_postings` with the same keys."""
-    own = token_postings(texts, keys, text) if postings is None else postings
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = texts.select(*keys, text).repartition(tasks, *keys)  # by number: a small file is one split, and its pairs are many times its bytes
+    own = token_postings(rows, keys, text) if postings is None else postings
     pairs = candidates(needles, needle, own, keys).withColumnRenamed("needle", "__low")
-    sure = pairs.join(texts.select(*keys, F.lower(text).alias("__text")), keys).where(F.contains("__text", F.col("__low"))).select("__low", *keys)
+    sure = pairs.join(rows.select(*keys, F.lower(text).alias("__text")).hint("merge"), keys).where(F.contains("__text", F.col("__low"))).select("__low", *keys)
     return needles.withColumn("__low", F.lower(needle)).join(sure, "__low").drop("__low")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import code as C
 from lodestone.operators import code as K
-from lodestone.operators import scopes
+from lodestone.operators import needles, scopes
 from lodestone.ql.batch import check_texts
 from lodestone.plans.groups.g_code import context
 
@@ -30,3 +30,11 @@ def test_pins_are_not_gathered_on_the_driver(spark):
     rows = found.collect()
     assert len(rows) == 50 and {r.state for r in rows} == {"resolved", "ambiguous"}
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_needles_are_searched_in_many_tasks(spark):
+    texts = spark.range(400).coalesce(1).select("id", F.concat(F.lit("old ring "), F.col("id").cast("string")).alias("name"))
+    wanted = spark.createDataFrame([("d ring",), ("Old",)], "needle string")
+    found = needles.hits(wanted, "needle", texts, ["id"], "name")
+    rows = found.select("needle", "id", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.needle, r.id) for r in rows) == sorted((n, i) for n in ("d ring", "Old") for i in range(400)) and len({r.task for r in rows}) > 1
