@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters from which a block of n-grams is made at once (or one text): bounds the worker's memory.
+BLOCK_CHARS = 1 << 20
 
 
 def squeezed(column) -> Column:
@@ -76,11 +82,53 @@ def snippet(text, needle: str, before: int = 120, after: int = 240) -> Column:
     return F.regexp_replace(F.substring(text, start, at + after - start), "[\r\n]+", " ")
 
 
-def ngram_postings(df: DataFrame, key: str, body: str, n: int = 3) -> DataFrame:
-    """(gram, key): the distinct n-grams of each body. Write it bucketed by gram to reuse it."""
+def _inverted(texts: list[str], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(grams, offsets, rows): the distinct n-grams of ``texts`` and, between a gram's offset and the next, the rows that have it, ascending."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    at = np.flatnonzero(row[: max(len(row) - n + 1, 0)] == row[n - 1 :])  # where n characters of one text begin
+    name = codes[at]
+    for k in range(1, n):
+        if len(name) and int(name.max()) >> 42:  # a character has 21 bits, and three fill a name
+            name = np.unique(name, return_inverse=True)[1].astype(np.int64)
+        name = name << 21 | codes[at + k]
+    order = np.argsort(name, kind="stable")
+    at, name = at[order], name[order]
+    rows = row[at]
+    first = np.ones(len(name), dtype=bool)
+    first[1:] = name[1:] != name[:-1]
+    once = first.copy()
+    once[1:] |= rows[1:] != rows[:-1]
+    starts = np.flatnonzero(first[once])
+    chars = codes[at[once][starts][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le")
+    return [chars[i : i + n] for i in range(0, len(chars), n)], np.append(starts, once.sum()), rows[once]
+
+
+def ngram_blocks(df: DataFrame, key: str, body: str, n: int = 3) -> DataFrame:
+    """(gram, keys): for blocks of bodies, the keys of those that have an n-gram, in lower case. Each pair of a
+    row and a gram stands once; a block ends with its Arrow batch, or at BLOCK_CHARS characters."""
     low = F.lower(F.col(body))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
-    return df.where(F.length(low) >= n).select(key, F.explode(grams).alias("gram"))
+    out = T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(df.schema[key].dataType))])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            at = 0
+            while at < len(texts):
+                before = ends[at - 1] if at else 0
+                end = max(int(np.searchsorted(ends, before + BLOCK_CHARS, side="right")), at + 1)
+                grams, offsets, rows = _inverted(texts[at:end], n)
+                keys = batch.column(0).take(pa.array(rows + at))
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys)], out.names)
+                at = end
+
+    return df.where(F.length(low) >= n).select(key, low.alias("__low")).mapInArrow(run, out)
+
+
+def ngram_postings(df: DataFrame, key: str, body: str, n: int = 3) -> DataFrame:
+    """(key, gram): the distinct n-grams of each body. Write `ngram_blocks` sorted by gram to reuse them."""
+    return ngram_blocks(df, key, body, n).select(F.explode("keys").alias(key), "gram")
 
 
 def index_search(df: DataFrame, postings: DataFrame, key: str, body: str, needle: str, n: int = 3) -> DataFrame:

@@ -3,8 +3,9 @@
 An index belongs to one content of a base. It is a folder `grams-<build>` below the base's
 path, with the tables
 
-* `postings` (gram, id): which methods' bodies have an n-gram, in lower case, sorted by gram
-  within range partitions, so a search reads the row groups of its grams;
+* `postings` (gram, ids): which methods' bodies have an n-gram, in lower case. A row is a gram of
+  one block of bodies; rows are sorted by gram within range partitions, so a search reads the
+  row groups of its grams;
 * `frequencies` (gram, df),
 
 and a pointer file `_grams/<number>.json`, created last: n, the base's content id, the
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import DataError
 from lodestone.operators import search
+from lodestone.operators.code import spread
 from lodestone.sources import versions
 
 N = 3
+LAYOUT = 2  # of the tables; 1 was a row for each gram and body
 GRAMS_READ = 4  # more do not exclude much, as neighbours occur together
 LOG = "_grams"
 
@@ -56,14 +59,18 @@ def build(spark: SparkSession, path: str, n: int = N, partitions: int | None = N
     path = path.rstrip("/")
     version, content, build_id = versions.resolve(spark, path), content_id(spark, path), uuid.uuid4().hex
     where = f"{path}/grams-{build_id}"
-    bodies = spark.read.parquet(f"{version.folder}/method").select("id", "body")
-    postings = search.ngram_postings(bodies, "id", "body", n)
-    postings = postings.repartitionByRange(partitions, "gram", "id") if partitions else postings.repartitionByRange("gram", "id")
-    postings.sortWithinPartitions("gram", "id").write.parquet(f"{where}/postings")
+    bodies, blocks = spark.read.parquet(f"{version.folder}/method").select("id", "body"), f"{where}/blocks"
+    search.ngram_blocks(spread(bodies), "id", "body", n).withColumnRenamed("keys", "ids").write.parquet(blocks)  # ranges are sampled, which must not cut the bodies again
+    by = ["gram", F.get("ids", F.lit(0))]  # a gram of many blocks may lie in several partitions
+    postings = spark.read.parquet(blocks)
+    postings = postings.repartitionByRange(partitions, *by) if partitions else postings.repartitionByRange(*by)
+    postings.sortWithinPartitions(*by).write.parquet(f"{where}/postings")
+    fs, Path = versions.file_system(spark, blocks)
+    fs.delete(Path(blocks), True)
     stored = spark.read.parquet(f"{where}/postings")
-    stored.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{where}/frequencies")
+    stored.groupBy("gram").agg(F.sum(F.size("ids")).alias("df")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{where}/frequencies")
     counts = spark.read.parquet(f"{where}/frequencies").agg(F.count(F.lit(1)).alias("grams"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
-    manifest = {"n": n, "content": content, "build": build_id, "grams": counts["grams"], "postings": counts["postings"]}
+    manifest = {"n": n, "layout": LAYOUT, "content": content, "build": build_id, "grams": counts["grams"], "postings": counts["postings"]}
     number = (_numbers(spark, path) or [0])[-1] + 1
     while not versions.create_text(spark, f"{path}/{LOG}/{number:012d}.json", json.dumps(manifest)):
         number += 1
@@ -91,6 +98,8 @@ def manifest(spark: SparkSession, path: str, n: int = N, content: str | None = N
         raise StaleIndex(f"{path}: unreadable manifest") from e
     if found.get("n") != n:
         raise StaleIndex(f"{path}: index of {found.get('n')}-grams, not {n}")
+    if found.get("layout") != LAYOUT:
+        raise StaleIndex(f"{path}: the index was built with another layout")
     if found.get("content") != (content or content_id(spark, path)):
         raise StaleIndex(f"{path}: the base has changed since the index was built")
     fs, Path = versions.file_system(spark, path)
@@ -111,7 +120,7 @@ def candidate_ids(spark: SparkSession, path: str, needle: str, found: dict) -> D
     if len(known) < len(grams):  # one of them occurs nowhere
         return spark.range(0).select("id")
     rare = [r["gram"] for r in known[:GRAMS_READ]]
-    hit = spark.read.parquet(f"{where}/postings").where(F.col("gram").isin(rare))
+    hit = spark.read.parquet(f"{where}/postings").where(F.col("gram").isin(rare)).select(F.explode("ids").alias("id"))
     return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare)).select("id")
 
 
