@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Characters from which a block of n-grams is made at once (or one text): bounds the worker's memory.
 BLOCK_CHARS = 1 << 20
+#: Keys in a row of postings: readers take thousands of rows at once.
+BLOCK_KEYS = 256
 
 
 def squeezed(column) -> Column:
@@ -83,7 +85,8 @@ def snippet(text, needle: str, before: int = 120, after: int = 240) -> Column:
 
 
 def _inverted(texts: list[str], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(grams, offsets, rows): the distinct n-grams of ``texts`` and, between a gram's offset and the next, the rows that have it, ascending."""
+    """(grams, offsets, rows): the distinct n-grams of ``texts`` and, between a gram's offset and the next, rows that have it, ascending.
+    A gram is repeated for every BLOCK_KEYS rows."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
     at = np.flatnonzero(row[: max(len(row) - n + 1, 0)] == row[n - 1 :])  # where n characters of one text begin
@@ -100,13 +103,15 @@ def _inverted(texts: list[str], n: int) -> tuple[list[str], np.ndarray, np.ndarr
     once = first.copy()
     once[1:] |= rows[1:] != rows[:-1]
     starts = np.flatnonzero(first[once])
+    inside = np.arange(once.sum()) - np.repeat(starts, np.diff(np.append(starts, once.sum())))
+    starts = np.flatnonzero(inside % BLOCK_KEYS == 0)
     chars = codes[at[once][starts][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le")
     return [chars[i : i + n] for i in range(0, len(chars), n)], np.append(starts, once.sum()), rows[once]
 
 
 def ngram_blocks(df: DataFrame, key: str, body: str, n: int = 3) -> DataFrame:
     """(gram, keys): for blocks of bodies, the keys of those that have an n-gram, in lower case. Each pair of a
-    row and a gram stands once; a block ends with its Arrow batch, or at BLOCK_CHARS characters."""
+    row and a gram stands once; a block ends with its Arrow batch, or at BLOCK_CHARS characters, a row at BLOCK_KEYS keys."""
     low = F.lower(F.col(body))
     out = T.StructType([T.StructField("gram", T.StringType()), T.StructField("keys", T.ArrayType(df.schema[key].dataType))])
 

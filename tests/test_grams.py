@@ -26,6 +26,13 @@ def test_postings_equal_brute_force(spark, monkeypatch):
             assert len(got) == len(set(got)) and set(got) == {(k, t[i : i + n]) for k, t in low.items() for i in range(len(t) - n + 1)}
 
 
+def test_rows_of_frequent_grams_are_bounded():
+    grams, offsets, rows = search._inverted(["абв", "абвг"] * 1000, 3)
+    parts = [(g, rows[a:b].tolist()) for g, a, b in zip(grams, offsets[:-1], offsets[1:], strict=True)]
+    assert max(len(r) for _, r in parts) == search.BLOCK_KEYS and len(parts) == 8 + 4
+    assert sorted(i for g, r in parts if g == "абв" for i in r) == list(range(2000)) and sorted(i for g, r in parts if g == "бвг" for i in r) == list(range(1, 2000, 2))
+
+
 def test_long_bodies_are_cut_in_linear_time(spark):
     text = " ".join(f"имя{i * 7919 % 100003}" for i in range(40_000))
     df, start = spark.createDataFrame([(1, text)], "id long, body string"), time.monotonic()
