@@ -29,7 +29,8 @@ Large groups are split over tasks by blocks.
 
 **Disk.** Hashes are matched in rounds, each over a slice of the hashes' values, and sets are
 verified in rounds, each over a part of the pairs; so are groups that span components. A
-round's shuffles go before the next one.
+round's shuffles go before the next one. Few texts take fewer rounds, as every round costs
+the driver its plans, shuffles and threads, however little is in it.
 The hashes themselves go as soon as all have been matched.
 
 **Verification** is exact, on the whole token sets (of 64-bit hashes).
@@ -62,7 +63,8 @@ BLOCK_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 23  # tokens of the smaller side, and
 SLICE, SLICE_TOKENS = 256, 1 << 18  # rows compared at a time, and their tokens (or one row)
 _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
-ROUNDS = 4  # slices of hashes that are matched, and of pairs that are verified, one after the other
+ROUNDS = 4  # slices of hashes that are matched, and of pairs that are verified, one after the other, at most
+ROUND_WORDS = 40 << 20  # words of all texts (an estimate) up to which a slice is the whole
 
 
 @dataclass(frozen=True)
@@ -217,18 +219,19 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 SIGS = [f"sigs{k}" for k in range(ROUNDS)]
-SETS = "id {id}, row long, n long, d1 long, d2 long, sk array<long>, " + ", ".join(f"{c} array<long>" for c in SIGS)
+SETS = "id {id}, row long, n long, d1 long, d2 long, sk array<long>"
 
 
-def _describe(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+def _describe(docs: DataFrame, width: int, plan: Plan, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: its set's size, digest, sketch and (once per task and set) signatures, in slices of their values."""
-    names = ["id", "row", "n", "d1", "d2", "sk", *SIGS]
-    edges = np.array([(1 << 64) * k // ROUNDS for k in range(1, ROUNDS)], dtype=np.uint64)
+    slices = SIGS[:rounds]
+    names = ["id", "row", "n", "d1", "d2", "sk", *slices]
+    edges = np.array([(1 << 64) * k // rounds for k in range(1, rounds)], dtype=np.uint64)
 
     def run(batches):
         seen: OrderedDict = OrderedDict()
         for batch, texts, offs in steps(batches):
-            n, d1, d2, sk, sigs = [], [], [], [], [[] for _ in SIGS]
+            n, d1, d2, sk, sigs = [], [], [], [], [[] for _ in slices]
             for tokens in token_sets(texts, offs, width):
                 digest = _digest(tokens)
                 n.append(len(tokens))
@@ -236,7 +239,7 @@ def _describe(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 d2.append(digest[1])
                 sk.append(sketch(tokens))
                 if digest in seen or not len(tokens):
-                    parts = [None] * ROUNDS
+                    parts = [None] * rounds
                 else:
                     seen[digest] = None
                     if len(seen) > _DIGESTS:
@@ -249,10 +252,10 @@ def _describe(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
                                               pa.array(d2, pa.int64()), pa.array(sk, longs), *(pa.array(c, longs) for c in sigs)], names)
 
-    return docs.select("id", "row", "text").mapInArrow(run, SETS.format(id=dict(docs.dtypes)["id"]))
+    return docs.select("id", "row", "text").mapInArrow(run, ", ".join([SETS.format(id=dict(docs.dtypes)["id"]), *(f"{c} array<long>" for c in slices)]))
 
 
-def _meetings(signed: DataFrame, path: str) -> DataFrame:
+def _meetings(signed: DataFrame, path: str, rounds: int) -> DataFrame:
     """(sig, d1, low, high) of all hashes that several sets emit; ``low`` and ``high`` are two of these."""
     def matched(k: int, column: str) -> DataFrame:
         emitted = signed.where(F.col(column).isNotNull()).select("d1", F.explode(column).alias("sig"))
@@ -262,17 +265,17 @@ def _meetings(signed: DataFrame, path: str) -> DataFrame:
         return found
 
     parts = []
-    for k, column in enumerate(SIGS):
+    for k, column in enumerate(SIGS[:rounds]):
         parts.append(matched(k, column))
         free_shuffles(signed.sparkSession, 0)
     return reduce(DataFrame.union, parts)
 
 
-def _in_rounds(rows: DataFrame, key: str, work) -> DataFrame:
+def _in_rounds(rows: DataFrame, key: str, rounds: int, work) -> DataFrame:
     """All that ``work`` (which stores its result) gives for ``rows``, a part of the keys after the other."""
     parts = []
-    for k in range(ROUNDS):
-        parts.append(work(rows.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == k)))
+    for k in range(rounds):
+        parts.append(work(rows.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == k)))
         free_shuffles(rows.sparkSession, 0)
     return reduce(DataFrame.union, parts)
 
@@ -287,7 +290,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return maybe_in(docs.select("row", "text"), "row", nodes).select("row", "text").mapInArrow(run, "row long, tokens array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan, rounds: int) -> DataFrame:
     """The pairs (a, b; stored) of nodes whose whole sets are similar enough."""
     def verified(own: DataFrame) -> DataFrame:
         a, b = (maybe_in(sets.select(F.col("node").alias(end), F.col("tokens").alias(f"t{end}")), end, own.select(end)) for end in ("a", "b"))
@@ -295,7 +298,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
         return cut(own.join(a, "a").join(b, "b").where(
             plan.den * both >= plan.num * (F.size("ta").cast("long") + F.size("tb").cast("long") - both)).select("a", "b"))
 
-    return _in_rounds(pairs, "b", verified)
+    return _in_rounds(pairs, "b", rounds, verified)
 
 
 def _near(a: str, b: str, plan: Plan):
@@ -471,6 +474,12 @@ def estimate_sizes(docs: DataFrame) -> dict[int, float]:
     return {r["k"]: float(r["count"]) for r in found}
 
 
+def rounds_for(sizes: dict[int, float]) -> int:
+    """Rounds that sets of these sizes take: as many as keep a round's hashes few, within ``ROUNDS``."""
+    words = sum(1.5 * 2**k * count for k, count in sizes.items())
+    return min(ROUNDS, max(1, math.ceil(words / ROUND_WORDS)))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per document: id, row, n_shingles, component_id, first (one row per component).
 
@@ -478,14 +487,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``docs`` is a stored table; ``row`` is the row's number in it (`number_rows`)."""
     spark = docs.sparkSession
     docs = number_rows(docs.select(docs[id_col].alias("id"), not_null_text(text_col).alias("text")), "row")
-    plan = make_plan(num, den, estimate_sizes(docs))
+    sizes = estimate_sizes(docs)
+    plan, rounds = make_plan(num, den, sizes), rounds_for(sizes)
     with scratch(spark) as path:
-        signed = stored(_describe(docs, width, plan), f"{path}/signed")
+        signed = stored(_describe(docs, width, plan, rounds), f"{path}/signed")
         sets = stored(signed.drop(*SIGS), f"{path}/sets")
         nodes = cut(sets.where("n > 0").groupBy("d1", "d2").agg(
             F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"),
             F.first("n").alias("n"), F.first("sk").alias("sk")))
-        met = _meetings(signed, f"{path}/met")
+        met = _meetings(signed, f"{path}/met", rounds)
         delete_path(spark, f"{path}/signed")
         who = nodes.select("d1", "node", "n", "sk")
         star = met.select("d1", F.explode(F.array("low", "high")).alias("p1")).where("d1 != p1").distinct()
@@ -496,11 +506,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         live_nodes = cut(met.select("d1").distinct().join(who, "d1").select(F.col("node").alias("row")))
         whole = _whole_sets(docs, live_nodes, width).join(live_nodes, "row", "left_semi").select(F.col("row").alias("node"), "tokens")
         whole = stored(whole, f"{path}/whole")
-        links = _verify(pairs, whole, plan)
+        links = _verify(pairs, whole, plan, rounds)
         first = cut(components(links))
         live = met.select("sig", "d1").distinct().join(who, "d1").join(first, "node", "left").select(
             "sig", "node", "n", "sk", F.coalesce("component", "node").alias("component"))
-        suspects = _in_rounds(stored(live, f"{path}/live"), "sig", lambda own: cut(_suspects(own, plan)))
+        suspects = _in_rounds(stored(live, f"{path}/live"), "sig", rounds, lambda own: cut(_suspects(own, plan)))
         delete_path(spark, f"{path}/live")
         more = who.select("node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
         more = cut(_across(suspects, more, whole, plan))
