@@ -21,15 +21,19 @@ a hash, all are checked against two pivots first (linear); the links' components
 computed; then, only where a group still spans several components, pairs across
 components are compared, the smaller side in blocks against all members, with a parity
 sketch as an exact upper bound of the similarity. Pairs inside a component cannot change
-it. Every cell gives no pairs but a forest that connects its undecided ones, so its output
-has fewer rows than its input. The forests' trees are the groups of the last step, where
+it. A cell gives its undecided pairs where these are few for its rows, else a forest that
+connects them, so its output is in proportion to its input. Pairs are compared by a sketch
+that grows with their sets. A forest's trees are groups of a second comparison by a longer
+sketch. What is left is joined to trees, the groups of the last step, where
 each set travels once (not once a hash): again the smaller side in blocks against all
 members, now on the whole token sets, and again each cell gives a forest, of true links.
-Large groups are split over tasks by blocks.
+Large groups are split over tasks by blocks. Without the longer sketches, chance meetings of
+long sets would join more and more sets to one tree, which is compared in a time and space
+that grow with the square of its size.
 
 **Disk.** Hashes are matched in rounds, each over a slice of the hashes' values, and sets are
-verified in rounds, each over a part of the pairs; so are groups that span components. A
-round's shuffles go before the next one. Few texts take fewer rounds, as every round costs
+verified in rounds, each over a part of the pairs; so are groups that span components, and
+blocks whose rows together are far more than their groups'. A round's shuffles go before the next one. Few texts take fewer rounds, as every round costs
 the driver its plans, shuffles and threads, however little is in it.
 The hashes themselves go as soon as all have been matched.
 
@@ -57,6 +61,8 @@ from lodestone.llm.common import cut, delete_path, drop_cut, free_shuffles, give
 from lodestone.llm.components import components
 
 SKETCH = 4  # 64-bit words of the parity sketch
+LONG = 64  # and of the longer one, by which the trees of undecided pairs are compared
+FEW = 8  # undecided pairs that a cell gives for each of its rows, at most
 BAND = 1.5  # largest size / smallest size in a band
 BLOCK, CHUNK = 4096, 65536  # members of the smaller side, and of all, that one cell compares by sketches
 BLOCK_TOKENS, CHUNK_TOKENS = 1 << 20, 1 << 23  # tokens of the smaller side, and of all, that one cell compares exactly
@@ -65,6 +71,7 @@ _DIGESTS = 200_000  # sets that a task remembers, to emit equal ones once
 MOST = 1 << 31  # tokens of the largest set
 ROUNDS = 4  # slices of hashes that are matched, and of pairs that are verified, one after the other, at most
 ROUND_WORDS = 40 << 20  # words of all texts (an estimate) up to which a slice is the whole
+ROUND_ROWS, ROUND_TOKENS = 1 << 21, 1 << 25  # rows, or tokens of sets, that blocks may deal in one round in any case
 
 
 @dataclass(frozen=True)
@@ -203,9 +210,10 @@ def signatures(tokens: np.ndarray, plan: Plan) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each of 256 bits: it differs in no more bits than the sets in tokens."""
-    odd = np.bincount((tokens >> np.uint64(8) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Parity of the tokens that fall on each bit of ``size`` words (a power of two): it differs in no more bits
+    than the sets in tokens. A sketch's halves, one xor the other, are the sketch of half the size."""
+    odd = np.bincount((tokens >> np.uint64(8) & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -310,18 +318,34 @@ def _near(a: str, b: str, plan: Plan):
     return fits & (bits * (plan.den + plan.num) <= total * (plan.den - plan.num))
 
 
-def _deal(rows: DataFrame, group: str, blocks, chunks, few, columns: list[str]) -> DataFrame:
+def _deal(rows: DataFrame, group: str, few, columns: list[str]) -> DataFrame:
     """``rows`` dealt to cells of a group, sorted by cell: kind 0 are the ``few``, each in one block
-    and all chunks, kind 1 are all rows, each in one chunk and all blocks."""
+    and all chunks, kind 1 are all rows, each in one chunk and all blocks; of blocks only those in ``here``."""
     own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cell = (F.col("__block").cast("long") * chunks + F.col("__chunk")).alias("cell")
-    one = rows.where(few).withColumn("__block", own(blocks, 1)).withColumn("__chunk", each(chunks)).select(group, cell, F.lit(0).alias("kind"), *columns)
-    every = rows.withColumn("__chunk", own(chunks, 2)).withColumn("__block", each(blocks)).select(group, cell, F.lit(1).alias("kind"), *columns)
+    cell = (F.col("__block").cast("long") * F.col("chunks") + F.col("__chunk")).alias("cell")
+    one = rows.where(few).withColumn("__block", own(F.col("blocks"), 1)).where(F.array_contains("here", F.col("__block")))
+    one = one.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(group, cell, F.lit(0).alias("kind"), *columns)
+    every = rows.withColumn("__chunk", own(F.col("chunks"), 2)).withColumn("__block", F.explode("here")).select(group, cell, F.lit(1).alias("kind"), *columns)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows cost much work, so tasks are not to be coalesced
     return one.union(every).repartition(tasks, group, "cell").sortWithinPartitions(group, "cell", "kind")
 
 
+def _by_blocks(size: DataFrame, group: str, least: int, work) -> DataFrame:
+    """All that ``work`` gives for the groups of ``size`` (total, most, blocks, chunks; stored), some blocks after the others.
+
+    Each block meets its whole group, so a large group's rows are dealt as often as it has blocks; a round deals
+    about twice all groups' rows, or ``least``. ``work`` gets the groups with their blocks in ``here``."""
+    dealt, own = size.agg(F.sum(F.col("total") * F.col("blocks") + (F.col("total") - F.col("most")) * F.col("chunks")), F.sum("total")).first()
+    rounds, parts = max(1, math.ceil((dealt or 0) / max(2 * (own or 0), least))), []
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    for k in range(rounds):
+        here = size.withColumn("here", F.filter(every, lambda b, k=k: F.pmod(F.xxhash64(group, b), F.lit(rounds)) == k) if rounds > 1 else every)
+        parts.append(cut(work(here.where(F.size("here") > 0))))
+        if rounds > 1:
+            free_shuffles(size.sparkSession, 0)
+    return reduce(DataFrame.union, parts)
+
+
 def _cells(batches):
     """(held, part) of the Arrow batches of dealt rows: the rows of kind 0 of a cell, as a list of
     record batches that is the same object for the whole cell, and a slice of its rows of kind 1."""
@@ -359,28 +383,31 @@ def _by_tokens(part: pa.RecordBatch):
         at, done = end, int(reach[end - 1])
 
 
-def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = (np.array(x, dtype=np.int64) for x in zip(*links, strict=True))
+def _links_batch(a, b) -> pa.RecordBatch:
+    a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _suspects(live: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): a forest for each cell whose trees hold all pairs across components that sizes and
-    sketches cannot rule out; a cell gives fewer links than it has rows.
+def _suspects(live: DataFrame, plan: Plan, words: int = SKETCH) -> DataFrame:
+    """(a, b, alone): the pairs across components that sizes and sketches cannot rule out, where they are at most ``FEW``
+    for each row that meets a block (``alone``), else a forest whose trees hold them.
 
-    ``live``: sig, node, n, sk, component. In each group that spans several components the
+    ``live``: sig, node, n, sk (of ``words`` words), component. In each group that spans several components the
     largest one stays whole; the others' members are dealt to blocks, all members to chunks,
     and each block meets each chunk in a task of its own, the chunk streaming past the block."""
     counts = live.groupBy("sig", "component").count()
     groups = counts.groupBy("sig").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("total"),
                                        F.max("count").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    size = groups.select("sig", "main", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks"))
-    dealt = _deal(live.join(size, "sig"), "sig", F.col("blocks"), F.col("chunks"), F.col("component") != F.col("main"), ["node", "n", "sk", "component"])
+    size = cut(groups.select("sig", "main", "total", "most", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("total") / CHUNK).cast("int").alias("chunks")))
     num, den = plan.num, plan.den
 
     def columns(parts):
         node, n, comp = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 6))
-        return node, n, comp, np.concatenate([np.asarray(p.column(5).flatten()) for p in parts]).astype(np.int64).view(np.uint64).reshape(-1, SKETCH)
+        return node, n, comp, np.concatenate([np.asarray(p.column(5).flatten()) for p in parts]).astype(np.int64).view(np.uint64).reshape(-1, words)
+
+    def given(a, b, alone: bool) -> pa.RecordBatch:
+        links = _links_batch(a, b)
+        return links.append_column("alone", pa.array(np.full(links.num_rows, alone)))
 
     def run(batches):
         last = None
@@ -391,20 +418,83 @@ def _suspects(live: DataFrame, plan: Plan) -> DataFrame:
             node, n, comp, sk = columns([part])
             total = mine[1][None, :] + n[:, None]
             ok = (mine[2][None, :] != comp[:, None]) & (den * np.minimum(mine[1][None, :], n[:, None]) >= num * np.maximum(mine[1][None, :], n[:, None]))
+            if not ok.any():
+                continue
             bits = np.zeros(total.shape, dtype=np.int16)
-            for k in range(SKETCH):
+            for k in range(words):
                 bits += np.bitwise_count(mine[3][None, :, k] ^ sk[:, None, k])
             ok &= bits <= total * (den - num) // (den + num)
+            if np.count_nonzero(ok) <= FEW * len(node):
+                i, j = np.nonzero(ok)
+                yield given(node[i], mine[0][j], True)
+                continue
             links = []
             for i in np.flatnonzero(ok.any(axis=1)).tolist():
                 trees, at = np.unique(tree[ok[i]], return_index=True)
                 links += [(int(node[i]), int(mine[0][j])) for j in np.flatnonzero(ok[i])[at]]
                 if len(trees) > 1:
                     tree[np.isin(tree, trees)] = trees[0]
-            if links:
-                yield _links_batch(links)
+            yield given(*zip(*links, strict=True), False)
+
+    def compared(here: DataFrame) -> DataFrame:
+        dealt = _deal(live.join(here, "sig"), "sig", F.col("component") != F.col("main"), ["node", "n", "sk", "component"])
+        return dealt.mapInArrow(run, "a long, b long, alone boolean").distinct()
+
+    return _by_blocks(size, "sig", ROUND_ROWS, compared)
+
+
+def _sketches(whole: DataFrame, nodes: DataFrame, words: int | None = None) -> DataFrame:
+    """(node, sk) of (at least) the ``nodes``: sketches of ``words`` words, or as many bits as the set has tokens."""
+    def run(batches):
+        for batch in batches:
+            tokens, sk = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64), []
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+            for at, end in zip([0, *ends], ends):
+                sk.append(sketch(tokens[at:end], words or max(SKETCH, 1 << (-(-(end - at) // 64) - 1).bit_length())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sk, pa.list_(pa.int64()))], ["node", "sk"])
+        give_back()
+
+    return maybe_in(whole, "node", nodes).select("node", "tokens").mapInArrow(run, "node long, sk array<long>")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan) -> DataFrame:
+    """The ``pairs`` (a, b; stored) that sketches as long as their sets cannot rule out."""
+    num, den = plan.num, plan.den
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = cut(_sketches(whole, ends).join(ends, "node", "left_semi").join(nodes.select("node", "n"), "node"))
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("sk").alias(f"{x}sk")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            sizes, keep = [batch.column(i).value_lengths().to_numpy(zero_copy_only=False) for i in (4, 5)], np.zeros(len(total), dtype=bool)
+            for both in np.unique(np.stack(sizes), axis=1).T:
+                at = np.flatnonzero((sizes[0] == both[0]) & (sizes[1] == both[1]))
+                x, y = (batch.column(i).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(at), -1) for i in (4, 5))
+                while x.shape[1] != y.shape[1]:
+                    x, y = (z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :] if z.shape[1] > min(x.shape[1], y.shape[1]) else z for z in (x, y))
+                keep[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= total[at] * (den - num) // (den + num)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+        give_back()
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "an", "bn", "ask", "bsk").mapInArrow(run, "a long, b long")
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def _narrowed(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b) for ``suspects`` (a, b, alone): the trees of those that are not alone are compared by longer sketches,
+    pairs by sketches as long as their sets; what these cannot rule out stays.
+
+    ``nodes``: node, component, n."""
+    pairs, trees = suspects.where("alone").select("a", "b"), suspects.where("NOT alone").select("a", "b")
+    forests = []
+    if not trees.isEmpty():
+        members = cut(components(trees).select("node", F.col("component").alias("sig")).join(nodes, "node"))
+        live = cut(members.join(_sketches(whole, members.select("node"), LONG), "node").select("sig", "node", "n", "sk", "component"))
+        again = _suspects(live, plan, LONG)
+        drop_cut(live)
+        pairs = pairs.union(again.where("alone").select("a", "b"))
+        forests = [again.where("NOT alone").select("a", "b")]
+    return reduce(DataFrame.union, [cut(_likely(cut(pairs.distinct()), nodes, whole, plan)), *forests])
 
 
 def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan) -> DataFrame:
@@ -419,11 +509,9 @@ def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan)
     counts = members.groupBy("tree", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("tokens"))
     size = counts.groupBy("tree").agg(F.max_by("component", "count").alias("main"), F.max_by("tokens", "count").alias("most"),
                                       F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    size = size.select("tree", "main", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most")) / BLOCK_TOKENS)).cast("int").alias("blocks"),
+    size = size.select("tree", "main", "total", "most", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most")) / BLOCK_TOKENS)).cast("int").alias("blocks"),
                        F.greatest(F.lit(1), F.ceil(F.col("total") / CHUNK_TOKENS)).cast("int").alias("chunks"))
-    chosen = cut(members.select("tree", "node", "component").join(size, "tree"))
-    rows = chosen.join(maybe_in(whole, "node", chosen.select("node")), "node")
-    dealt = _deal(rows, "tree", F.col("blocks"), F.col("chunks"), F.col("component") != F.col("main"), ["node", "component", "tokens"])
+    size = cut(size)
     num, den = plan.num, plan.den
 
     def sets(parts):
@@ -463,9 +551,15 @@ def _across(suspects: DataFrame, nodes: DataFrame, whole: DataFrame, plan: Plan)
                         joined.update((c, own) for c in others.tolist())
                         mine_comp[np.isin(mine_comp, others)] = own
             if links:
-                yield _links_batch(links)
+                yield _links_batch(*zip(*links, strict=True))
+
+    def compared(here: DataFrame) -> DataFrame:
+        chosen = cut(members.select("tree", "node", "component").join(here, "tree"))
+        rows = chosen.join(maybe_in(whole, "node", chosen.select("node")), "node")
+        dealt = _deal(rows, "tree", F.col("component") != F.col("main"), ["node", "component", "tokens"])
+        return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _by_blocks(size, "tree", ROUND_TOKENS, compared)
 
 
 def estimate_sizes(docs: DataFrame) -> dict[int, float]:
@@ -510,10 +604,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = cut(components(links))
         live = met.select("sig", "d1").distinct().join(who, "d1").join(first, "node", "left").select(
             "sig", "node", "n", "sk", F.coalesce("component", "node").alias("component"))
-        suspects = _in_rounds(stored(live, f"{path}/live"), "sig", rounds, lambda own: cut(_suspects(own, plan)))
+        suspects = _in_rounds(stored(live, f"{path}/live"), "sig", rounds, lambda own: _suspects(own, plan))
         delete_path(spark, f"{path}/live")
         more = who.select("node", "n").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = cut(_across(suspects, more, whole, plan))
+        more = cut(more)
+        more = _across(_narrowed(suspects, more, whole, plan), more, whole, plan)
         label = lambda end: more.join(first.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         more = label("a")
         more = label("b")
